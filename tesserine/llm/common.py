@@ -32,3 +32,11 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id falls into fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds, F.lit(0))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys where null equals null; the key columns of ``left`` are kept once."""
+    other = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    out = left.join(other, on, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_r_{k}" for k in keys])

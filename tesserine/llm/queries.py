@@ -6,6 +6,8 @@ import importlib
 
 #: query name -> module of this subpackage that defines the function of that name
 NAMES = {
+    "op2_lattice_near_dup": "lattice",
+    "op5_entropy_balancing": "mixing",
     "op8_feistel_sharding": "sharding",
 }
 
