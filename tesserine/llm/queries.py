@@ -7,12 +7,14 @@ import importlib
 #: query name -> module of this subpackage that defines the function of that name
 NAMES = {
     "op2_lattice_near_dup": "lattice",
+    "op3_warc_capture_index": "warc",
     "op5_entropy_balancing": "mixing",
     "op6_elias_fano_token_ids": "tokenids",
     "op8_feistel_sharding": "sharding",
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: query name -> module whose SQL gives the same rows
+IN_SQL = {"op3_warc_capture_index": "warc"}
 
 
 def queries() -> dict:
@@ -20,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    return {name: importlib.import_module(f"{__package__}.{module}").SQL for name, module in IN_SQL.items()}

@@ -23,7 +23,7 @@ def new_file(folder: str, suffix: str) -> str:
 def write(uri: str, data: bytes) -> None:
     system, path = _at(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(path) as out:
+    with system.open_output_stream(path, compression=None) as out:
         out.write(data)
 
 
@@ -33,7 +33,7 @@ class Sink:
     def __init__(self, uri: str):
         system, path = _at(uri)
         system.create_dir(path.rpartition("/")[0], recursive=True)
-        self.uri, self.at, self._out = uri, 0, system.open_output_stream(path)
+        self.uri, self.at, self._out = uri, 0, system.open_output_stream(path, compression=None)
 
     def put(self, data: bytes) -> int:
         begin = self.at
