@@ -8,6 +8,7 @@ import importlib
 NAMES = {
     "op2_lattice_near_dup": "lattice",
     "op3_warc_capture_index": "warc",
+    "op4_quadratic_quality": "quality",
     "op5_entropy_balancing": "mixing",
     "op6_elias_fano_token_ids": "tokenids",
     "op8_feistel_sharding": "sharding",
