@@ -11,6 +11,7 @@ NAMES = {
     "op4_quadratic_quality": "quality",
     "op5_entropy_balancing": "mixing",
     "op6_elias_fano_token_ids": "tokenids",
+    "op7_marginal_unigram_langid": "langid",
     "op8_feistel_sharding": "sharding",
 }
 
