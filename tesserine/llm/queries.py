@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> module of this subpackage that defines the function of that name
 NAMES = {
+    "op1_page_differencing": "htmltext",
     "op2_lattice_near_dup": "lattice",
     "op3_warc_capture_index": "warc",
     "op4_quadratic_quality": "quality",
