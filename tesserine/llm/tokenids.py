@@ -26,10 +26,12 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,13 +44,17 @@ MAGIC = b"TSSRIDS1"
 SAMPLE = 256
 #: A file is closed after so many ids.
 FILE_IDS = 16_000_000
-#: Pieces whose ids a worker remembers.
-REMEMBER = 400_000
+#: Pieces, and pre-tokens, whose ids a worker remembers.
+REMEMBER = 250_000
 END_ID = 2
 #: A space between two white-space characters: only there may a token cross a cut before a space.
 INNER_SPACE = re.compile(r"\s \s")
 
 
+#: Fixed value: how byte-level vocabularies of this family cut a text into pre-tokens.
+PRE_TOKEN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
 def ef_encode(values: np.ndarray) -> bytes:
     """An Elias-Fano section of a non-decreasing sequence of non-negative integers."""
     values = np.asarray(values, np.uint64)
@@ -132,8 +138,50 @@ class TokenFile:
         return np.frombuffer(self._source.range(56 + begin * self.width, (end - begin) * self.width), f"<u{self.width}")
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write each byte as a letter: printable Latin-1 as itself, the others from 256 on in byte order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Tokens(dict):
+    """Pre-tokens -> their ids as bytes; a new one goes straight to the model."""
+
+    def __init__(self, tokenizer, code: str):
+        super().__init__()
+        self._merge, self._code, self._letters = tokenizer.model.tokenize, code, byte_letters()
+
+    def __missing__(self, token: str) -> bytes:
+        spelled = token.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._letters)
+        ids = array(self._code, [t.id for t in self._merge(spelled)]).tobytes()
+        if len(self) < REMEMBER:
+            self[token] = ids
+        return ids
+
+
+class Pieces(dict):
+    """Text pieces that begin with a space (left out of the key) -> their ids as bytes."""
+
+    def __init__(self, tokenizer, code: str):
+        super().__init__()
+        self._encode, self._code, self._tokens = tokenizer.encode, code, Tokens(tokenizer, code)
+
+    def raw(self, text: str) -> bytes:
+        return array(self._code, self._encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        if "<|" in piece:  # perhaps a special token: for the tokenizer to tell
+            ids = self.raw(" " + piece)
+        else:
+            ids = b"".join(map(self._tokens.__getitem__, PRE_TOKEN.findall(" " + piece)))
+        if len(self) < REMEMBER:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """Ids of texts as bytes; words seen before are not encoded again.
+    """Ids of texts as bytes; pieces seen before are not encoded again.
 
     The tokenizer never joins a space to what stands before it, so a text may be
     cut before each space and the pieces encoded apart, unless white space
@@ -144,29 +192,26 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if max(self._tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        self._end, self._seen = self._raw([end_id]), {}
+        tokenizer = Tokenizer.from_file(path)
+        self.width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        self._pieces = Pieces(tokenizer, "H" if self.width == 2 else "I")
+        self._end = end_id.to_bytes(self.width, "little")
+
+    def __call__(self, text: str) -> bytes:
+        if INNER_SPACE.search(text):
+            return self._pieces.raw(text) + self._end
+        first, *rest = text.split(" ")
+        return self._pieces.raw(first) + b"".join(map(self._pieces.__getitem__, rest)) + self._end
+
 
-    def _raw(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+#: One encoder per Python worker: its remembered pieces serve all tasks that the worker runs.
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [self._raw(e.ids) for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [None if INNER_SPACE.search(t) else t.split(" ") for t in texts]
-        need: set[str] = set()
-        for parts in cut:
-            if parts:
-                need.update(parts[1:])
-        if len(self._seen) + len(need) > REMEMBER:
-            self._seen.clear()
-        missing = [p for p in need if p not in self._seen]
-        self._seen.update(zip(missing, self._encode([" " + p for p in missing]), strict=True))
-        whole = self._encode([parts[0] if parts else t for parts, t in zip(cut, texts, strict=True)])
-        look = self._seen.__getitem__
-        return [first + b"".join(map(look, parts[1:])) + self._end if parts else first + self._end for first, parts in zip(whole, cut, strict=True)]
+def encoder(path: str, end_id: int) -> Encoder:
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
 
 
 def _write_files(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -187,10 +232,10 @@ def _write_files(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_
 
     held = 0
     for batch in batches:
-        encode = encode or Encoder(path, end_id)
+        encode = encode or encoder(path, end_id)
         ids, texts = batch.column("doc_id"), batch.column("text")
         for at in range(0, batch.num_rows, 1000):
-            got = encode([t or "" for t in texts.slice(at, 1000).to_pylist()])
+            got = [encode(t or "") for t in texts.slice(at, 1000).to_pylist()]
             names.extend(ids.slice(at, 1000).to_pylist())
             chunks.extend(got)
             held += sum(map(len, got))
