@@ -40,3 +40,13 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
     out = left.join(other, on, how)
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"_r_{k}" for k in keys])
+
+
+#: Rows of one or two longs that a broadcast may hold: about 20 MB.
+SMALL = 500_000
+
+
+def small_or_shuffled(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """Semi or anti join with a table of keys, which is broadcast only if it was counted to be small."""
+    small = keys.count() <= SMALL
+    return df.join(F.broadcast(keys) if small else keys, on, how)
