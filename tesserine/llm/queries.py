@@ -14,10 +14,12 @@ NAMES = {
     "op6_elias_fano_token_ids": "tokenids",
     "op7_marginal_unigram_langid": "langid",
     "op8_feistel_sharding": "sharding",
+    "op9_edit_decontamination": "decontaminate",
+    "op10_divide_skip_join": "jaccard",
 }
 
 #: query name -> module whose SQL gives the same rows
-IN_SQL = {"op3_warc_capture_index": "warc"}
+IN_SQL = {"op3_warc_capture_index": "warc", "op10_divide_skip_join": "jaccard"}
 
 
 def queries() -> dict:
