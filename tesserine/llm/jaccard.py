@@ -6,9 +6,8 @@ larger set.  Shingles have one global order; in it every set is divided into a
 short part (its first |x| - T + k shingles) and a long part (the rest).  Linked
 documents meet in at least k inverted lists of short shingles: these lists are
 merged (a shuffle on the shingle with a count per pair), candidates that were
-met too rarely are skipped, and for the others the long shingles are probed by
-binary search in the partner's sorted set until the required overlap is reached
-or out of reach.
+met too rarely are skipped, and for the others the shingles are probed by binary
+search in the partner's sorted set.
 
 1. Equal sets are folded into one representative.
 2. With the shingles ordered by hash, a set none of whose partners can reach k
@@ -18,8 +17,9 @@ or out of reach.
    passages stand in the long part.  Sets that differ only in shingles of their
    own are folded again.
 4. Every list first meets its most shared member only (its hub).  Members of one
-   component need no more comparisons; only pairs of a list that are still in
-   different components are compared in full.
+   component need no more comparisons, and what two members can have in common
+   is bounded by what each has in common with the hub; only the pairs of a list
+   that are still in different components and within that bound are compared.
 
 No link between different sets is lost by this: the steps drop only pairs that
 provably miss the threshold, or that are connected already.
@@ -126,23 +126,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact overlap of each candidate pair: binary search of one set's shingles in the other's sorted set, stopped once the threshold is out of reach."""
+    """Exact overlap of each candidate pair: binary search of one set's shingles in the other's sorted set."""
     for batch in batches:
         out = []
-        for na, nb, x, y in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), batch.column("xa"), batch.column("xb"), strict=True):
+        for x, y in zip(batch.column("xa"), batch.column("xb"), strict=True):
             x, y = (v.values.to_numpy() for v in (x, y))
             if len(x) > len(y):
                 x, y = y, x
-            need = -(-PERCENT * (na + nb) // (100 + PERCENT))
-            got, step = 0, max(64, len(x) // 4)
-            for i in range(0, len(x), step):
-                part = x[i : i + step]
-                at = np.searchsorted(y, part)
-                got += int((y[np.minimum(at, len(y) - 1)] == part).sum()) if len(y) else 0
-                if got + len(x) - i - len(part) < need:
-                    break
-            out.append(got if got >= need else -1)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.int64())], ["a", "b", "overlap"])
+            at = np.searchsorted(y, x)
+            out.append(int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0)
+        rest = [c for c in batch.schema.names if c not in ("xa", "xb")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(out, pa.int64())], [*rest, "overlap"])
 
 
 def _may_link(a: str, b: str) -> Column:
@@ -150,21 +144,32 @@ def _may_link(a: str, b: str) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs a, b (classes) that reach the threshold."""
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b (classes) -> and na, nb, overlap."""
     side = lambda k: sets.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("shared").alias(f"x{k}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb")
-    return both.mapInArrow(_probe, "a long, b long, overlap long").filter("overlap >= 0")
+    return both.mapInArrow(_probe, "a long, b long, na long, nb long, overlap long")
+
+
+def _linked(na: str = "na", nb: str = "nb", overlap: str = "overlap") -> Column:
+    return F.col(overlap) * (100 + PERCENT) >= PERCENT * (F.col(na) + F.col(nb))
 
 
 def _rest(lists: DataFrame, state: DataFrame) -> DataFrame:
-    """Pairs of classes that share enough short lists and are not yet connected."""
+    """Pairs of classes that share enough short lists, are not yet connected, and can still reach the threshold.
+
+    lists has for each member its overlap ``i`` with the hub of the list, and
+    ``e``, how many shared shingles it has beside those.  Two members have at
+    most least(i) + least(e) shingles in common.
+    """
     now = lists.join(state, "cls")
     spread = now.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("shingle")
     now = materialise(now.join(spread, "shingle", "left_semi"), "lists")
-    left = now.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "k", "comp")])
-    right = now.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "k", "comp")])
-    met = left.join(right, "shingle").filter((F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b")) & _may_link("n_a", "n_b"))
+    carried = ("cls", "n", "k", "comp", "i", "e")
+    left, right = (now.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in carried]) for x in "ab")
+    most = F.coalesce(F.least("i_a", "i_b") + F.least("e_a", "e_b"), F.least("n_a", "n_b"))
+    able = most * (100 + PERCENT) >= PERCENT * (F.col("n_a") + F.col("n_b"))
+    met = left.join(right, "shingle").filter((F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b")) & _may_link("n_a", "n_b") & able)
     counted = met.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("common"), F.first(F.least("k_a", "k_b")).alias("k"))
     return counted.filter("common >= k").select("a", "b")
 
@@ -203,16 +208,19 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     k = (1 + F.floor(n / 20)).cast("long")
     own = n - F.size("shared")
     take = F.greatest(F.lit(0), n - F.floor((n * PERCENT + 99) / 100) + k - own).cast("int")
-    lists = classes.select("cls", n, k.alias("k"), (F.size("shared") / n).alias("central"), F.explode(F.slice("ordered", 1, take)).alias("x")).select("cls", "n", "k", "central", F.col("x.shingle").alias("shingle"))
+    lists = classes.select("cls", n, k.alias("k"), F.size("shared").alias("s"), F.explode(F.slice("ordered", 1, take)).alias("x")).select("cls", "n", "k", "s", F.col("x.shingle").alias("shingle"))
     lists = materialise(lists, "lists")
-    hub = lists.groupBy("shingle").agg(F.max(F.struct("central", "n", "cls", "k")).alias("h")).select("shingle", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.k").alias("hub_k"))
-    met = lists.join(hub, "shingle").filter((F.col("cls") != F.col("hub")) & _may_link("n", "hub_n"))
-    tried = met.groupBy("cls", "hub").agg(F.count("*").alias("common"), F.first(F.least("k", "hub_k")).alias("k")).filter("common >= k")
+    hub = lists.groupBy("shingle").agg(F.max(F.struct(F.col("s") / F.col("n"), "n", "cls", "k")).alias("h")).select("shingle", F.col("h.cls").alias("hub"), F.col("h.k").alias("hub_k"))
+    lists = lists.join(hub, "shingle")
+    met = lists.filter("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("common"), F.first(F.least("k", "hub_k")).alias("k")).filter("common >= k")
     narrow = materialise(classes.select("cls", "n", "shared"), "probed")
-    links = materialise(_verified(tried.select(F.col("cls").alias("a"), F.col("hub").alias("b")), narrow), "links")
+    tried = materialise(_overlaps(met.select(F.col("cls").alias("a"), F.col("hub").alias("b")), narrow), "tried")
+    links = tried.filter(_linked()).select("a", "b")
     state = lists.select("cls").distinct().join(components(links).withColumnRenamed("id", "cls"), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"))
-    more = _verified(_rest(lists, state), narrow)
-    links = materialise(links.unionByName(more).select("a", "b"), "links")
+    known = tried.select(F.col("a").alias("cls"), F.col("b").alias("hub"), F.col("overlap").cast("int").alias("i"))
+    lists = lists.join(known, ["cls", "hub"], "left").withColumn("i", F.when(F.col("cls") == F.col("hub"), F.col("s")).otherwise(F.col("i")))
+    rest = _overlaps(_rest(lists.select("shingle", "cls", "n", "k", "i", (F.col("s") - F.col("i")).alias("e")), state), narrow).filter(_linked())
+    links = materialise(links.unionByName(rest.select("a", "b")), "links")
 
     # back to documents; a folded class without any link holds sets that are not alike among themselves
     comp = components(links).withColumnRenamed("id", "cls")
