@@ -4,10 +4,9 @@ A document is the set of its distinct five-word shingles.  Two documents link
 when 100 * intersection >= 80 * union, so they share at least T = 80 % of the
 larger set.  Shingles have one global order; in it every set is divided into a
 short part (its first |x| - T + k shingles) and a long part (the rest).  Linked
-documents meet in at least k inverted lists of short shingles: these lists are
-merged (a shuffle on the shingle with a count per pair), candidates that were
-met too rarely are skipped, and for the others the shingles are probed by binary
-search in the partner's sorted set.
+documents meet in at least k inverted lists of short shingles.  These lists are
+merged by a shuffle on the shingle, the long ones are skipped, and candidates
+are probed by binary search in the partner's sorted set.
 
 1. Equal sets are folded into one representative.
 2. With the shingles ordered by hash, a set none of whose partners can reach k
@@ -155,23 +154,21 @@ def _linked(na: str = "na", nb: str = "nb", overlap: str = "overlap") -> Column:
     return F.col(overlap) * (100 + PERCENT) >= PERCENT * (F.col(na) + F.col(nb))
 
 
-def _rest(lists: DataFrame, state: DataFrame) -> DataFrame:
-    """Pairs of classes that share enough short lists, are not yet connected, and can still reach the threshold.
+def _rest(members: DataFrame, state: DataFrame) -> DataFrame:
+    """Pairs of classes that met the same hub, are not yet connected, and can still reach the threshold.
 
-    lists has for each member its overlap ``i`` with the hub of the list, and
-    ``e``, how many shared shingles it has beside those.  Two members have at
-    most least(i) + least(e) shingles in common.
+    members: hub, cls, n, ``i`` (overlap with the hub) and ``e`` (shared
+    shingles beside those).  Linked classes have a short list in common and so
+    the hub of that list; two members of a hub have at most least(i) + least(e)
+    shingles in common.
     """
-    now = lists.join(state, "cls")
-    spread = now.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("shingle")
-    now = materialise(now.join(spread, "shingle", "left_semi"), "lists")
-    carried = ("cls", "n", "k", "comp", "i", "e")
-    left, right = (now.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in carried]) for x in "ab")
-    most = F.coalesce(F.least("i_a", "i_b") + F.least("e_a", "e_b"), F.least("n_a", "n_b"))
-    able = most * (100 + PERCENT) >= PERCENT * (F.col("n_a") + F.col("n_b"))
-    met = left.join(right, "shingle").filter((F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b")) & _may_link("n_a", "n_b") & able)
-    counted = met.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("common"), F.first(F.least("k_a", "k_b")).alias("k"))
-    return counted.filter("common >= k").select("a", "b")
+    now = members.join(state, "cls")
+    spread = now.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("hub")
+    now = materialise(now.join(spread, "hub", "left_semi"), "members")
+    left, right = (now.select("hub", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "comp", "i", "e")]) for x in "ab")
+    able = (F.least("i_a", "i_b") + F.least("e_a", "e_b")) * (100 + PERCENT) >= PERCENT * (F.col("n_a") + F.col("n_b"))
+    met = left.join(right, "hub").filter((F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b")) & _may_link("n_a", "n_b") & able)
+    return met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
 
 
 def similar_sets(docs: DataFrame) -> DataFrame:
@@ -204,22 +201,21 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     member = materialise(sets.select("rep", "mark", "mark2", "n", F.size("shared").alias("s")).join(folded, ["mark", "mark2"]).select("rep", "cls", "members", (100 * F.col("s") >= PERCENT * (2 * F.col("n") - F.col("s"))).alias("alike")), "classes")
     classes = sets.join(member.filter("rep = cls").select("cls"), F.col("rep") == F.col("cls"), "left_semi").withColumnRenamed("rep", "cls")
 
-    # inverted lists of the short parts
-    k = (1 + F.floor(n / 20)).cast("long")
+    # inverted lists of the short parts: every list meets its hub
     own = n - F.size("shared")
-    take = F.greatest(F.lit(0), n - F.floor((n * PERCENT + 99) / 100) + k - own).cast("int")
-    lists = classes.select("cls", n, k.alias("k"), F.size("shared").alias("s"), F.explode(F.slice("ordered", 1, take)).alias("x")).select("cls", "n", "k", "s", F.col("x.shingle").alias("shingle"))
+    take = F.greatest(F.lit(0), n - F.floor((n * PERCENT + 99) / 100) + 1 - own).cast("int")
+    lists = classes.select("cls", n, F.size("shared").alias("s"), F.explode(F.slice("ordered", 1, take)).alias("x")).select("cls", "n", "s", F.col("x.shingle").alias("shingle"))
     lists = materialise(lists, "lists")
-    hub = lists.groupBy("shingle").agg(F.max(F.struct(F.col("s") / F.col("n"), "n", "cls", "k")).alias("h")).select("shingle", F.col("h.cls").alias("hub"), F.col("h.k").alias("hub_k"))
-    lists = lists.join(hub, "shingle")
-    met = lists.filter("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("common"), F.first(F.least("k", "hub_k")).alias("k")).filter("common >= k")
+    hub = lists.groupBy("shingle").agg(F.max(F.struct(F.col("s") / F.col("n"), "n", "cls")).alias("h"), F.count("*").alias("m")).filter("m > 1").select("shingle", F.col("h.cls").alias("hub"))
+    met = materialise(lists.join(hub, "shingle").groupBy("cls", "hub").agg(F.first("n").alias("n"), F.first("s").alias("s")), "met")
     narrow = materialise(classes.select("cls", "n", "shared"), "probed")
-    tried = materialise(_overlaps(met.select(F.col("cls").alias("a"), F.col("hub").alias("b")), narrow), "tried")
+    tried = materialise(_overlaps(met.filter("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")), narrow), "tried")
     links = tried.filter(_linked()).select("a", "b")
-    state = lists.select("cls").distinct().join(components(links).withColumnRenamed("id", "cls"), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"))
-    known = tried.select(F.col("a").alias("cls"), F.col("b").alias("hub"), F.col("overlap").cast("int").alias("i"))
-    lists = lists.join(known, ["cls", "hub"], "left").withColumn("i", F.when(F.col("cls") == F.col("hub"), F.col("s")).otherwise(F.col("i")))
-    rest = _overlaps(_rest(lists.select("shingle", "cls", "n", "k", "i", (F.col("s") - F.col("i")).alias("e")), state), narrow).filter(_linked())
+    state = met.select("cls").distinct().join(components(links).withColumnRenamed("id", "cls"), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"))
+    known = tried.select(F.col("a").alias("cls"), F.col("b").alias("hub"), "overlap")
+    i = F.coalesce("overlap", "s")  # the hub itself has all of its own
+    members = met.join(known, ["cls", "hub"], "left").select("hub", "cls", "n", i.alias("i"), (F.col("s") - i).alias("e"))
+    rest = _overlaps(_rest(members, state), narrow).filter(_linked())
     links = materialise(links.unionByName(rest.select("a", "b")), "links")
 
     # back to documents; a folded class without any link holds sets that are not alike among themselves
