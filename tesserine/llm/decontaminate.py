@@ -4,8 +4,9 @@ Words are compared without case and punctuation.  The CGK walk reads a window
 word by word; at each step it emits the word under it and a random bit for that
 step and word says whether it moves on.  Two texts that differ by few word edits
 fall back into step soon, so their emitted sequences differ in few places: edit
-distance becomes Hamming distance.  A key samples three steps of the walk; there
-are several repetitions with bits and steps of their own.  Every word position
+distance becomes Hamming distance.  A key samples SAMPLES steps of the walk, which
+must stand on at least DISTINCT words; there are several repetitions with bits and
+steps of their own, more of them if an item has too few keys.  Every word position
 of every document starts a window, and so does every position of an item whose
 samples stay inside it.  Windows that meet an item under one key are verified by
 the exact edit distance between the whole item and the nearest passage around
@@ -25,7 +26,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,10 @@ from pyspark.sql import functions as F
 MIN_WORDS, RATE, LEAST_EDITED = 5, 5, 10
 #: Steps of the walk that the samples of each repetition come from: short walks for items with many edits, long ones for few chance hits.
 REPETITIONS = (5, 5, 9, 9, 16, 16)
+SAMPLES, DISTINCT = 4, 3
+#: Repetitions of the shortest walk are added until every item has so many keys, up to MOST repetitions.
+LEAST_KEYS, MOST = 3, 40
+_MULTIPLY = np.int64(0x5851F42D4C957F2D)
 SEED = 20_240_509
 #: Words of the items in one broadcast block (an index takes about 500 bytes a word).
 BLOCK_WORDS = 500_000
@@ -78,56 +82,59 @@ class Index:
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in found for w in ws}), 1)}
         self.items = [(i, [self.vocabulary[w] for w in ws]) for i, ws in found]
         self.sets = [set(ws) for _, ws in self.items]
-        self.base = len(self.vocabulary) + 1
-        rng = np.random.default_rng(SEED)
-        self.walks = []
-        for steps in REPETITIONS:
-            bits = rng.integers(0, 1 << 63, self.base, dtype=np.int64)
-            third = steps // 3 or 1
-            samples = [int(rng.integers(0, third)), int(rng.integers(third, 2 * third)), int(rng.integers(2 * third, steps))]
-            self.walks.append((samples, bits, *self._keys(samples, bits)))
+        rng, size = np.random.default_rng(SEED), len(self.vocabulary) + 1
+        self.walks, had = [], np.zeros(len(self.items), np.int64)
+        while self.items and (len(self.walks) < len(REPETITIONS) or (had.min() < LEAST_KEYS and len(self.walks) < MOST)):
+            steps = REPETITIONS[len(self.walks)] if len(self.walks) < len(REPETITIONS) else min(REPETITIONS)
+            bits = rng.integers(0, 1 << 62, size, dtype=np.int64)
+            samples = np.sort(rng.permutation(steps)[:SAMPLES]).tolist()
+            keys = self._keys(samples, bits)
+            had += np.bincount(keys[1], minlength=len(had))
+            self.walks.append((samples, bits, *keys))
 
     def _keys(self, samples: list[int], bits: np.ndarray) -> tuple:
         """Sorted keys with their items and offsets, and which words each sample of an item can have."""
-        key, item, offset, allowed = [], [], [], [np.zeros(self.base, bool) for _ in samples]
-        for k, (_, ws) in enumerate(self.items):
-            for o in range(len(ws)):
-                at, met = o, []
-                for j in range(samples[-1] + 1):
-                    if at >= len(ws):
-                        break
-                    if j in samples:
-                        met.append(ws[at])
-                    at += int(bits[ws[at]]) >> j & 1
-                if len(met) == len(samples):
-                    for seen, c in zip(allowed, met, strict=True):
-                        seen[c] = True
-                    key.append((met[0] * self.base + met[1]) * self.base + met[2])
-                    item.append(k)
-                    offset.append(o)
-        order = np.argsort(np.array(key, np.int64), kind="stable")
-        return tuple(np.array(x, np.int64)[order] for x in (key, item, offset)) + (allowed,)
+        rows, allowed = [], [np.zeros(len(self.vocabulary) + 1, bool) for _ in samples]
+        words = np.array([w for _, ws in self.items for w in [*ws, 0]], np.int64)  # one word of no item between two items
+        sizes = np.array([len(ws) + 1 for _, ws in self.items])
+        item = np.repeat(np.arange(len(sizes)), sizes)
+        start, met, key = self._walk(words, samples, bits, None)
+        inside = (met > 0).all(axis=0)
+        for seen, c in zip(allowed, met[:, inside], strict=True):
+            seen[c] = True
+        start, key = start[inside], key[inside]
+        first = np.cumsum(sizes) - sizes
+        rows = (key, item[start], start - first[item[start]])
+        order = np.argsort(key, kind="stable")
+        return tuple(x[order] for x in rows) + (allowed,)
+
+    @staticmethod
+    def _walk(ids: np.ndarray, samples: list[int], bits: np.ndarray, allowed: list | None) -> tuple:
+        """Windows whose samples stand on enough words: start, sampled words, key.  allowed: words that each sample may have."""
+        moves, start = bits[ids], np.arange(len(ids))
+        at, last, seen, key, met = start, np.full(len(ids), -1), np.zeros(len(ids), np.int8), np.zeros(len(ids), np.int64), []
+        for j in range(samples[-1] + 1):
+            if j in samples:
+                c = ids[at]
+                if allowed is not None:
+                    alive = np.flatnonzero(allowed[samples.index(j)][c])
+                    start, at, last, seen, key, c = start[alive], at[alive], last[alive], seen[alive], key[alive], c[alive]
+                seen = seen + (at != last)
+                last, key = at, key * _MULTIPLY + c
+                if allowed is None:
+                    met.append(c)
+            at = np.minimum(at + (moves[at] >> j & 1), len(ids) - 1)
+        enough = np.flatnonzero(seen >= DISTINCT)
+        return start[enough], np.array(met)[:, enough] if met else None, key[enough]
 
     def candidates(self, ids: np.ndarray) -> np.ndarray:
         """Rows (where the item would begin, item) over the positions of ``ids``; id 0 stands for a word of no item."""
         out = []
         for samples, bits, keys, items, offsets, allowed in self.walks:
-            if not len(keys):
-                continue
-            moves, at, start, key = bits[ids], np.arange(len(ids)), None, None
-            for j in range(samples[-1] + 1):
-                if j in samples:
-                    c = ids[at]
-                    alive = np.flatnonzero(allowed[samples.index(j)][c])
-                    at, c = at[alive], c[alive]
-                    start = alive if start is None else start[alive]
-                    key = c if key is None else key[alive] * self.base + c
-                at = at + (moves[at] >> j & 1)
-                at = np.minimum(at, len(ids) - 1)
+            start, _, key = self._walk(ids, samples, bits, allowed)
             low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            n = high - low
-            hit = np.flatnonzero(n)
-            n = n[hit]
+            hit = np.flatnonzero(high > low)
+            n = (high - low)[hit]
             each = np.repeat(low[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())
             out.append(np.stack([np.repeat(start[hit], n) - offsets[each], items[each]], axis=1))
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
