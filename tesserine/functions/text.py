@@ -26,6 +26,10 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def count_of(items: Column, value: str) -> Column:
+    return F.size(F.filter(items, lambda x: x == value))
+
+
 def words(text: Column) -> Column:
     """Pieces between white space."""
     return F.filter(F.split(text, f"{BLANK}+"), lambda x: x != "")
@@ -50,7 +54,7 @@ def slugify(text: Column, default: str = "item") -> Column:
 def occurrences(text: Column, needle: Column) -> Column:
     """Non-overlapping occurrences of a non-empty needle."""
     gone = F.length(text) - F.length(F.replace(text, needle, F.lit("")))
-    return F.expr("cast(null as bigint)") if needle is None else (gone / F.length(needle)).cast("long")
+    return (gone / F.length(needle)).cast("long")
 
 
 def replace_once(text: Column, old: Column, new: Column) -> Column:

@@ -1,6 +1,518 @@
-"""Named queries over the test tables and their SQL counterparts."""
+"""Named queries over the test tables and their SQL counterparts.
+
+Each entry is (name, Spark query, SQL); SQL is None where there is none.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesserine import tables as K
+from tesserine.functions import text as T
+from tesserine.functions import vectors as V
+from tesserine.operators import compiling, documents, graph, queueing, search
+from tesserine.streaming import queue
+
+QUERY, WORD, LIMIT = "the that", "the", 20
+AS_OF = "2024-06-01 00:00:00"
+BUCKETS = (10, 50, 100, 200, 500, 1000)
+RERANK = "the of and"
+
+
+def knowledge(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {n: getattr(K, n)(spark, d) for n in ("documents", "blocks", "entities", "relations", "claims", "references", "citations")}
+
+
+def query_vector(spark: SparkSession, d: str) -> DataFrame:
+    return K.read(spark, d, "embeddings").filter("vec_id = 0").select(F.col("embedding").alias("query"))
+
+
+def r6(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+# --- search -----------------------------------------------------------------
+
+def lexical_blocks(s, d):
+    return search.lexical_blocks(K.blocks(s, d), QUERY, LIMIT)
+
+
+def title_match(s, d):
+    return search.title_match(K.documents(s, d), WORD, LIMIT)
+
+
+def entity_ilike(s, d):
+    return search.entity_match(K.entities(s, d), "brand#1", LIMIT)
+
+
+def knn_exact(s, d):
+    return search.nearest(K.blocks(s, d), query_vector(s, d), LIMIT)
+
+
+def vector_normalize(s, d):
+    cut = K.read(s, d, "embeddings").select("vec_id", V.fit_dimension(F.col("embedding"), 48).alias("cut"))
+    return cut.select("vec_id", F.size("cut").alias("n"), F.round(V.norm(F.col("cut")), 6).alias("length"), F.round(F.element_at("cut", 1), 6).alias("first"))
+
+
+def rrf_fusion(s, d):
+    b = K.blocks(s, d)
+    return search.fuse([search.lexical_blocks(b, QUERY, LIMIT), search.nearest(b, query_vector(s, d), LIMIT)]).select("id", "result_type", "path", "score")
+
+
+def graph_weights(s, d):
+    t = knowledge(s, d)
+    return search.graph_weights(t["documents"], t["references"], t["citations"])
+
+
+def hybrid_search(s, d):
+    return search.hybrid_search(knowledge(s, d), QUERY, query_vector(s, d), LIMIT)
+
+
+def hybrid_search_plain(s, d):
+    return search.hybrid_search(knowledge(s, d), QUERY, None, LIMIT, min_score=0.01, rerank=False)
+
+
+def search_tag_filter(s, d):
+    docs = K.documents(s, d)
+    return search.with_tags(search.lexical_blocks(K.blocks(s, d), QUERY, LIMIT), docs, ["EN", "src1"]).select("id", "path", "score")
+
+
+def heuristic_rerank(s, d):
+    q = F.lit(search.query_tokens(RERANK))
+    text = K.documents(s, d).select("doc_id", T.tokens(F.left("content_md", F.lit(300))).alias("t"))
+    return text.select("doc_id", F.round(F.size(F.array_intersect(q, "t")) / 3, 6).alias("cover"))
+
+
+def rules_clamp(s, d):
+    v = (F.col("p_retailprice") - 900) / 10
+    rules = {**search.RULES, **search.COMPILE_RULES}
+    return K.read(s, d, "part").select("p_partkey", *[search.clamp_rule(v, r).alias(n) for n, r in rules.items()])
+
+
+CHANNELS = """,
+lex as (
+  select concat('block:', block_id) as id, 'block' as result_type, path, title, 1 as page_no, cast(len(list_filter(tk, lambda x: x = 'the')) + len(list_filter(tk, lambda x: x = 'that')) as double) as score, left(text, 300) as snippet
+  from (select *, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') as tk from kb_blocks) t
+  where list_contains(tk, 'the') and list_contains(tk, 'that') order by score desc, id limit 20),
+q as (select cast(embedding as double[]) as v from embeddings where vec_id = 0),
+sem as (
+  select concat('block:', block_id) as id, 'semantic_block' as result_type, path, title, 1 as page_no, round(list_cosine_similarity(cast(embedding as double[]), v), 6) as score, left(text, 300) as snippet
+  from kb_blocks, q where embedding is not null order by score desc, id limit 20)"""
+TITLES = """,
+ttl as (
+  select concat('document:', doc_id) as id, 'document' as result_type, path, title, cast(null as integer) as page_no, score, left(content_md, 300) as snippet
+  from (select *, cast({score} as double) as score from (select *, regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+') as tk from kb_documents) t0
+    where not archived and kind in ('wiki', 'system')) t
+  where {match} order by score desc, id limit 20)"""
+ENTITIES = """,
+ent as (
+  select concat('entity:', entity_id) as id, 'entity' as result_type, concat('/wiki/entities/', coalesce(nullif(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'item'), '.md') as path, title, cast(null as integer) as page_no, 1.0::double as score, left(summary, 300) as snippet
+  from kb_entities where title ilike '{p}' or summary ilike '{p}' order by entity_id desc limit 20)"""
+BOTH = dict(score="len(list_filter(tk, lambda x: x = 'the')) + len(list_filter(tk, lambda x: x = 'that'))", match="list_contains(tk, 'the') and list_contains(tk, 'that')")
+ONE = dict(score="len(list_filter(tk, lambda x: x = 'the'))", match="list_contains(tk, 'the')")
+WEIGHTS = """,
+wgt as (
+  select doc_id, path, (select count(*) from kb_references r where r.target_document_id = d.doc_id) + (select count(*) from kb_citations c where c.source_document_id = d.doc_id) as weight
+  from kb_documents d where not archived)"""
+
+
+def _hybrid_sql(channels: list[str], min_score: float, rerank: bool) -> str:
+    union = " union all ".join(f"select *, {i} as channel from {c}" for i, c in enumerate(channels))
+    last = """
+select f.* exclude (k1, k2), cast(f.k1 as int) as position from ("""
+    body = f"""{CHANNELS}{TITLES.format(**BOTH)}{ENTITIES.format(p='%the that%')}{WEIGHTS},
+rk as (select *, row_number() over (partition by channel order by score desc, id) as rnk from ({union}) u),
+fu as (
+  select id, arg_max(struct_pack(result_type, path, title, page_no, snippet), row(coalesce(score, 0), -channel)) as b, round(sum(1.0::double / (60 + rnk)), 6) as fused, min(row(channel, rnk)) as first
+  from rk group by id),
+bo as (
+  select id, b.result_type as result_type, b.path as path, b.title as title, b.page_no as page_no, b.snippet as snippet, first,
+    round(fused + coalesce(weight, 0) / (select greatest(1, max(weight)) from wgt) * 0.15::double, 6) as score
+  from fu left join wgt on wgt.path = b.path),
+cu as (select *, row_number() over (order by score desc, first, id) as pos from bo where score >= {min_score} order by score desc, first, id limit 20)"""
+    if not rerank:
+        return K.with_views(f"{body}\nselect id, result_type, path, title, page_no, snippet, score, cast(pos as int) as position from cu")
+    cover = "round(len(list_intersect(['the', 'that'], regexp_extract_all(lower(coalesce(nullif(snippet, ''), title, '')), '[\\p{L}\\p{N}_]+'))) / 2.0::double, 6)"
+    return K.with_views(f"{body}\nselect id, result_type, path, title, page_no, snippet, score, cast(row_number() over (order by score desc, pos) as int) as position from (select * exclude (score), {cover} as score from cu) x")
+
+
+# --- text and compile -------------------------------------------------------
+
+def split_blocks(s, d):
+    b = compiling.split_blocks(K.conversation_markdown(s, d))
+    return b.select("doc_id", "chunk_idx", "block_type", F.array_join("heading_path", " > ").alias("heading_path"), "content_hash", "token_count")
+
+
+def block_hash_diff(s, d):
+    c = K.read(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_idx"), "text")
+    ends = c.groupBy("doc_id").agg(F.min("chunk_idx").alias("lo"), F.max("chunk_idx").alias("hi"))
+    old = c.withColumn("content_hash", F.sha2("text", 256))
+    new = c.join(ends, "doc_id").filter("chunk_idx < hi").withColumn("content_hash", F.sha2(F.when(F.col("chunk_idx") == F.col("lo"), F.concat("text", F.lit(" edited"))).otherwise(F.col("text")), 256))
+    return compiling.block_actions(old, new)
+
+
+def extract_sections(s, d):
+    return compiling.sections(K.conversation_markdown(s, d), ["Assistant"]).select("doc_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("hash"))
+
+
+def table_render(s, d):
+    return compiling.render_table(K.read(s, d, "nation"), "n_regionkey", ["n_nationkey", "n_name"], ["n_nationkey"])
+
+
+def replace_once(s, d):
+    t = K.documents(s, d)
+    new = T.replace_once(F.col("content_md"), F.lit("that"), F.lit("THAT"))
+    return t.select("doc_id", T.occurrences(F.col("content_md"), F.lit("that")).alias("n"), F.sha2(new, 256).alias("hash"))
+
+
+def append_md(s, d):
+    t = K.read(s, d, "conversations")
+    return t.select("conv_id", "turn", F.sha2(T.append_markdown(F.concat("text", F.lit(" \n")), F.concat(F.lit("\n "), "role")), 256).alias("hash"))
+
+
+def page_range(s, d):
+    spec = F.concat(F.col("p_size").cast("string"), F.lit("-"), (F.col("p_size") + 2).cast("string"), F.lit(","), (F.col("p_size") + 1).cast("string"), F.lit(","), (F.col("p_partkey") % 7).cast("string"))
+    return K.read(s, d, "part").select("p_partkey", F.array_join(T.page_range(spec), ",").alias("pages"))
+
+
+def slugify(s, d):
+    return K.documents(s, d).select("doc_id", T.slugify(F.col("title")).alias("slug"))
+
+
+def unique_slugs(s, d):
+    return compiling.unique_slugs(K.entities(s, d).select("entity_id", "title"), "title", "entity_id").select("entity_id", "slug")
+
+
+def pct_format(s, d):
+    return K.claims(s, d).select("claim_id", T.percent(F.col("confidence")).alias("pct"))
+
+
+def token_counts(s, d):
+    return K.documents(s, d).select("doc_id", T.token_count(F.col("content_md")).alias("words"), F.size(T.lines(F.col("content_md"))).alias("lines"), F.sha2("content_md", 256).alias("hash"))
+
+
+def html_to_text(s, d):
+    return K.read(s, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
+
+
+def entity_upsert_fold(s, d):
+    return compiling.upsert_entities(K.entities(s, d), "entity_id")
+
+
+def relation_provenance(s, d):
+    return compiling.relation_summary(compiling.provenance(K.relations(s, d)))
+
+
+def relation_cleanup(s, d):
+    gone = K.documents(s, d).filter("kind = 'source'").select(F.col("doc_id").alias("source_document_id"))
+    return compiling.relation_summary(compiling.without_documents(K.relations(s, d), gone))
+
+
+def claims_threshold(s, d):
+    return compiling.accept_claims(K.claims(s, d), 0.5).select("claim_id", "entity_id", "confidence")
+
+
+def quote_match(s, d):
+    lines = K.documents(s, d).select("doc_id", F.posexplode(F.split("content_md", "\n")).alias("chunk_idx", "text"))
+    cited = K.citations(s, d).select("claim_id", F.col("source_document_id").alias("doc_id"), F.col("quote_text").alias("quote"))
+    return compiling.match_quotes(cited, lines)
+
+
+def citation_purge(s, d):
+    gone = K.documents(s, d).filter("policy = 'locked'").select(F.col("doc_id").alias("source_document_id"))
+    return compiling.purge(K.claims(s, d), K.citations(s, d), gone).select("claim_id", "entity_id")
+
+
+def page_markdown(s, d):
+    t = knowledge(s, d)
+    return compiling.pages(t["entities"], t["claims"], t["relations"], "benchmark")
+
+
+# --- documents --------------------------------------------------------------
+
+def doc_list_prefix(s, d):
+    return documents.with_prefix(K.documents(s, d), "/wiki/src1", "wiki").select("path", "title")
+
+
+def doc_glob(s, d):
+    return documents.matching(K.documents(s, d), "wiki/src1?/*.md").select("path")
+
+
+def doc_by_path(s, d):
+    return K.documents(s, d).filter(F.col("path").endswith("/doc-7.md")).select("doc_id", "path", "kind", "policy")
+
+
+def doc_head(s, d):
+    return documents.heads(K.revisions(s, d))
+
+
+def prev_revision(s, d):
+    return documents.with_previous(K.revisions(s, d)).select("revision_id", "previous_id")
+
+
+def revision_feed(s, d):
+    return documents.latest(K.revisions(s, d), "created_at", "revision_id")
+
+
+def activity_feed(s, d):
+    e = documents.latest(K.read(s, d, "events").select("event_id", F.col("user_id").alias("doc_id"), "ts", "event_type"), "ts", "event_id")
+    return e.join(K.documents(s, d).select("doc_id", "path"), "doc_id", "left")
+
+
+def run_feed(s, d):
+    return documents.latest(K.runs(s, d).filter("status <> 'running'"), "ts", "seq")
+
+
+def _consecutive(s, d):
+    c = K.read(s, d, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("created_at"), F.col("turn").alias("revision_id"), F.col("text").alias("content_md"))
+    return documents.with_previous(c)
+
+
+def diff_stats(s, d):
+    r = _consecutive(s, d)
+    return r.select("document_id", "revision_id", *[c.alias(n) for n, c in documents.distinct_line_stats(F.col("previous_md"), F.col("content_md")).items()])
+
+
+def diff_lines(s, d):
+    r = _consecutive(s, d).select("document_id", "revision_id", documents.line_diff("previous_md", "content_md").alias("diff"))
+    return r.select("document_id", "revision_id", F.posexplode("diff").alias("pos", "x")).select("document_id", "revision_id", "pos", "x.type", "x.text")
+
+
+def lint_findings(s, d):
+    return documents.lint(K.documents(s, d))
+
+
+def workspace_counts(s, d):
+    return documents.counts(K.documents(s, d))
+
+
+def tenant_scope(s, d):
+    docs = K.documents(s, d)
+    return documents.in_workspace(K.references(s, d).withColumnRenamed("source_document_id", "doc_id"), "en", docs).select("doc_id", "target_document_id")
+
+
+def token_validity(s, d):
+    e = K.read(s, d, "events")
+    t = e.select("event_id", F.when(F.col("event_id") % 3 > 0, F.col("ts") + F.expr("interval 30 days")).alias("expires_at"), F.when(F.col("event_id") % 7 == 0, F.col("ts")).alias("revoked_at"))
+    return documents.valid_tokens(t, "2024-01-20 00:00:00").select("event_id")
+
+
+def policy_guard(s, d):
+    docs = K.documents(s, d).select("doc_id", "policy", "path")
+    ops = documents.policy_table(s).select("surface", "operation").distinct()
+    return documents.guarded(docs.join(F.broadcast(ops))).select("doc_id", "surface", "operation", "error")
+
+
+def export_pages(s, d):
+    return documents.export_pages(K.documents(s, d)).select("path", F.sha2("content_md", 256).alias("hash"))
+
+
+# --- graph ------------------------------------------------------------------
+
+def graph_nodes(s, d):
+    return graph.workspace_graph(knowledge(s, d))[0]
+
+
+def graph_edges(s, d):
+    return graph.workspace_graph(knowledge(s, d), 1000, 2000)[1]
+
+
+def graph_summary(s, d):
+    return graph.workspace_graph(knowledge(s, d))[2]
+
+
+def _focus(s, d):
+    return K.citations(s, d).agg(F.min("source_document_id").alias("doc_id"))
+
+
+def graph_focus_nodes(s, d):
+    return graph.focus_graph(knowledge(s, d), _focus(s, d))[0]
+
+
+def graph_focus_edges(s, d):
+    return graph.focus_graph(knowledge(s, d), _focus(s, d))[1]
+
+
+def doc_references(s, d):
+    return graph.neighbours(K.documents(s, d), K.references(s, d))
+
+
+def doc_citations(s, d):
+    return graph.document_citations(K.citations(s, d), K.claims(s, d), K.documents(s, d))
+
+
+_SLUG = "coalesce(nullif(trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'item')"
+_EPATH = f"concat('/wiki/', case when entity_type in ('person','company','organization','project','product','protocol','event') then 'entities' else 'concepts' end, '/', {_SLUG.format('title')}, '.md')"
+
+
+def _graph_sql(focus: bool, nodes: int, edges: int, out: str) -> str:
+    f = "(select min(source_document_id) from kb_citations)"
+    cit = f"kb_citations where source_document_id = {f}" if focus else "kb_citations"
+    clm = "kb_claims where claim_id in (select claim_id from cit)" if focus else "kb_claims"
+    ent = "kb_entities where entity_id in (select entity_id from clm)" if focus else "kb_entities"
+    rel = "kb_relations where source_entity_id in (select entity_id from clm)" if focus else "kb_relations"
+    ref = f"kb_references where source_document_id = {f} or target_document_id = {f}" if focus else "kb_references"
+    return K.with_views(f""",
+cit as (select * from {cit}), clm as (select * from {clm}), rel as (select distinct source_entity_id, target_entity_id, relation_type from {rel}), ref as (select distinct * from {ref}),
+nod as (
+  select concat('entity:', entity_id) as id, 'entity' as type, entity_id as ref_id, title as label, entity_type as subtype, {_EPATH} as path, 0 as st from (select * from {ent}) e
+  union all select concat('claim:', claim_id), 'claim', claim_id, case when length(canonical_text) > 120 then concat(left(canonical_text, 120), '…') else canonical_text end, null, null, 1 from clm
+  union all select concat('document:', doc_id), 'document', doc_id, title, kind, path, 2 from kb_documents
+    where doc_id in (select source_document_id from cit union select source_document_id from ref union select target_document_id from ref)),
+edg as (
+  select concat_ws('|', type, source, target, label) as id, * from (
+    select 'relation' as type, concat('entity:', source_entity_id) as source, concat('entity:', target_entity_id) as target, relation_type as label, 0 as st from rel
+    union all select 'claim_entity', concat('claim:', claim_id), concat('entity:', entity_id), 'about', 1 from clm
+    union all select 'citation', concat('claim:', claim_id), concat('document:', source_document_id), 'cites', 2 from cit
+    union all select 'reference', concat('document:', source_document_id), concat('document:', target_document_id), ref_type, 3 from ref) x
+  where source in (select id from nod) and target in (select id from nod)),
+shown as (select * exclude (st) from nod order by st, ref_id limit {nodes}),
+kept as (select id, type, source, target, label from (select * from edg order by st, id limit {edges}) x where source in (select id from shown) and target in (select id from shown))
+{out}""")
+
+
+_SUMMARY = "select * from (select " + ", ".join(f"count(*) filter (type = '{k}') as {k}_nodes" for k in ("entity", "claim", "document")) + " from shown) a, (select " + ", ".join(f"count(*) filter (type = '{k}') as {k}_edges" for k in ("relation", "claim_entity", "citation", "reference")) + " from kept) b, (select (select count(*) from nod) >= 300 or (select count(*) from edg) >= 600 as truncated) c"
+
+
+# --- queue and metrics ------------------------------------------------------
+
+def enqueue_idempotent(s, d):
+    return queueing.accepted(K.read(s, d, "events").select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], "ts")
+
+
+def retry_state(s, d):
+    return queueing.attempts(K.runs(s, d))
+
+
+def dlq_route(s, d):
+    return queueing.dead_letters(K.runs(s, d))
+
+
+def dlq_replay(s, d):
+    r = K.runs(s, d)
+    return queueing.replay(r, queueing.dead_letters(r))
+
+
+def run_status_final(s, d):
+    return queueing.final_status(K.runs(s, d))
+
+
+def metrics_histogram(s, d):
+    return queueing.histogram(K.read(s, d, "events"), "event_type", "value", BUCKETS)
+
+
+def p95_by_type(s, d):
+    return K.read(s, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.95), 6).alias("p95"), F.count("*").alias("n"))
+
+
+def _events(s, d, *columns):
+    schema = K.read(s, d, "events").schema
+    return queue.messages(s, f"{d}/event*.parquet", schema)
+
+
+def stream_routes(s, d):
+    kind = F.col("event_type")
+    status = F.when(kind == "error", "failed").when(kind == "purchase", "succeeded").otherwise("running")
+    runs = _events(s, d).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), "ts", status.alias("status"))
+    return queue.drain(queue.routes(runs), "routes")
+
+
+def stream_first_seen(s, d):
+    kept = queue.first_seen(_events(s, d).select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts")
+    return queue.drain(kept.select("user_id", "event_type"), "first-seen")
+
+
+_FAILED = ", f as (select *, row_number() over (partition by run_id order by ts, seq) as attempt from kb_runs where status = 'failed')"
+_RULES = ", ".join(f"greatest({float(a)}::double, least({float(b)}::double, v)) as {n}" for n, (_, a, b) in {**search.RULES, **search.COMPILE_RULES}.items())
+_LINES = "case when {0} is null or {0} = '' then [] when ends_with({0}, chr(10)) then string_split({0}, chr(10))[:-2] else string_split({0}, chr(10)) end"
+_BLOCKS = """,
+ln as (select doc_id, unnest(string_split(content_md, chr(10))) as line, generate_subscripts(string_split(content_md, chr(10)), 1) as pos from kb_markdown),
+fl as (select *, starts_with(line, '#') as heading, trim(line) = '' as blank from ln),
+pt as (select *, sum(cast(heading or blank as int)) over w as part, sum(cast(heading as int)) over w as nth from fl window w as (partition by doc_id order by pos)),
+bl as (select doc_id, part, nth, heading, min(pos) as pos, trim(string_agg(line, chr(10) order by pos)) as raw from pt where heading or not blank group by all),
+hd as (select *, case when heading then trim(regexp_replace(raw, '^#+', '')) else raw end as text, case when heading then length(regexp_extract(raw, '^#+')) end as level from bl),
+pa as (
+  select *, last_value(case when level = 1 then text end ignore nulls) over w as h1, last_value(case when level = 2 then text end ignore nulls) over w as h2,
+    last_value(level ignore nulls) over w as lv
+  from hd window w as (partition by doc_id order by pos))
+"""
+_POLICY = "case " + " ".join(f"when surface = '{a}' and operation = '{o}' and policy in ({', '.join(repr(p) for p in ok)}) then null" for (a, o), ok in documents.ALLOWED.items()) + " else 'policy' end"
+_OPS = ", ".join(f"('{a}', '{o}')" for a, o in documents.ALLOWED)
+_REL = "select source_entity_id, target_entity_id, relation_type, count(distinct source_document_id) as documents, min(source_document_id) as first_document, max(source_document_id) as last_document from kb_relations {0} group by all"
+
+ENTRIES = [
+    (lexical_blocks, K.with_views(CHANNELS + "\nselect * from lex")),
+    (title_match, K.with_views(TITLES.format(**ONE) + "\nselect * from ttl")),
+    (entity_ilike, K.with_views(ENTITIES.format(p="%brand#1%") + "\nselect * from ent")),
+    (knn_exact, K.with_views(CHANNELS + "\nselect * from sem")),
+    (vector_normalize, "with c as (select vec_id, cast(embedding[1:48] as double[]) as c from embeddings), n as (select *, sqrt(list_inner_product(c, c)) as l from c) select vec_id, len(c) as n, 1.0::double as length, round(c[1] / l, 6) as first from n"),
+    (rrf_fusion, K.with_views(CHANNELS + ", u as (select *, 0 as channel, row_number() over (order by score desc, id) as rnk from lex union all select *, 1, row_number() over (order by score desc, id) from sem) select id, arg_max(result_type, row(score, -channel)) as result_type, arg_max(path, row(score, -channel)) as path, round(sum(1.0::double / (60 + rnk)), 6) as score from u group by id")),
+    (graph_weights, K.with_views(WEIGHTS + "\nselect * from wgt")),
+    (hybrid_search, _hybrid_sql(["lex", "sem", "ttl", "ent"], 0.0, True)),
+    (hybrid_search_plain, _hybrid_sql(["lex", "ttl", "ent"], 0.01, False)),
+    (search_tag_filter, K.with_views(CHANNELS + "\nselect id, path, score from lex where path in (select path from kb_documents where list_has_any(list_transform(tags, lambda x: lower(x)), ['en', 'src1']))")),
+    (heuristic_rerank, "select doc_id, round(len(list_intersect(['the', 'of', 'and'], regexp_extract_all(lower(left(text, 300)), '[\\p{L}\\p{N}_]+'))) / 3.0::double, 6) as cover from documents"),
+    (rules_clamp, f"select p_partkey, {_RULES} from (select *, (p_retailprice - 900) / 10 as v from part) x"),
+    (split_blocks, K.with_views(_BLOCKS + "select doc_id, row_number() over (partition by doc_id order by pos) - 1 as chunk_idx, case when heading then 'heading' when contains(text, '|') and contains(text, '---') then 'table' else 'paragraph' end as block_type, case when lv = 1 then h1 else concat(h1, ' > ', h2) end as heading_path, sha256(text) as content_hash, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as token_count from pa where heading or text <> ''")),
+    (block_hash_diff, "with m as (select conv_id, min(turn) as lo, max(turn) as hi from conversations group by 1) select c.conv_id as doc_id, turn as chunk_idx, case when turn = hi then 'delete' when turn = lo then 'update' else 'unchanged' end as action from conversations c join m on m.conv_id = c.conv_id"),
+    (extract_sections, K.with_views(_BLOCKS + ", se as (select doc_id, nth, trim(string_agg(line, chr(10) order by pos), chr(10) || ' #') as t, max(case when heading then trim(line, '# ') end) as title from pt group by all), ch as (select doc_id, nth, trim(string_agg(line, chr(10) order by pos), ' ' || chr(10)) as chunk from (select *, max(case when heading then trim(line, '# ') end) over (partition by doc_id, nth) as title from pt) x where lower(title) = 'assistant' group by all) select doc_id, length(string_agg(chunk, chr(10) || chr(10) order by nth)) as n_chars, sha256(string_agg(chunk, chr(10) || chr(10) order by nth)) as hash from ch group by doc_id")),
+    (table_render, "select n_regionkey, concat('| n_nationkey | n_name |', chr(10), '| --- | --- |', chr(10), string_agg(concat('| ', n_nationkey, ' | ', n_name, ' |'), chr(10) order by n_nationkey)) as table_md from nation group by 1"),
+    (replace_once, "with n as (select doc_id, text, (length(text) - length(replace(text, 'that', ''))) // 4 as n from documents) select doc_id, n, sha256(case when n = 1 then replace(text, 'that', 'THAT') else text end) as hash from n"),
+    (append_md, "select conv_id, turn, sha256(case when trim(text, ' ' || chr(10)) = '' then role else concat(rtrim(text, ' ' || chr(10)), chr(10), chr(10), role) end) as hash from conversations"),
+    (page_range, "select p_partkey, array_to_string(list_sort(list_distinct([p_size, p_size + 1, p_size + 2, p_partkey % 7])), ',') as pages from part"),
+    (slugify, f"select doc_id, {_SLUG.format('left(text, 60)')} as slug from documents"),
+    (unique_slugs, f"with b as (select p_partkey as entity_id, {_SLUG.format('p_name')} as b from part), n as (select *, row_number() over (partition by b order by entity_id) as n from b) select entity_id, case when n > 1 then concat(b, '-', n) else b end as slug from n"),
+    (pct_format, K.with_views("select claim_id, concat(cast(round_even(confidence * 100, 0) as int), '%') as pct from kb_claims")),
+    (token_counts, f"select doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as words, len({_LINES.format('text')}) as lines, sha256(text) as hash from documents"),
+    (html_to_text, "select page_id, regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', chr(10), 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '[ \\t]*\\n[ \\t\\n]*', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') as text from pages"),
+    (entity_upsert_fold, K.with_views(f", s as (select *, {_SLUG.format('title')} as slug from kb_entities) select slug, arg_max(title, row(length(title), entity_id)) as title, arg_max(entity_type, entity_id) as entity_type, arg_max(summary, row(length(summary), -entity_id)) as summary from s group by slug")),
+    (relation_provenance, K.with_views(_REL.format(""))),
+    (relation_cleanup, K.with_views(_REL.format("where source_document_id not in (select doc_id from kb_documents where kind = 'source')"))),
+    (claims_threshold, K.with_views("select claim_id, entity_id, least(1, greatest(0, confidence)) as confidence from kb_claims where confidence >= 0.5")),
+    (quote_match, K.with_views(", ln as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as chunk_idx from documents), m as (select claim_id, doc_id, chunk_idx, len(list_filter(list_filter(regexp_split_to_array(lower(quote_text), '\\s+'), lambda x: x <> '')[1:10], lambda x: contains(lower(t), x))) as overlap from kb_citations join ln on ln.doc_id = source_document_id) select claim_id, doc_id, arg_max(chunk_idx, row(overlap, -chunk_idx)) as chunk_idx, max(overlap) as overlap from m where overlap > 0 group by 1, 2")),
+    (citation_purge, K.with_views("select claim_id, entity_id from kb_claims where claim_id not in (select claim_id from kb_citations where source_document_id in (select doc_id from kb_documents where policy = 'locked'))")),
+    (page_markdown, K.with_views(f""",
+ev as (select entity_id, string_agg(concat('- ', canonical_text, ' (confidence: ', cast(round_even(confidence * 100, 0) as int), '%)'), chr(10) order by claim_id) as evidence from kb_claims group by 1),
+en as (select source_entity_id as entity_id, target_entity_id as other, relation_type from kb_relations union select target_entity_id, source_entity_id, relation_type from kb_relations),
+dr as (select distinct en.entity_id, concat('  this -->|', relation_type, '| "', o.title, '"') as edge from en join kb_entities o on o.entity_id = en.other where en.entity_id in (select entity_id from kb_claims)),
+di as (select entity_id, string_agg(edge, chr(10) order by edge) as edges from dr group by 1)
+select e.entity_id, {_EPATH} as path, concat('# ', title, chr(10), chr(10), summary, chr(10), chr(10), '| Type | Source |', chr(10), '| --- | --- |', chr(10), '| ', entity_type, ' | benchmark |', chr(10), chr(10), '```mermaid', chr(10), 'graph LR', chr(10),
+  coalesce(edges, '  this --> source'), chr(10), '```', chr(10), chr(10), '## Evidence', chr(10), chr(10), evidence) as content_md
+from kb_entities e join ev on ev.entity_id = e.entity_id left join di on di.entity_id = e.entity_id""")),
+    (doc_list_prefix, K.with_views("select path, title from kb_documents where path like '/wiki/src1%' and not archived and kind = 'wiki'")),
+    (doc_glob, K.with_views("select path from kb_documents where path glob '/wiki/src1?/*.md' and not archived")),
+    (doc_by_path, K.with_views("select doc_id, path, kind, policy from kb_documents where ends_with(path, '/doc-7.md')")),
+    (doc_head, K.with_views("select document_id, created_at, revision_id, content_md from (select *, row_number() over (partition by document_id order by created_at desc, revision_id desc) as n from kb_revisions) x where n = 1")),
+    (prev_revision, K.with_views("select revision_id, lag(revision_id) over (partition by document_id order by created_at, revision_id) as previous_id from kb_revisions")),
+    (revision_feed, K.with_views("select * from kb_revisions order by created_at desc, revision_id desc limit 100")),
+    (activity_feed, K.with_views("select event_id, user_id as doc_id, ts, event_type, path from (select * from events order by ts desc, event_id desc limit 100) e left join kb_documents d on d.doc_id = e.user_id")),
+    (run_feed, K.with_views("select * from kb_runs where status <> 'running' order by ts desc, seq desc limit 100")),
+    (diff_stats, f"with p as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as before from conversations), l as (select conv_id, turn, {_LINES.format('before')} as a, {_LINES.format('text')} as b from p) select conv_id as document_id, turn as revision_id, len(list_filter(list_distinct(b), lambda x: not list_contains(a, x))) as added, len(list_filter(list_distinct(a), lambda x: not list_contains(b, x))) as removed, len(a) as before_lines, len(b) as after_lines from l"),
+    (diff_lines, None),
+    (lint_findings, K.with_views(", d as (select * from kb_documents where path like '/wiki%' and not archived) select 'missing_page' as rule, p as path from (values ('/wiki/overview.md'), ('/wiki/log.md')) v(p) where p not in (select path from d) union all select 'sparse', path from d where length(trim(content_md, ' ' || chr(10) || chr(9))) < 40 union all select 'no_visual', path from d where starts_with(path, '/wiki/') and not contains(content_md, '```mermaid') and not contains(content_md, '|')")),
+    (workspace_counts, K.with_views("select workspace_id, count(*) filter (not archived and kind = 'source') as source_documents, count(*) filter (not archived and kind = 'wiki') as wiki_documents, count(*) filter (not archived and kind = 'system') as system_documents, count(*) filter (archived) as archived_documents from kb_documents group by 1")),
+    (tenant_scope, K.with_views("select source_document_id as doc_id, target_document_id from kb_references where source_document_id in (select doc_id from kb_documents where workspace_id = 'en')")),
+    (token_validity, "select event_id from events where (event_id % 3 = 0 or ts + interval 30 day > timestamp '2024-01-20 00:00:00') and event_id % 7 <> 0"),
+    (policy_guard, K.with_views(f"select doc_id, surface, operation, {_POLICY} as error from kb_documents, (values {_OPS}) o(surface, operation)")),
+    (export_pages, K.with_views("select path, sha256(content_md) as hash from kb_documents where not archived and kind in ('wiki', 'system')")),
+    (graph_nodes, _graph_sql(False, 300, 600, "select * from shown")),
+    (graph_edges, _graph_sql(False, 1000, 2000, "select * from kept")),
+    (graph_summary, _graph_sql(False, 300, 600, _SUMMARY)),
+    (graph_focus_nodes, _graph_sql(True, 300, 600, "select * from shown")),
+    (graph_focus_edges, _graph_sql(True, 300, 600, "select * from kept")),
+    (doc_references, K.with_views("select r.*, a.path as source_path, a.title as source_title, b.path as target_path, b.title as target_title from kb_references r join kb_documents a on a.doc_id = r.source_document_id join kb_documents b on b.doc_id = r.target_document_id")),
+    (doc_citations, K.with_views("select c.source_document_id, c.claim_id, quote_text, canonical_text, confidence, path from kb_citations c left join kb_claims m on m.claim_id = c.claim_id join kb_documents d on d.doc_id = c.source_document_id")),
+    (enqueue_idempotent, "with recursive r as (select user_id, event_type, min(ts) as ts from events group by 1, 2 union all select e.user_id, e.event_type, min(e.ts) from r join events e on e.user_id = r.user_id and e.event_type = r.event_type and e.ts >= r.ts + interval 1 hour group by e.user_id, e.event_type) select event_id, e.user_id, e.event_type, e.ts from events e join r on r.user_id = e.user_id and r.event_type = e.event_type and r.ts = e.ts"),
+    (retry_state, K.with_views(_FAILED + " select run_id, seq, attempt, case when attempt < 3 then 'retry' else 'dead' end as route from f")),
+    (dlq_route, K.with_views(_FAILED + " select run_id, seq from f where attempt = 3")),
+    (dlq_replay, K.with_views(_FAILED + " select run_id, seq, ts, 'queued' as status from f where attempt = 3")),
+    (run_status_final, K.with_views("select run_id, arg_max(status, row(ts, seq)) as status, count(*) as steps from kb_runs group by 1")),
+    (metrics_histogram, "select event_type, le, count(*) filter (value <= le) as n from events, (values " + ", ".join(f"({float(b)}::double)" for b in BUCKETS) + ") b(le) group by 1, 2"),
+    (p95_by_type, "select event_type, round(quantile_cont(value, 0.95), 6) as p95, count(*) as n from events group by 1"),
+    (stream_routes, K.with_views(_FAILED + " select run_id, seq, attempt, case when attempt < 3 then 'retry' else 'dead' end as route from f")),
+    (stream_first_seen, "select distinct user_id, event_type from events"),
+]
+
+QUERIES = {f.__name__: f for f, _ in ENTRIES}
+ORACLE_SQL = {f.__name__: sql for f, sql in ENTRIES if sql}

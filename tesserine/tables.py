@@ -11,7 +11,7 @@ KINDS = ("source", "wiki", "system", "asset")
 STATUSES = ("draft", "queued", "processing", "ready", "failed", "archived")
 POLICIES = ("system_managed", "agent_editable", "append_only", "locked")
 RUN_STATUSES = ("queued", "running", "succeeded", "failed")
-ENTITY_KINDS = ("person", "organization", "company", "product", "team", "project", "protocol")
+ENTITY_KINDS = ("person", "company", "organization", "project", "product", "protocol", "event")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
