@@ -46,7 +46,7 @@ from .components import components
 
 SHINGLE, PERCENT = 5, 80
 #: Words, and sets, that a task remembers.
-REMEMBER = 500_000
+REMEMBER = 200_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
