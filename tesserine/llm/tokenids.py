@@ -44,8 +44,8 @@ MAGIC = b"TSSRIDS1"
 SAMPLE = 256
 #: A file is closed after so many ids.
 FILE_IDS = 16_000_000
-#: Pieces, and pre-tokens, whose ids a worker remembers.
-REMEMBER = 250_000
+#: Pieces, and pre-tokens, whose ids a worker remembers: up to about 400 MB for both.
+REMEMBER = 1_000_000
 END_ID = 2
 #: A space between two white-space characters: only there may a token cross a cut before a space.
 INNER_SPACE = re.compile(r"\s \s")
