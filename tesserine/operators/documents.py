@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tesserine.functions import text as T
@@ -59,7 +60,11 @@ def latest(df: DataFrame, at: str, key: str, limit: int = 100) -> DataFrame:
     return df.orderBy(F.desc(at), F.desc(key)).limit(limit)
 
 
-@F.pandas_udf("array<struct<type:string,text:string>>")
+#: Built from types and not from a string, which would need a session when the module is imported.
+DIFF = ArrayType(StructType([StructField("type", StringType()), StructField("text", StringType())]))
+
+
+@F.pandas_udf(DIFF)
 def line_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     """context, removed and added lines of two texts; removed before added where lines were replaced."""
 

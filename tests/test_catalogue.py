@@ -24,3 +24,14 @@ def test_edges_end_in_nodes(spark):
 
     edges = graph.workspace_graph(t)[1].collect()
     assert all(e["source"] in nodes and e["target"] in nodes for e in edges)
+
+
+def test_entry_can_be_read_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; print(len(e.queries()) >= 60, len(e.oracle_sql()) >= 60)"
+    said = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
+    assert said.stdout.strip().endswith("True True")
