@@ -17,24 +17,24 @@ def value(spark, column):
 @pytest.mark.parametrize(
     ("column", "want"),
     [
-        (T.slugify(F.lit("  Quarterly Notes!")), "quarterly-notes"),
-        (T.slugify(F.lit("日本")), "item"),
-        (T.replace_once(F.lit("hello world"), F.lit("world"), F.lit("vault")), "hello vault"),
-        (T.replace_once(F.lit("same same"), F.lit("same"), F.lit("x")), "same same"),
-        (T.append_markdown(F.lit("a\n\n"), F.lit(" b ")), "a\n\nb"),
-        (T.append_markdown(F.lit("  "), F.lit("b")), "b"),
-        (T.lines(F.lit("a\r\nb\n")), ["a", "b"]),
-        (T.lines(F.lit("")), []),
-        (T.page_range(F.lit("1-3, 7,2,x")), [1, 2, 3, 7]),
-        (T.percent(F.lit(0.125)), "12%"),
-        (T.token_count(F.lit("  ")), 0),
-        (T.fenced_json(F.lit('x ```json\n{"a": 1}\n``` y')), '{"a": 1}'),
-        (T.highlight(F.lit("A.b a.B"), F.lit("a.b")), "**A.b** **a.B**"),
-        (T.stem(F.lit("/x/notes.tar.md")), "notes.tar"),
+        (lambda: T.slugify(F.lit("  Quarterly Notes!")), "quarterly-notes"),
+        (lambda: T.slugify(F.lit("日本")), "item"),
+        (lambda: T.replace_once(F.lit("hello world"), F.lit("world"), F.lit("vault")), "hello vault"),
+        (lambda: T.replace_once(F.lit("same same"), F.lit("same"), F.lit("x")), "same same"),
+        (lambda: T.append_markdown(F.lit("a\n\n"), F.lit(" b ")), "a\n\nb"),
+        (lambda: T.append_markdown(F.lit("  "), F.lit("b")), "b"),
+        (lambda: T.lines(F.lit("a\r\nb\n")), ["a", "b"]),
+        (lambda: T.lines(F.lit("")), []),
+        (lambda: T.page_range(F.lit("1-3, 7,2,x")), [1, 2, 3, 7]),
+        (lambda: T.percent(F.lit(0.125)), "12%"),
+        (lambda: T.token_count(F.lit("  ")), 0),
+        (lambda: T.fenced_json(F.lit('x ```json\n{"a": 1}\n``` y')), '{"a": 1}'),
+        (lambda: T.highlight(F.lit("A.b a.B"), F.lit("a.b")), "**A.b** **a.B**"),
+        (lambda: T.stem(F.lit("/x/notes.tar.md")), "notes.tar"),
     ],
 )
 def test_text(spark, column, want):
-    assert value(spark, column) == want
+    assert value(spark, column()) == want
 
 
 def test_heading_stack_is_cut_by_position(spark):
