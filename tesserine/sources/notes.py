@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+from pyarrow.fs import FileSystem
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # What stands before the text of each kind of block.
@@ -64,7 +65,9 @@ class NotesReader(DataSourceReader):
         return [InputPartition(f) for f in self.files]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, encoding="utf-8") as f:
-            for page in json.load(f)["results"]:
-                text = "\n\n".join(t for t in map(block_markdown, page.get("children", [])) if t)
-                yield page.get("id"), page_title(page), text
+        system, path = FileSystem.from_uri(partition.value)
+        with system.open_input_stream(path) as f:
+            answer = json.loads(f.read())
+        for page in answer["results"]:
+            text = "\n\n".join(t for t in map(block_markdown, page.get("children", [])) if t)
+            yield page.get("id"), page_title(page), text
