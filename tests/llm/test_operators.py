@@ -94,6 +94,15 @@ def test_pages_without_article_lose_their_template():
     assert htmltext.difference([1, 1, 1], ["menu", "a long own text of this page", "foot"], [["menu", "other", "foot"]]) == "a long own text of this page"
 
 
+def test_pages_with_article_are_differenced_too():
+    def lines(own):
+        return htmltext.lines_of(f"<div>Home News About</div><main><p>{own}</p></main><article>A card</article><div>All rights</div>")
+
+    mine, other = lines("the long main text of this page, beside a card"), lines("what stands on the other page")
+    got = htmltext.difference([k for k, _ in mine], [t for _, t in mine], [[t for _, t in other]])
+    assert got.split("\n") == ["the long main text of this page, beside a card", "A card"]
+
+
 def test_lattice_points_are_nearest():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8)) * 2
