@@ -103,6 +103,25 @@ def test_pages_with_article_are_differenced_too():
     assert got.split("\n") == ["the long main text of this page, beside a card", "A card"]
 
 
+def test_short_page_under_a_long_template():
+    menu = ["a very long menu of this site", "and its second very long line", "foot"]
+    assert htmltext.difference([1] * 4, [*menu, "own"], [[*menu, "other"], [*menu, "third"]]) == "own"
+    own = ["a long line of the text of a page and its near copy", "the date"]
+    assert htmltext.difference([1] * 3, [*own, "foot"], [[own[0], "other date", "foot"], ["another text", "foot"]]) == "\n".join(own)
+
+
+def test_neighbours_beyond_copies_and_range_edges(spark):
+    """Copies look beyond their run for a neighbour, and the text is the same however the pages are divided."""
+    page = lambda own: f"<div>Home</div><div>News and weather</div><p>{own}</p><div>All rights</div>"
+    owns = ["first", *["copy"] * 9, "second", "third", *["copy"] * 4, "last"]
+    rows = [(i, f"http://a.example/x/{i:03}", page(own)) for i, own in enumerate(owns)] + [(99, "http://b.example/", page("alone"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for ranges in (1, 2, 5, 40):
+        got = {r["page_id"]: r["text"] for r in htmltext.extract(pages, ranges).collect()}
+        assert got.pop(99).split("\n") == ["Home", "News and weather", "alone", "All rights"]
+        assert got == dict(enumerate(owns))
+
+
 def test_lattice_points_are_nearest():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8)) * 2
