@@ -98,7 +98,7 @@ class Index:
         words = np.array([w for _, ws in self.items for w in [*ws, 0]], np.int64)  # one word of no item between two items
         sizes = np.array([len(ws) + 1 for _, ws in self.items])
         item = np.repeat(np.arange(len(sizes)), sizes)
-        start, met, key = self._walk(words, samples, bits, None)
+        start, _, met, key = self._walk(words, samples, bits, None)
         inside = (met > 0).all(axis=0)
         for seen, c in zip(allowed, met[:, inside], strict=True):
             seen[c] = True
@@ -110,7 +110,7 @@ class Index:
 
     @staticmethod
     def _walk(ids: np.ndarray, samples: list[int], bits: np.ndarray, allowed: list | None) -> tuple:
-        """Windows whose samples stand on enough words: start, sampled words, key.  allowed: words that each sample may have."""
+        """Windows whose samples stand on enough words: start, place of the last sample, sampled words, key.  allowed: words that each sample may have."""
         moves, start = bits[ids], np.arange(len(ids))
         at, last, seen, key, met = start, np.full(len(ids), -1), np.zeros(len(ids), np.int8), np.zeros(len(ids), np.int64), []
         for j in range(samples[-1] + 1):
@@ -125,19 +125,26 @@ class Index:
                     met.append(c)
             at = np.minimum(at + (moves[at] >> j & 1), len(ids) - 1)
         enough = np.flatnonzero(seen >= DISTINCT)
-        return start[enough], np.array(met)[:, enough] if met else None, key[enough]
+        return start[enough], last[enough], np.array(met)[:, enough] if met else None, key[enough]
 
-    def candidates(self, ids: np.ndarray) -> np.ndarray:
-        """Rows (where the item would begin, item) over the positions of ``ids``; id 0 stands for a word of no item."""
+    def candidates(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Rows (text, where in it the item would begin, item) of the texts that begin at ``starts`` in ``ids``; id 0 stands for a word of no item.
+
+        A window belongs to the text that it stands in, though the item may begin
+        before that text; windows that run into the next text are left out.
+        """
         out = []
         for samples, bits, keys, items, offsets, allowed in self.walks:
-            start, _, key = self._walk(ids, samples, bits, allowed)
+            start, last, _, key = self._walk(ids, samples, bits, allowed)
+            text = np.searchsorted(starts, start, "right") - 1
+            inside = last < starts[text + 1]
+            start, text, key = start[inside], text[inside], key[inside]
             low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
             hit = np.flatnonzero(high > low)
             n = (high - low)[hit]
             each = np.repeat(low[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            out.append(np.stack([np.repeat(start[hit], n) - offsets[each], items[each]], axis=1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            out.append(np.stack([np.repeat(text[hit], n), np.repeat((start - starts[text])[hit], n) - offsets[each], items[each]], axis=1))
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
     def matches(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, edits, word after the passage) of each text and item that match, the best passage of each pair."""
@@ -151,24 +158,19 @@ class Index:
         ids = np.zeros(at, np.int64)
         for row, a in zip(rows, starts, strict=False):
             ids[a : a + len(row)] = row
-        found = self.candidates(ids)
-        text = np.searchsorted(starts, np.maximum(found[:, 0], 0), "right") - 1
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        done: dict[tuple[int, int], int] = {}
-        for (start, item), i in zip(found.tolist(), text.tolist(), strict=True):
-            for k in (i, i + 1) if start < 0 or start + 1 >= starts[i + 1] else (i,):
-                if k >= len(rows) or best.get((k, item), (1,))[0] == 0:
-                    continue
-                ws = self.items[item][1]
-                spare = edits_allowed(len(ws))
-                begin, row = max(0, start - starts[k] - spare), rows[k]
-                end = start - starts[k] + len(ws) + spare
-                passage = row[begin:end] if end > 0 else []
-                if done.get((k, item), -1) >= end or sum(map(self.sets[item].__contains__, passage)) < len(ws) - spare:
-                    continue
-                edits, stop = nearest(ws, passage)
-                if edits <= spare and edits < best.get((k, item), (spare + 1,))[0]:
-                    best[k, item] = (edits, begin + stop)
+        for k, start, item in self.candidates(ids, np.array(starts)).tolist():
+            if best.get((k, item), (1,))[0] == 0:
+                continue
+            ws = self.items[item][1]
+            spare = edits_allowed(len(ws))
+            begin = max(0, start - spare)
+            passage = rows[k][begin : start + len(ws) + spare]
+            if sum(map(self.sets[item].__contains__, passage)) < len(ws) - spare:
+                continue
+            edits, stop = nearest(ws, passage)
+            if edits <= spare and edits < best.get((k, item), (spare + 1,))[0]:
+                best[k, item] = (edits, begin + stop)
         yield from ((k, item, *v) for (k, item), v in best.items())
 
 

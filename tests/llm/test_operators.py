@@ -253,6 +253,19 @@ def test_decontamination_recall_against_all_windows():
     assert not list(index.matches([" ".join(pick(20_000))]))
 
 
+def test_items_cut_at_the_edges_of_documents():
+    """A document that begins or ends inside an item, between other documents of a slice."""
+    rng = np.random.default_rng(5)
+    items = [[f"w{i}" for i in rng.integers(0, 3000, int(n))] for n in rng.integers(10, 60, 60)]
+    index = decontaminate.Index([(i, " ".join(ws)) for i, ws in enumerate(items)])
+    for k, ws in enumerate(items):
+        for n in range(1, len(ws) // 5 + 1):
+            for cut in (ws[n:], ws[:-n], ws[n:] + ["other"] * 9, ["other"] * 9 + ws[:-n]):
+                alone = [m[1:] for m in index.matches([" ".join(cut)])]
+                assert k in {m[0] for m in alone}
+                assert [m[1:] for m in index.matches(["x y z u " * 9, " ".join(cut), "x y", ""]) if m[0] == 1] == alone
+
+
 def test_jaccard_components_against_all_pairs(spark):
     """Chains and stars of copies with edits, against comparing every pair."""
     rng = np.random.default_rng(4)
