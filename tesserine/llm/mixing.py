@@ -28,6 +28,8 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 #: Rows of one source and size are dealt in groups of about this many.
 DEAL = 256
+#: Sizes of a source that are rounded in one array, before that array is put away.
+ROUND = 128
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -93,7 +95,8 @@ def round_cells(cells: DataFrame) -> DataFrame:
     cells = cells.withColumn("whole", F.floor("rate").cast("long")).withColumn("part", F.col("rate") - F.floor("rate"))
     item = F.struct("size", "n", "whole", "part")
     folded = cells.groupBy("source").agg(F.sort_array(F.collect_list(item), asc=False).alias("items"))
-    start = F.expr("struct(cast(0 as double) as owed, cast(array() as array<struct<size:bigint,n:bigint,whole:bigint,extra:bigint>>) as done)")
+    kind = "array<struct<size:bigint,n:bigint,whole:bigint,extra:bigint>>"
+    start = F.expr(f"struct(cast(0 as double) as owed, cast(array() as array<{kind}>) as done)")
 
     def take(acc, c):
         owed = acc["owed"] + c["n"] * c["part"] * c["size"]
@@ -102,7 +105,14 @@ def round_cells(cells: DataFrame) -> DataFrame:
         row = F.struct(c["size"].alias("size"), c["n"].alias("n"), c["whole"].alias("whole"), extra.alias("extra"))
         return F.struct((owed - extra * c["size"]).alias("owed"), F.concat(acc["done"], F.array(row)).alias("done"))
 
-    return folded.select("source", F.explode(F.aggregate("items", start, take)["done"]).alias("c")).select("source", "c.*")
+    def take_some(acc, some):
+        # an array is copied for each element that it gets, so it is kept short
+        found = F.aggregate(some, F.struct(acc["owed"].alias("owed"), F.array().cast(kind).alias("done")), take)
+        return F.transform(F.array(found), lambda f: F.struct(f["owed"].alias("owed"), F.concat(acc["done"], F.array(f["done"])).alias("done")))[0]
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("items") - 1) / ROUND).cast("int")), lambda i: F.slice("items", i * ROUND + 1, ROUND))
+    done = F.flatten(F.aggregate(parts, start, take_some)["done"])
+    return folded.select("source", F.explode(done).alias("c")).select("source", "c.*")
 
 
 def mix(rows: DataFrame, weights=WEIGHTS, cap: int = CAP, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -121,8 +131,13 @@ def mix(rows: DataFrame, weights=WEIGHTS, cap: int = CAP, carry: tuple[str, ...]
         .withColumn("h", F.xxhash64("doc_id"))
         .withColumn("groups", F.ceil(F.col("n") / DEAL))
         .withColumn("group", F.pmod("h", "groups"))
-        .withColumn("quota", F.floor((F.col("group") + 1) * F.col("extra") / F.col("groups")) - F.floor(F.col("group") * F.col("extra") / F.col("groups")))
     )
+    # each group gets its share of the extra copies by its number of rows, so none are lost
+    shares = dealt.groupBy("source", "size", "n", "extra", "group").agg(F.count("*").alias("rows"))
+    upto = F.sum("rows").over(Window.partitionBy("source", "size").orderBy("group"))
+    share = lambda k: F.expr(f"({k}) * extra div n")
+    shares = shares.withColumn("upto", upto).select("source", "size", "group", (share("upto") - share("upto - rows")).alias("quota"))
+    dealt = join_null_safe(dealt, shares, ["source", "size", "group"])
     turn = F.row_number().over(Window.partitionBy("source", "size", "group").orderBy("h", "doc_id", *carry))
     copies = F.col("whole") + F.when(turn <= F.col("quota"), 1).otherwise(0)
     return dealt.withColumn("copies", F.least(copies, F.lit(cap)).cast("long")).select("doc_id", "source", "size", *carry, "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -158,6 +158,26 @@ def test_balanced_sources(spark):
     assert all(abs(got - want) <= max(biggest, 0.02 * want) for got, want, biggest in by.values())
 
 
+def test_large_cells_are_dealt_whole(spark):
+    """One size in two sources: the copies meet the targets to a document, though the groups are of unequal size."""
+    docs = spark.range(40_000).selectExpr("id as doc_id", "if(id < 28860, 'a', 'b') as source", "10L as size")
+    by = {r["source"]: r for r in mixing.mix(docs).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()}
+    assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 10 for r in by.values())
+
+
+def test_rounding_of_many_sizes(spark):
+    cells = [("a", s, 1 + s % 3, (s * 7 % 24) / 8) for s in range(1000)]
+    got = {r["size"]: (r["n"], r["whole"], r["extra"]) for r in mixing.round_cells(spark.createDataFrame(cells, "source string, size long, n long, rate double")).collect()}
+    owed = 0.0
+    for _, size, n, rate in reversed(cells):
+        part = rate - int(rate)
+        owed += n * part * size
+        extra = min(n, max(0, int(owed / size + 0.5))) if size and part else 0
+        owed -= extra * size
+        assert got.pop(size) == (n, int(rate), extra)
+    assert not got
+
+
 def test_feistel_is_a_permutation(spark):
     for n in (1, 2, 3, 10, 97, 1000):
         df = sharding.permute(spark.range(n).withColumnRenamed("id", "x"), "x", n)
