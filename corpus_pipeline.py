@@ -15,10 +15,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; a document without an id is kept."""
-    found = jaccard.similar_sets(docs)
-    gone = materialise(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates, the one with the smallest id, null last.
+
+    Rows are told apart by a number, so repeated rows and rows without an id are
+    copies like others; a text without words is no copy.
+    """
+    docs = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = jaccard.similar_sets(docs.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    found = materialise(found.join(docs.select("_row", "doc_id"), "_row"), "found")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    kept = found.groupBy("component_id").agg(first.alias("first")).select("first._row")
+    gone = materialise(found.select("_row").join(kept, "_row", "left_anti"), "gone")
+    return docs.join(gone, "_row", "left_anti").drop("_row")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -330,6 +330,16 @@ def test_pipeline_keeps_columns_and_drops_copies(spark):
     assert len(texts) == len(set(texts))
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    one, two, other = ("a first text that stands here more than once", "a second text that has no id in the table", "a text that shares its id with the first one")
+    rows = [(5, one), (5, one), (3, one), (None, two), (None, two), (5, other), (None, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(3, one), (None, two), (5, other), (None, ""), (None, "")], key=str)
+
+
 def test_entry_has_every_query():
     import __spark_entry__ as entry
 
