@@ -132,17 +132,98 @@ def test_lattice_points_are_nearest():
     assert all((((x - (y + s)) ** 2).sum(1) >= d - 1e-9).all() for s in steps)
 
 
-def test_lattice_recall_against_all_pairs(spark):
-    sf = "/root/testdata/sf0.1"
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
-    v = np.array([r["embedding"] for r in rows], np.float64)
+def planted_vectors(seed):
+    """Bases with partners at cosines from 0.93 on, a cluster, exact copies, and partners just below the threshold."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(1500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    out = [(v, int(i % 3)) for i, v in enumerate(base)]
+    for i, c in zip(range(0, 1500, 2), [0.9301, 0.935, 0.94, 0.96, 0.99, 0.999, 0.92] * 200, strict=False):
+        other = rng.normal(size=64)
+        other -= other @ base[i] * base[i]
+        out.append((c * base[i] + np.sqrt(1 - c * c) * other / np.linalg.norm(other), int(i % 3)))
+    out += [(base[1] + 0.02 * rng.normal(size=64), 1) for _ in range(60)]
+    out += [(base[k], int(k % 3)) for k in (4, 4, 10)] + [(base[5], 0), (base[5], None)]
+    return [(int(k), v.tolist(), label) for k, (v, label) in zip(rng.permutation(len(out)), out, strict=True)]
+
+
+def all_pairs(rows):
+    ids, label = np.array([r[0] for r in rows]), np.array([-1 if r[2] is None else r[2] for r in rows])
+    v = np.array([r[1] for r in rows])
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    label = np.array([r["label"] for r in rows])
-    near = (v @ v.T >= 0.93) & (label[:, None] == label[None, :])
+    near = (v @ v.T >= 0.93) & (label[:, None] == label) & (label >= 0)
     np.fill_diagonal(near, False)
-    got = queries.queries()["op2_lattice_near_dup"](spark, sf).collect()
-    assert sum(r["n_links"] for r in got) >= 0.99 * near.sum()
-    assert all(r["n_links"] <= near[i].sum() for r in got for i in [r["vec_id"]])
+    return ids, near
+
+
+def test_lattice_links_against_all_pairs(spark):
+    """Recall of the links, none that is not there, and the components that the links make."""
+    rows = planted_vectors(7)
+    ids, near = all_pairs(rows)
+    assert near.sum() > 4000 and (near.sum(axis=1) == 1).sum() > 800
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    _, groups, links = lattice.near_duplicates(vectors)
+    first = {r["gid"]: r["first_id"] for r in groups.collect()}
+    at = {int(k): i for i, k in enumerate(ids)}
+    met = [(at[first[r["a"]]], at[first[r["b"]]]) for r in links.collect()]
+    assert len(set(met)) == len(met) and all(near[x, y] for x, y in met)
+    alone = [i for i in range(len(ids)) if near[i].sum() == 1]
+    found = {x for pair in met for x in pair}
+    assert np.mean([i in found for i in alone]) >= 0.98
+
+
+def test_lattice_query_against_all_pairs(spark, tmp_path):
+    rows = planted_vectors(8)
+    ids, near = all_pairs(rows)
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["vec_id"]: r for r in queries.queries()["op2_lattice_near_dup"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    want = near.sum(axis=1)
+    exact = sum(got[int(k)]["n_links"] == n for k, n in zip(ids, want, strict=True))
+    assert all(got[int(k)]["n_links"] <= n for k, n in zip(ids, want, strict=True)) and exact >= 0.98 * len(ids)
+    label = ids.copy()
+    while True:
+        low = np.minimum(label, np.where(near, label[None, :], label.max()).min(axis=1))
+        if (low == label).all():
+            break
+        label = low
+    right = sum(got[int(k)]["component_id"] == c for k, c in zip(ids, label, strict=True))
+    assert right >= 0.98 * len(ids)
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
+
+
+def test_lattice_keys_of_two_lattices():
+    """Pairs just above the threshold meet under keys of two lattices as well, and unrelated ones hardly ever."""
+    rng = np.random.default_rng(9)
+    a, r = rng.normal(size=(2, 1500, 64))
+    a = lattice.unit(a)
+    r = lattice.unit(r - (r * a).sum(axis=1, keepdims=True) * a)
+    for lattices in (1, 2):
+        for c, low, high in ((0.931, 0.95, 1), (0.0, 0, 0.02)):
+            b, met = c * a + np.sqrt(1 - c * c) * r, np.zeros(1500, bool)
+            for t in range(lattice.TABLES[lattices]):
+                (ha, na), (hb, nb) = lattice.cells_of(a, t, lattices), lattice.cells_of(b, t, lattices)
+                met |= (na == hb[:, None]).any(axis=1) | (nb == ha[:, None]).any(axis=1)
+            assert low <= met.mean() <= high
+
+
+def test_lattice_vectors_of_any_size_and_shared_ids(spark, tmp_path):
+    rows = [(0, [1e-200, 0.0], 1), (1, [2e-200, 1e-201], 1), (2, [1e200, 0.0], 1), (5, [0.0, 1.0], 2), (5, [1.0, 0.0], 2), (6, [0.99, 0.05], 2), (None, [0.0, 3.0], 2)]
+    rows += [(7, [1.0, 0.0], None), (8, None, 2), (9, [0.0, 0.0], 2), (10, [float("inf"), 1.0], 2), (11, [1.0, None], 2), (12, [], 2), (13, [1.0, 0.0, 0.0], 2)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((tuple(r) for r in queries.queries()["op2_lattice_near_dup"](spark, str(tmp_path)).collect()), key=str)
+    want = [(0, 2, 0, True), (1, 2, 0, False), (2, 2, 0, False), (5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (None, 1, 5, None)] + [(k, 0, k, True) for k in range(7, 14)]
+    assert got == sorted(want, key=str)
+
+
+def test_lattice_divides_crowded_cells(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=64)
+    rows = [(i, (base + 0.01 * rng.normal(size=64)).tolist(), 1) for i in range(120)]
+    monkeypatch.setattr(lattice, "CELL", 10)
+    monkeypatch.setattr(lattice, "PAIRS", 50)
+    links = lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))[2].collect()
+    assert len({(r["a"], r["b"]) for r in links}) == len(links) == 120 * 119 // 2
 
 
 def test_balanced_sources(spark):
