@@ -36,14 +36,14 @@ from .common import SMALL, materialise
 from .components import components
 
 #: Lattices to a key -> tables.  More lattices part unrelated vectors better and need more tables for the same recall.
-TABLES = {1: 8, 2: 40, 3: 160}
-PROBES, SCALE, SEED = 4, 0.9, 20_240_501
+TABLES = {1: 7, 2: 36, 3: 160}
+PROBES, SCALE, SEED = 4, 0.85, 20_240_501
 #: Share of unrelated vectors that meet in one key of one lattice, about; chance meetings that a vector may have.
-MEET, CHANCE = 1e-4, 400.0
+MEET, CHANCE = 1.5e-4, 400.0
 #: Bits of two sign sketches that may differ: for vectors at the threshold they do in 1 of 10,000.
 SKETCH_BITS = 19
 #: Vectors of a cell in one salt; pairs of a cell that are verified together.
-CELL, PAIRS = 5_000, 200_000
+CELL, PAIRS = 5_000, 4_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
