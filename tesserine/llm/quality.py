@@ -2,13 +2,14 @@
 
 Each text is reduced to a few transformed statistics of its characters, words
 and lines.  Per class the mean and a covariance shrunk towards its scaled
-identity are fitted from sums that Spark adds up over all labelled rows of the
-training folds.  A score is the logistic of the difference of the two Gaussian
+identity are fitted from sums that Spark adds up over a sample of about FIT_ROWS
+labelled rows of the training folds (all of them, if there are fewer).  A score is the logistic of the difference of the two Gaussian
 log densities, whose Mahalanobis terms use Cholesky factors computed once.
 
 Defined results: a null text counts as empty; an empty text has all-zero
-statistics and a score like any other; repeated rows get equal scores; without
-labels of both classes every score is 0.5; an empty table gives an empty result;
+statistics and a score like any other; repeated rows get equal scores; of several
+labels of a document the highest counts; a null id has no label; a score of exactly
+CUT is predicted 1; without labels of both classes every score is 0.5; an empty table gives an empty result;
 extra columns are left out.
 """
 
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, materialise
+from .common import SMALL, fold, materialise
 
 FOLDS, SHRINK, CUT, CLIP = 5, 0.05, 0.3, 6.0
 FEATURES = 18
+#: Labelled rows that the discriminant is fitted on, about.
+FIT_ROWS = 50_000
 
 _SETS = [bytes(range(97, 123)), bytes(range(65, 91)), b"0123456789", b" \t\n\v\f\r", b".,;:?'\"-()", b"!", b"|<>{}[]\\/=_~^", b"#$%&*@+`"]
 
@@ -152,22 +155,29 @@ def score(described: DataFrame, model: Discriminant) -> DataFrame:
     return described.mapInArrow(run, described.drop("stats").schema.add("score", "double"))
 
 
-def training_rows(described: DataFrame, labels: DataFrame) -> DataFrame:
-    """stats, label of the labelled rows outside fold 0; a document with several labels takes the highest."""
-    marks = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
-    return described.filter(fold("doc_id", FOLDS) != 0).join(marks, "doc_id").select("stats", "label")
+def train(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Discriminant:
+    """The discriminant of about ``most`` labelled rows outside fold 0; a document with several labels takes the highest.
+
+    The rows are drawn by a hash of the id, so reruns agree, and only their texts are described.
+    """
+    marks = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != 0))
+    marks = materialise(marks.groupBy("doc_id").agg(F.max("quality").cast("int").alias("label")), "marks")
+    share = min(1.0, most / max(1, marks.count()))
+    drawn = marks.filter(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    few = F.broadcast(drawn) if most <= SMALL else drawn  # about ``most`` pairs of an id and a label
+    rows = docs.select("doc_id", "text").join(few, "doc_id")
+    return fit(materialise(describe(rows, "label").select("stats", "label"), "statistics"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
     """doc_id, ``keep``, score and predicted of every row of ``docs``."""
-    described = materialise(describe(docs, "doc_id", *keep), "statistics")
-    model = fit(training_rows(described, labels))
-    return score(described, model).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    scored = score(describe(docs, "doc_id", *keep), train(docs, labels))
+    return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are predicted to be of quality 1, with unchanged columns."""
-    model = fit(training_rows(materialise(describe(docs, "doc_id"), "statistics"), labels))
+    model = train(docs, labels)
     # a few hundred numbers, as many for any corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,7 @@ file and gives an empty result; extra columns are left out.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -47,6 +48,8 @@ FILE_IDS = 16_000_000
 #: Pieces, and pre-tokens, whose ids a worker remembers: up to about 400 MB for both.
 REMEMBER = 1_000_000
 END_ID = 2
+#: Documents that are read together.
+READ = 2000
 #: A space between two white-space characters: only there may a token cross a cut before a space.
 INNER_SPACE = re.compile(r"\s \s")
 
@@ -72,7 +75,7 @@ def ef_encode(values: np.ndarray) -> bytes:
 
 
 class EliasFano:
-    """Values of a section; ``get`` looks one up through the select samples, ``all`` decodes the lot."""
+    """Values of a section.  The place of any set bit is found through the nearest select sample before it."""
 
     def __init__(self, section: bytes):
         self.n, self.low, size = (int(x) for x in np.frombuffer(section, "<u8", 3))
@@ -81,25 +84,26 @@ class EliasFano:
         self._high = np.frombuffer(section, np.uint8, size, 24 + lows)
         self._samples = np.frombuffer(section, "<u4", -1, 24 + lows + size)
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self._high, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.int64)
-        bits = np.unpackbits(self._lows, bitorder="little", count=self.n * self.low).reshape(self.n, self.low).astype(np.int64)
-        return (high << self.low) + bits @ (1 << np.arange(self.low, dtype=np.int64))
+    def _select(self, begin: int, end: int) -> np.ndarray:
+        """Places of the set bits ``begin`` to ``end`` in the high bitmap: only the bits between two samples are read."""
+        first, last = begin // SAMPLE, -(-end // SAMPLE)
+        start = int(self._samples[first])
+        stop = int(self._samples[last]) if last < len(self._samples) else len(self._high) * 8
+        bits = np.unpackbits(self._high[start // 8 : stop // 8 + 1], bitorder="little")[start % 8 :]
+        ones = np.flatnonzero(bits)[begin - first * SAMPLE : end - first * SAMPLE]
+        return ones + start
+
+    def slice(self, begin: int, end: int) -> np.ndarray:
+        """The values from ``begin`` to ``end``."""
+        if begin >= end:
+            return np.zeros(0, np.int64)
+        high = self._select(begin, end) - np.arange(begin, end)
+        first = begin * self.low
+        window = np.unpackbits(self._lows[first // 8 : (end * self.low + 7) // 8], bitorder="little")[first % 8 : first % 8 + (end - begin) * self.low]
+        return (high.astype(np.int64) << self.low) + window.reshape(end - begin, self.low).astype(np.int64) @ (1 << np.arange(self.low, dtype=np.int64))
 
     def get(self, i: int) -> int:
-        start, rest = int(self._samples[i // SAMPLE]), i % SAMPLE
-        byte = start // 8
-        skip = start % 8
-        while True:  # a sample is at most SAMPLE set bits away
-            word = np.flatnonzero(np.unpackbits(self._high[byte : byte + 64], bitorder="little")[skip:])
-            if rest < len(word):
-                at = byte * 8 + skip + int(word[rest])
-                break
-            rest, byte, skip = rest - len(word), byte + 64, 0
-        first = i * self.low
-        window = np.unpackbits(self._lows[first // 8 : (first + self.low) // 8 + 1], bitorder="little")[first % 8 : first % 8 + self.low]
-        return ((at - i) << self.low) + int(window.astype(np.int64) @ (1 << np.arange(self.low, dtype=np.int64)))
+        return int(self.slice(i, i + 1)[0])
 
 
 def file_bytes(doc_ids: list, counts: np.ndarray, ids: bytes, width: int) -> bytes:
@@ -122,12 +126,13 @@ class TokenFile:
         self.docs, self.nulls, self.ids, self.width, ends, names = (int(x) for x in np.frombuffer(head, "<u8", 6, 8))
         self._source, at = source, 56 + self.ids * self.width
         self.ends = EliasFano(source.range(at, ends))
-        self._names = source.range(at + ends, names)
+        section = source.range(at + ends, names)
+        self._base, self._known = int(np.frombuffer(section, "<i8", 1)[0]), EliasFano(section[8:])
 
-    def doc_ids(self) -> list:
-        base = int(np.frombuffer(self._names, "<i8", 1)[0])
-        known = EliasFano(self._names[8:])
-        return [None] * self.nulls + [int(x) + base for x in (known.all() if known.n else [])]
+    def doc_ids(self, begin: int, end: int) -> list:
+        """The ids of the documents from ``begin`` to ``end``."""
+        known = self._known.slice(max(0, begin - self.nulls), max(0, end - self.nulls))
+        return [None] * (min(end, self.nulls) - min(begin, self.nulls)) + (known + self._base).tolist()
 
     def document(self, k: int) -> np.ndarray:
         """The ids of the k-th document, by two select queries and one range read."""
@@ -180,12 +185,22 @@ class Pieces(dict):
         return ids
 
 
+def cuts_as_known(tokenizer) -> bool:
+    """Does the tokenizer cut texts as ``PRE_TOKEN`` does, with no other rule, and mark its special tokens by ``<|``?"""
+    told = json.loads(tokenizer.to_str())
+    before, model = told.get("pre_tokenizer") or {}, told["model"]
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space", True) and before.get("use_regex", True)
+    merges = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    return bool(plain and merges and not told.get("normalizer") and all("<|" in t["content"] and not t.get("lstrip") and not t.get("rstrip") for t in told["added_tokens"]))
+
+
 class Encoder:
     """Ids of texts as bytes; pieces seen before are not encoded again.
 
     The tokenizer never joins a space to what stands before it, so a text may be
     cut before each space and the pieces encoded apart, unless white space
-    stands on both sides of the space; such texts are encoded whole.
+    stands on both sides of the space; such texts are encoded whole.  A tokenizer
+    with rules of another kind encodes all texts whole.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -195,10 +210,10 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         self.width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         self._pieces = Pieces(tokenizer, "H" if self.width == 2 else "I")
-        self._end = end_id.to_bytes(self.width, "little")
+        self._end, self._known = end_id.to_bytes(self.width, "little"), cuts_as_known(tokenizer)
 
     def __call__(self, text: str) -> bytes:
-        if INNER_SPACE.search(text):
+        if not self._known or INNER_SPACE.search(text):
             return self._pieces.raw(text) + self._end
         first, *rest = text.split(" ")
         return self._pieces.raw(first) + b"".join(map(self._pieces.__getitem__, rest)) + self._end
@@ -251,13 +266,12 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for uri, start in zip(batch.column("uri").to_pylist(), batch.column("start").to_pylist(), strict=True):
             with Source(uri) as source:
                 f = TokenFile(source)
-                ends, names = f.ends.all(), f.doc_ids()
-                for at in range(0, f.docs, 2000):
-                    to = min(f.docs, at + 2000)
-                    begin = int(ends[at])
-                    ids = f.span(begin, int(ends[to])).astype("<u4")
-                    crc = [zlib.crc32(ids[ends[k] - begin : ends[k + 1] - begin]) for k in range(at, to)]
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(names[at:to], pa.int64()), "start": pa.array(ends[at:to] + start, pa.int64()), "n_tokens": pa.array(np.diff(ends[at : to + 1]), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+                for at in range(0, f.docs, READ):
+                    to = min(f.docs, at + READ)
+                    ends = f.ends.slice(at, to + 1)  # offsets of these documents only, by select
+                    ids, begin = f.span(int(ends[0]), int(ends[-1])).astype("<u4"), int(ends[0])
+                    crc = [zlib.crc32(ids[a:b]) for a, b in zip((ends[:-1] - begin).tolist(), (ends[1:] - begin).tolist(), strict=True)]
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(f.doc_ids(at, to), pa.int64()), "start": pa.array(ends[:-1] + start, pa.int64()), "n_tokens": pa.array(np.diff(ends), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID) -> DataFrame:

@@ -24,6 +24,7 @@ import gzip
 import hashlib
 import json
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -39,7 +40,6 @@ MIN_SHARED = 1000
 BLOCK = 128
 #: Records are read together while they lie next to each other, up to so many bytes.
 SPAN = 4 << 20
-NO_ID = -(1 << 63)
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -70,6 +70,13 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, refers: i
     return head.encode() + body + b"\r\n\r\n"
 
 
+def file_info(name: str) -> bytes:
+    """The warcinfo record that begins an archive."""
+    body = b"software: tesserine\r\nformat: WARC File Format 1.1\r\n"
+    fields = {"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "WARC-Filename": name, "WARC-Date": DATE, "Content-Type": "application/warc-fields", "Content-Length": str(len(body))}
+    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n").encode() + body + b"\r\n\r\n"
+
+
 def parse(raw: bytes) -> dict:
     """Headers and, for a response, the payload; a revisit has the stated payload length instead."""
     head, _, rest = raw.partition(b"\r\n\r\n")
@@ -98,7 +105,9 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
             if kind == 0:
                 role = (key, page, digest, refers, refers_url)
                 continue
-            sink = sink or Sink(new_file(folder, ".warc.gz"))
+            if sink is None:
+                sink = Sink(new_file(folder, ".warc.gz"))
+                sink.put(gzip.compress(file_info(sink.uri.rpartition("/")[2]), 1, mtime=0))
             named = role is not None and role[:3] == (key, page, digest)
             payload = (html or "").encode()
             member = gzip.compress(record(page, url or "", payload, hashlib.sha1(payload).hexdigest(), role[3] if named else None, role[4] if named else None), 1, mtime=0)
@@ -228,7 +237,8 @@ def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"uri": pa.array(uri, pa.string()), "key": pa.array(key, pa.string())})
 
     routed = keys.select("key").distinct().mapInArrow(route, "uri string, key string")
-    return routed.repartition("uri").sortWithinPartitions("uri", "key").mapInArrow(_fetch, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    dealt = routed.repartitionByRange(max(1, len(files)), "uri") if files else routed
+    return dealt.sortWithinPartitions("uri", "key").mapInArrow(_fetch, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op3_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:

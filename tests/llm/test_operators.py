@@ -247,16 +247,61 @@ def test_large_cells_are_dealt_whole(spark):
 
 
 def test_rounding_of_many_sizes(spark):
-    cells = [("a", s, 1 + s % 3, (s * 7 % 24) / 8) for s in range(1000)]
-    got = {r["size"]: (r["n"], r["whole"], r["extra"]) for r in mixing.round_cells(spark.createDataFrame(cells, "source string, size long, n long, rate double")).collect()}
-    owed = 0.0
-    for _, size, n, rate in reversed(cells):
-        part = rate - int(rate)
-        owed += n * part * size
-        extra = min(n, max(0, int(owed / size + 0.5))) if size and part else 0
-        owed -= extra * size
-        assert got.pop(size) == (n, int(rate), extra)
-    assert not got
+    """The words of all cells are met to a few, though each of them is rounded; no cell gives more than it has."""
+    cells = [("a", s, 1 + s % 3, (s * 7 % 24) / 24) for s in range(1000)] + [(None, 5, 3, 0.5), ("b", 20_000, 7, 0.3), ("b", 3, 2, 0.3), ("c", 0, 9, 0.4)]
+    got = mixing.round_cells(spark.createDataFrame(cells, "source string, size long, n long, part double")).collect()
+    assert len(got) == len(cells) and all(0 <= r["extra"] <= (r["n"] if r["part"] else 0) for r in got)
+    for source, most in (("a", 3), (None, 5), ("b", 10_003), ("c", 0)):
+        assert abs(sum((r["n"] * r["part"] - r["extra"]) * r["size"] for r in got if r["source"] == source)) <= most
+
+
+def plain_targets(sizes, weights=(5, 2, 1), cap=3):
+    """The contract word for word: share, stop at the cap, share the excess again until none is above."""
+    names = sorted((k for k in sizes if k is not None), key=lambda k: [ord(c) for c in k]) + [k for k in sizes if k is None]
+    weight = {k: weights[i % len(weights)] for i, k in enumerate(names)}
+    target, free, left = {}, set(sizes), float(sum(sizes.values()))
+    while free:
+        share = {k: left * weight[k] / sum(weight[x] for x in free) for k in free}
+        over = {k for k in free if share[k] > cap * sizes[k]}
+        if not over:
+            target.update(share)
+            break
+        for k in over:
+            target[k] = float(cap * sizes[k])
+            left -= target[k]
+        free -= over
+    return target
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, "c": 50}, {"a": 5, "b": 5, "c": 5, "d": 900, None: 85}, {"a": 0, "b": 100}, {None: 7}, {"Z": 1, "a": 2, "é": 3, "b": 4000}])
+def test_targets_against_the_plain_loop(spark, sizes):
+    got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    want = plain_targets(sizes)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_newton_steps_solve_the_dual(spark):
+    """Base rates that differ and rates at the cap: the tilted rates meet each target, after more than one step."""
+    moments = [("a", 0.5, 1000), ("a", 1.0, 500), ("a", 2.0, 800), ("b", 1.0, 900), (None, 0.1, 50), (None, 4.0, 50)]
+    targets = {"a": 4800.0, "b": 300.0, None: 160.0}
+    df = spark.createDataFrame(moments, "source string, base double, words long")
+    want = spark.createDataFrame(list(targets.items()), "source string, target double")
+    x = {r["source"]: r["x"] for r in mixing.balance(df, want).collect()}
+    one = {r["source"]: r["x"] for r in mixing.balance(df, want, most=1).collect()}
+    for source, target in targets.items():
+        rates = [(w, min(3.0, q * np.exp(x[source]))) for s, q, w in moments if s == source]
+        assert sum(w * r for w, r in rates) == pytest.approx(target, rel=1e-8)
+        assert abs(one[source] - x[source]) > 1e-3
+
+
+def test_mix_of_different_base_rates(spark):
+    rows = [(i, "ab"[i % 2], 5 + i % 90, [0.2, 1.0, 3.0][i % 3]) for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long, base double")).collect()
+    for source in "ab":
+        mine = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 90
+        mean = [np.mean([r["copies"] for r in mine if r["doc_id"] % 3 == k]) for k in range(3)]
+        assert mean[0] < mean[1] < mean[2] <= 3
 
 
 def test_feistel_is_a_permutation(spark):
@@ -293,7 +338,8 @@ def test_token_ids_are_those_of_the_tokenizer(spark):
 @pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0], [0, 1, 1, 7, 1000, 10**9], list(range(0, 5000, 3))])
 def test_elias_fano_round_trip(values):
     f = tokenids.EliasFano(tokenids.ef_encode(np.array(values, np.int64)))
-    assert f.all().tolist() == values and [f.get(i) for i in range(len(values))] == values
+    assert f.slice(0, len(values)).tolist() == values and [f.get(i) for i in range(len(values))] == values
+    assert all(f.slice(a, b).tolist() == values[a:b] for a in range(0, len(values), 301) for b in range(a, len(values), 433))
 
 
 def test_quality_of_held_out_documents(spark):
