@@ -14,8 +14,13 @@ the window.
 
 A document is contaminated by an item of n words if some passage of it is within
 n // 5 word edits (0 for items under ten words).  Items under MIN_WORDS words are
-no evidence and match nothing.  The index of the items is broadcast in blocks of
-a bounded number of words; each block is one pass over the documents.
+no evidence inside a longer text: they match a document that has their words and
+no others.  An item that gets too few keys from all repetitions gets keys of a walk
+that always moves on, so every item has one.
+
+The items are dealt by row number into blocks of a bounded number of words.  Tasks
+build the index of each block and write it to the shared folder; each block is one
+pass over the documents, whose tasks read the index once a worker.
 
 Defined results: null, empty or blank texts and items match nothing; repeated
 documents or items are reported each; a null id is reported as null; empty
@@ -24,6 +29,7 @@ tables give an empty result; extra columns are left out.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -32,15 +38,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialise, shared_dir
+from .store import Source, new_file, write
+
 MIN_WORDS, RATE, LEAST_EDITED = 5, 5, 10
 #: Steps of the walk that the samples of each repetition come from: short walks for items with many edits, long ones for few chance hits.
-REPETITIONS = (5, 5, 9, 9, 16, 16)
+SHORTEST = 5
+REPETITIONS = (SHORTEST, SHORTEST, 9, 9, 16, 16)
 SAMPLES, DISTINCT = 4, 3
-#: Repetitions of the shortest walk are added until every item has so many keys, up to MOST repetitions.
+#: Repetitions of the shortest walk are added until every item has so many keys; after MOST of them comes one that always moves on.
 LEAST_KEYS, MOST = 3, 40
 _MULTIPLY = np.int64(0x5851F42D4C957F2D)
 SEED = 20_240_509
-#: Words of the items in one broadcast block (an index takes about 500 bytes a word).
+#: Words of the items in one block (an index takes about 500 bytes a word).
 BLOCK_WORDS = 500_000
 WORD = re.compile(r"[^\W_]+")
 
@@ -77,26 +87,34 @@ class Index:
     """The items of one block under their keys."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
-        found = [(i, words_of(t)) for i, t in items]
-        found = [(i, w) for i, w in found if len(w) >= MIN_WORDS]
-        self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in found for w in ws}), 1)}
-        self.items = [(i, [self.vocabulary[w] for w in ws]) for i, ws in found]
-        self.sets = [set(ws) for _, ws in self.items]
+        found = [(i, w) for i, t in items if (w := words_of(t))]
+        found.sort(key=lambda x: len(x[1]) < MIN_WORDS)  # the short ones last
+        long = [ws for _, ws in found if len(ws) >= MIN_WORDS]
+        self.names, self.sizes = [i for i, _ in found], [len(ws) for _, ws in found]
+        self.short: dict[tuple[str, ...], list[int]] = {}
+        for k in range(len(long), len(found)):
+            self.short.setdefault(tuple(found[k][1]), []).append(k)
+        self.vocabulary = {w: k for k, w in enumerate(sorted({w for ws in long for w in ws}), 1)}
+        self.items = [[self.vocabulary[w] for w in ws] for ws in long]
+        self.sets = [set(ws) for ws in self.items]
         rng, size = np.random.default_rng(SEED), len(self.vocabulary) + 1
         self.walks, had = [], np.zeros(len(self.items), np.int64)
-        while self.items and (len(self.walks) < len(REPETITIONS) or (had.min() < LEAST_KEYS and len(self.walks) < MOST)):
-            steps = REPETITIONS[len(self.walks)] if len(self.walks) < len(REPETITIONS) else min(REPETITIONS)
-            bits = rng.integers(0, 1 << 62, size, dtype=np.int64)
+        while self.items and (len(self.walks) < len(REPETITIONS) or had.min() < LEAST_KEYS):
+            steps = REPETITIONS[len(self.walks)] if len(self.walks) < len(REPETITIONS) else SHORTEST
+            last = len(self.walks) >= MOST
+            bits = np.full(size, -1, np.int64) if last else rng.integers(0, 1 << 62, size, dtype=np.int64)
             samples = np.sort(rng.permutation(steps)[:SAMPLES]).tolist()
             keys = self._keys(samples, bits)
             had += np.bincount(keys[1], minlength=len(had))
             self.walks.append((samples, bits, *keys))
+            if last:
+                break
 
     def _keys(self, samples: list[int], bits: np.ndarray) -> tuple:
         """Sorted keys with their items and offsets, and which words each sample of an item can have."""
         rows, allowed = [], [np.zeros(len(self.vocabulary) + 1, bool) for _ in samples]
-        words = np.array([w for _, ws in self.items for w in [*ws, 0]], np.int64)  # one word of no item between two items
-        sizes = np.array([len(ws) + 1 for _, ws in self.items])
+        words = np.array([w for ws in self.items for w in [*ws, 0]], np.int64)  # one word of no item between two items
+        sizes = np.array([len(ws) + 1 for ws in self.items])
         item = np.repeat(np.arange(len(sizes)), sizes)
         start, _, met, key = self._walk(words, samples, bits, None)
         inside = (met > 0).all(axis=0)
@@ -149,8 +167,11 @@ class Index:
     def matches(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, edits, word after the passage) of each text and item that match, the best passage of each pair."""
         known, rows, starts, at = self.vocabulary.get, [], [0], 0
-        for t in texts:
-            rows.append([known(w, 0) for w in words_of(t)])
+        for k, t in enumerate(texts):
+            words = words_of(t)
+            if 0 < len(words) < MIN_WORDS:
+                yield from ((k, item, 0, len(words)) for item in self.short.get(tuple(words), ()))
+            rows.append([known(w, 0) for w in words])
             at += len(rows[-1]) + 1  # one word of no item between two texts
             starts.append(at)
         if not any(map(any, rows)):
@@ -162,7 +183,7 @@ class Index:
         for k, start, item in self.candidates(ids, np.array(starts)).tolist():
             if best.get((k, item), (1,))[0] == 0:
                 continue
-            ws = self.items[item][1]
+            ws = self.items[item]
             spare = edits_allowed(len(ws))
             begin = max(0, start - spare)
             passage = rows[k][begin : start + len(ws) + spare]
@@ -174,32 +195,67 @@ class Index:
         yield from ((k, item, *v) for (k, item), v in best.items())
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of the items, each of a bounded number of words."""
-    items = benchmark.select("item_id", "text")
-    words = items.agg(F.sum(F.regexp_count("text", F.lit(r"\S+")))).first()[0] or 0
-    n = -(-words // BLOCK_WORDS)
-    for k in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()  # about BLOCK_WORDS words
-        yield Index([(r["item_id"], r["text"]) for r in rows])
+def _build(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Rows in order of block -> one index file for each block."""
+
+    def done(block: int, items: list) -> pa.RecordBatch:
+        uri = new_file(folder, ".index")
+        write(uri, pickle.dumps(Index(items)))
+        return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "uri": [uri]})
+
+    block, items = None, []
+    for batch in batches:
+        for k, item, text in zip(*(batch.column(c).to_pylist() for c in ("block", "item_id", "text")), strict=True):
+            if k != block and items:
+                yield done(block, items)
+                items = []
+            block = k
+            items.append((item, text))
+    if items:
+        yield done(block, items)
+
+
+def index_files(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[str]:
+    """Files with the indexes of all items, each of about ``block_words`` words."""
+    spark = benchmark.sparkSession
+    items = materialise(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn("row", F.monotonically_increasing_id()), "items")
+    words = items.agg(F.sum(F.coalesce(F.regexp_count("text", F.lit(r"[^\W_]+")), F.lit(0)) + 1)).first()[0] or 0
+    n = -(-words // block_words)
+    if not n:
+        return []
+    folder = shared_dir(spark, "benchmark-index")
+    dealt = items.select((F.col("row") % n).alias("block"), "item_id", "text", "row").repartition(n, "block").sortWithinPartitions("block", "row")
+    built = materialise(dealt.mapInArrow(lambda it: _build(it, folder), "block long, uri string"), "index-files")
+    return [r["uri"] for r in built.orderBy("block").collect()]
+
+
+#: The index that a Python worker has read last.
+_LOADED: dict[str, Index] = {}
+
+
+def _load(uri: str) -> Index:
+    if uri not in _LOADED:
+        _LOADED.clear()
+        with Source(uri) as source:
+            _LOADED[uri] = pickle.loads(source.range(0, source.size()))
+    return _LOADED[uri]
 
 
 SLICE = 200
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_matches(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, edits, item_words, end_word for every document and item that match."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema, out = "doc_id long, item_id long, edits long, item_words long, end_word long", None
-    for index in _blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    for uri in index_files(benchmark, block_words):
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
+        def run(batches: Iterator[pa.RecordBatch], uri=uri) -> Iterator[pa.RecordBatch]:
+            index = _load(uri)
             for batch in batches:
                 for at in range(0, batch.num_rows, SLICE):
                     names = batch.column("doc_id").slice(at, SLICE).to_pylist()
-                    got = [(names[k], index.items[i][0], edits, len(index.items[i][1]), stop) for k, i, edits, stop in index.matches(batch.column("text").slice(at, SLICE).to_pylist())]
+                    got = [(names[k], index.names[i], edits, index.sizes[i], stop) for k, i, edits, stop in index.matches(batch.column("text").slice(at, SLICE).to_pylist())]
                     if got:
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*got, strict=True)], ["doc_id", "item_id", "edits", "item_words", "end_word"])
 
@@ -208,18 +264,17 @@ def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` that match no item, with unchanged columns."""
     schema = docs.schema
-    for index in _blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    for uri in index_files(benchmark, block_words):
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], uri=uri) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, SLICE):
                     some = batch.slice(at, SLICE)
                     clean = np.ones(some.num_rows, bool)
-                    clean[[m[0] for m in sent.value.matches(some.column("text").to_pylist())]] = False
+                    clean[[m[0] for m in _load(uri).matches(some.column("text").to_pylist())]] = False
                     yield some.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, schema)

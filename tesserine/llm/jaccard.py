@@ -21,7 +21,10 @@ are probed by binary search in the partner's sorted set.
    that are still in different components and within that bound are compared.
 
 No link between different sets is lost by this: the steps drop only pairs that
-provably miss the threshold, or that are connected already.
+provably miss the threshold, or that are connected already.  Shingles are compared
+by 64-bit hashes and equal sets by two sums of 64 bits: two different shingles of
+one pair of sets of 1,000 shingles would have to have one hash, one chance in
+10^13, for its overlap to be wrong by one.
 
 Defined results: a null, empty or blank text has 0 shingles and links with
 nothing; a text of fewer than five words is one shingle; repeated rows are rows
@@ -39,9 +42,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import materialise, small_or_shuffled
+from .common import clearing, materialise, small_or_shuffled
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -83,45 +85,41 @@ def required(n: int) -> int:
     return (PERCENT * n + 99) // 100
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = Words()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            sizes, one, two = [], [], []
-            for t in batch.column("text").slice(at, 1000).to_pylist():
-                s = shingles(t, words)
-                sizes.append(len(s))
-                one.append(_mix(s, 0xBF58476D1CE4E5B9).sum(dtype=np.uint64))
-                two.append(_mix(s, 0x94D049BB133111EB).sum(dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, 1000), pa.array(sizes, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two))], ["doc_id", "n", "k1", "k2"])
+def _keys(s: np.ndarray) -> tuple[int, int]:
+    """Two sums over a set that tell it from others."""
+    return tuple(int(_mix(s, by).sum(dtype=np.uint64).view(np.int64)) for by in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
-def _short_by_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """shingle, k1 for the first shingles by hash of each set; a set that the task has met is left out."""
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and keys of each set, and its first shingles by hash; a set that the task has met has none."""
     words, met = Words(), set()
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
-            parts, keys = [], []
+            sizes, keys, short = [], [], []
             for t in batch.column("text").slice(at, 500).to_pylist():
                 s = shingles(t, words)
-                key = int(_mix(s, 0xBF58476D1CE4E5B9).sum(dtype=np.uint64))
-                if len(s) and key not in met:
-                    if len(met) >= REMEMBER:
-                        met.clear()
-                    met.add(key)
-                    parts.append(s[: len(s) - required(len(s)) + (len(s) + 9) // 10])
-                    keys.append(key)
-            if parts:
-                sizes = [len(p) for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(keys, np.uint64).view(np.int64), sizes))], ["shingle", "k1"])
+                key = _keys(s)
+                sizes.append(len(s))
+                keys.append(key)
+                if not len(s) or key in met:
+                    short.append(None)
+                    continue
+                if len(met) >= REMEMBER:
+                    met.clear()
+                met.add(key)
+                short.append(s[: len(s) - required(len(s)) + (len(s) + 9) // 10].view(np.int64))
+            one, two = zip(*keys, strict=True)
+            columns = [batch.column("doc_id").slice(at, 500), *(pa.array(x, pa.int64()) for x in (sizes, one, two)), pa.array(short, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "k1", "k2", "short"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
-            sets = [shingles(t, words).view(np.int64) for t in batch.column("text").slice(at, 200).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("rep").slice(at, 200), pa.array(sets, pa.list_(pa.int64()))], ["rep", "found"])
+            sets = [shingles(t, words) for t in batch.column("text").slice(at, 200).to_pylist()]
+            one, two = zip(*map(_keys, sets), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("rep").slice(at, 200), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["rep", "k1", "k2", "found"])
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,35 +158,54 @@ def _rest(members: DataFrame, state: DataFrame) -> DataFrame:
     members: hub, cls, n, ``i`` (overlap with the hub) and ``e`` (shared
     shingles beside those).  Linked classes have a short list in common and so
     the hub of that list; two members of a hub have at most least(i) + least(e)
-    shingles in common.
+    shingles in common.  One of the two is not connected with the hub: only those
+    are held against the members of the hub, and only where the sizes are alike
+    (in the same range of sizes or the next, each 100 / PERCENT times the last).
     """
-    now = members.join(state, "cls")
-    spread = now.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("hub")
-    now = materialise(now.join(spread, "hub", "left_semi"), "members")
-    left, right = (now.select("hub", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "comp", "i", "e")]) for x in "ab")
+    now = members.join(state, "cls").join(state.select(F.col("cls").alias("hub"), F.col("comp").alias("main")), "hub")
+    band = F.floor(F.log("n") / float(np.log(100 / PERCENT))).cast("int")
+    now = materialise(now.withColumn("band", band), "members")
+    outside = now.filter("comp <> main")
+    inside = now.join(outside.select("hub").distinct(), "hub", "left_semi")
+    left, right = (d.select("hub", "band", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "comp", "i", "e")]) for d, x in ((outside, "a"), (inside, "b")))
+    left = left.withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
     able = (F.least("i_a", "i_b") + F.least("e_a", "e_b")) * (100 + PERCENT) >= PERCENT * (F.col("n_a") + F.col("n_b"))
-    met = left.join(right, "hub").filter((F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b")) & _may_link("n_a", "n_b") & able)
-    return met.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+    met = left.join(right, ["hub", "band"]).filter((F.col("comp_a") != F.col("comp_b")) & _may_link("n_a", "n_b") & able)
+    return met.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
 
 
 def similar_sets(docs: DataFrame) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, component_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialise(docs.mapInArrow(_describe, "doc_id long, n long, k1 long, k2 long"), "fingerprints")
+    with clearing(docs.sparkSession):
+        rows, by_set = _by_set(docs)
+    key = ["k1", "k2", "n"]
+    out = rows.join(by_set, key, "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _by_set(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n, k1, k2 of all rows, and k1, k2, n -> component, the smallest id of the sets that links reach."""
+    described = materialise(docs.mapInArrow(_describe, "doc_id long, n long, k1 long, k2 long, short array<long>"), "described")
+    rows = materialise(described.drop("short"), "fingerprints", keep=True)
     key = ["k1", "k2", "n"]
     reps = rows.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
 
-    # sets that can have a partner, by the first shingles in the order of their hashes
-    short = docs.select("text").mapInArrow(_short_by_hash, "shingle long, k1 long")
-    one_list = Window.partitionBy("shingle")
-    shared = short.withColumn("lo", F.min("k1").over(one_list)).withColumn("hi", F.max("k1").over(one_list)).filter("lo <> hi")
-    hits = shared.select("k1", "shingle").distinct().groupBy("k1").agg(F.count("*").alias("hits"))
+    # sets that can have a partner, by the first shingles in the order of their hashes: lists are
+    # told by their ends, which combine before the shuffle, and a common shingle is one row of a join
+    short = described.select("k1", F.explode("short").alias("shingle"))
+    shared = short.groupBy("shingle").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi").select("shingle")
+    hits = short.join(shared, "shingle", "left_semi").distinct().groupBy("k1").agg(F.count("*").alias("hits"))
     least = F.floor((F.floor((F.col("n") * PERCENT + 99) / 100) + 9) / 10)
-    able = materialise(reps.filter("rep is not null").join(hits, "k1").filter(F.col("hits") >= least).select("rep", "n"), "able")
+    able = reps.filter("rep is not null").join(hits, "k1").filter(F.col("hits") >= least)
+    named = materialise(able.select(F.monotonically_increasing_id().alias("set"), "rep", *key), "able")
+    # from here on a set goes by its number, so that an id may stand on several texts
+    able = named.select(F.col("set").alias("rep"), "n")
 
     # their whole sets, rare shingles first
-    texts = small_or_shuffled(docs.withColumnRenamed("doc_id", "rep"), able.select("rep"), "rep").dropDuplicates(["rep"])
-    found = materialise(texts.mapInArrow(_sets, "rep long, found array<long>"), "sets")
+    texts = small_or_shuffled(docs.withColumnRenamed("doc_id", "rep"), named.select("rep").distinct(), "rep")
+    found = texts.mapInArrow(_sets, "rep long, k1 long, k2 long, found array<long>").join(named.select("set", "rep", "k1", "k2"), ["rep", "k1", "k2"])
+    found = materialise(found.select(F.col("set").alias("rep"), "found").dropDuplicates(["rep"]), "sets")
     each = found.select("rep", F.explode("found").alias("shingle"))
     lengths = each.groupBy("shingle").agg(F.count("*").alias("length")).filter("length > 1")
     listed = each.join(lengths, "shingle").groupBy("rep").agg(F.collect_list(F.struct("length", "shingle")).alias("found"))
@@ -221,9 +238,10 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     # back to documents; a folded class without any link holds sets that are not alike among themselves
     comp = components(links).withColumnRenamed("id", "cls")
     by_rep = member.join(comp, "cls", "left").select("rep", F.coalesce("comp", F.when(F.col("alike"), F.col("cls")), "rep").alias("component"))
-    by_set = reps.join(by_rep, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
-    out = rows.join(by_set, key, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    of_set = reps.join(named.select(*key, F.col("set").alias("rep_set")), key, "left").join(by_rep.withColumnRenamed("rep", "rep_set"), "rep_set", "left")
+    lowest = of_set.filter("component is not null").groupBy("component").agg(F.min("rep").alias("lowest"))
+    of_set = of_set.join(lowest, "component", "left").select(*key, F.coalesce("lowest", "rep").alias("component"))
+    return rows, materialise(of_set, "components", keep=True)
 
 
 def op10_divide_skip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
