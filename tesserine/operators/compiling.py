@@ -122,6 +122,28 @@ def match_quotes(citations: DataFrame, blocks: DataFrame) -> DataFrame:
     return best.select("claim_id", "doc_id", (-F.col("b")["col2"]).alias("chunk_idx"), F.col("b.hits").alias("overlap"))
 
 
+def cite_claims(claims: DataFrame, blocks: DataFrame, most: int = 400) -> DataFrame:
+    """claim_id, doc_id, quote (may be null) -> chunk_idx, quote_text, precision.
+
+    A claim is cited by the block that its quote fits best, by the first block of the
+    document if none fits; without a quote the first block's text stands for it.
+    """
+    quote = F.nullif("quote", F.lit(""))
+    best = match_quotes(claims.filter(quote.isNotNull()), blocks).select("claim_id", "doc_id", "chunk_idx")
+    first = blocks.groupBy("doc_id").agg(F.min(F.struct("chunk_idx", F.left("text", F.lit(most)).alias("text"))).alias("b"))
+    found = claims.join(best, ["claim_id", "doc_id"], "left").join(first, "doc_id", "left")
+    return found.select("claim_id", "doc_id", F.coalesce("chunk_idx", "b.chunk_idx").alias("chunk_idx"), F.coalesce(F.left(quote, F.lit(most)), "b.text").alias("quote_text"), F.when(quote.isNotNull(), "exact_match").otherwise("fallback").alias("precision"))
+
+
+def match_paragraphs(blocks: DataFrame, paragraphs: DataFrame, words: int = 15, least: int = 3) -> DataFrame:
+    """doc_id, chunk_idx, text x doc_id, para_no, text -> the paragraph that shares most of the first words, the earliest of equals, ``least`` at least."""
+    head = lambda c: F.array_distinct(F.slice(T.words(F.lower(c)), 1, words))
+    both = blocks.select("doc_id", "chunk_idx", head("text").alias("a")).join(paragraphs.select("doc_id", "para_no", head("text").alias("b")), "doc_id")
+    shared = both.withColumn("overlap", F.size(F.array_intersect("a", "b"))).filter(F.col("overlap") >= least)
+    best = shared.groupBy("doc_id", "chunk_idx").agg(F.max(F.struct("overlap", -F.col("para_no"))).alias("m"))
+    return best.select("doc_id", "chunk_idx", (-F.col("m")["col2"]).alias("para_no"), F.col("m.overlap").alias("overlap"))
+
+
 def purge(rows: DataFrame, citations: DataFrame, gone: DataFrame) -> DataFrame:
     """Claims without those that a document of ``gone`` (source_document_id) is cited for."""
     return rows.join(citations.join(gone, "source_document_id", "left_semi").select("claim_id"), "claim_id", "left_anti")

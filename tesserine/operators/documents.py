@@ -49,6 +49,33 @@ def heads(revisions: DataFrame) -> DataFrame:
     return revisions.groupBy("document_id").agg(last).select("document_id", "h.*")
 
 
+def listing(pages: DataFrame, order: str, which: Column) -> DataFrame:
+    """The pages or blocks of some documents with their position and length, in order."""
+    position = F.row_number().over(Window.partitionBy("doc_id").orderBy(order))
+    return pages.filter(which).withColumns({"position": position, "char_count": F.length("text")})
+
+
+def read_pages(pages: DataFrame, spec: str) -> DataFrame:
+    """doc_id, text: the pages that a range such as ``1-2, 4`` names, in order, joined by a blank line."""
+    wanted = pages.filter(F.array_contains(T.page_range(F.lit(spec)), F.col("page_no").cast("int")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"])
+    return wanted.groupBy("doc_id").agg(F.array_join(ordered, "\n\n").alias("text"))
+
+
+def with_member(rows: DataFrame, column: str, key: str, value: str | None = None) -> DataFrame:
+    """Rows whose JSON column has a key, or has it with this value."""
+    found = F.get_json_object(column, f"$.{key}")
+    return rows.filter(found.isNotNull() if value is None else found == value)
+
+
+def vault_search(documents: DataFrame, query: str) -> DataFrame:
+    """Documents that hold the query in path, title, kind or status, without regard to case."""
+    found = F.lit(False)
+    for c in ("path", "title", "kind", "status"):
+        found = found | F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(query.strip().lower()))
+    return documents.filter(found)
+
+
 def with_previous(revisions: DataFrame) -> DataFrame:
     """Each revision with the one before it."""
     before = Window.partitionBy("document_id").orderBy("created_at", "revision_id")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.functions import text as T
+from tesserine.sinks import stored
 from tesserine.tables import ENTITY_KINDS
 
 HIDDEN = ("/wiki/overview.md", "/wiki/log.md")
@@ -28,30 +29,36 @@ def _at(kind: str, c: str) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
 
 
-def build(t: dict[str, DataFrame], entities: DataFrame, relations: DataFrame, claims: DataFrame, citations: DataFrame, references: DataFrame, max_nodes: int, max_edges: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def build(t: dict[str, DataFrame], entities: DataFrame, relations: DataFrame, claims: DataFrame, citations: DataFrame, references: DataFrame, max_nodes: int, max_edges: int, focus: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and summary; a node or edge met twice counts once, at its first place.
 
     Both lists are cut in the order entities, claims, documents (relations,
     claims, citations, references) and by id; then edges without both ends go.
+    The documents of ``focus`` are nodes in any case and come first.
     """
     docs = t["documents"]
     named = citations.select(F.col("source_document_id").alias("doc_id")).unionByName(references.select(F.col("source_document_id").alias("doc_id"))).unionByName(references.select(F.col("target_document_id").alias("doc_id"))).distinct()
+    document = lambda df, at: _node(df, "document", "doc_id", F.col("title"), F.col("kind"), F.col("path"), at)
+    if focus is not None:
+        named = named.join(focus.select("doc_id"), "doc_id", "left_anti")
     nodes = (
         _node(entities, "entity", "entity_id", F.col("title"), F.col("entity_type"), entity_path(F.col("entity_type"), F.col("title")), 0)
         .unionByName(_node(claims, "claim", "claim_id", T.shorten(F.col("canonical_text"), 120, "…"), F.lit(None).cast("string"), F.lit(None).cast("string"), 1))
-        .unionByName(_node(docs.join(named, "doc_id", "left_semi"), "document", "doc_id", F.col("title"), F.col("kind"), F.col("path"), 2))
+        .unionByName(document(docs.join(named, "doc_id", "left_semi"), 2))
     )
+    if focus is not None:
+        nodes = nodes.unionByName(document(docs.join(focus.select("doc_id"), "doc_id", "left_semi"), -1))
+    nodes = stored(nodes, "nodes")
     related = relations.groupBy("source_entity_id", "target_entity_id", "relation_type").agg(F.count("*").alias("_n"))
     edges = (
         _edge(related, "relation", _at("entity", "source_entity_id"), _at("entity", "target_entity_id"), F.col("relation_type"), 0)
-        .unionByName(_edge(claims.filter("entity_id is not null"), "claim_entity", _at("claim", "claim_id"), _at("entity", "entity_id"), F.lit("about"), 1))
+        .unionByName(_edge(claims.filter("entity_id is not null"), "claim_entity", _at("claim", "claim_id"), _at("entity", "entity_id"), F.lit("supports"), 1))
         .unionByName(_edge(citations, "citation", _at("claim", "claim_id"), _at("document", "source_document_id"), F.lit("cites"), 2))
         .unionByName(_edge(references, "reference", _at("document", "source_document_id"), _at("document", "target_document_id"), F.col("ref_type"), 3))
     )
     # an edge needs both ends among all nodes before the lists are cut
-    ids = nodes.select("id")
     ends = lambda e, n: e.join(n.withColumnRenamed("id", "source"), "source", "left_semi").join(n.withColumnRenamed("id", "target"), "target", "left_semi")
-    edges = ends(edges, ids)
+    edges = stored(ends(edges, nodes.select("id")), "edges")
     over = nodes.agg(F.count("*").alias("n")).crossJoin(edges.agg(F.count("*").alias("e")))  # one row each
     shown = nodes.orderBy("_set", "ref_id").limit(max_nodes).drop("_set")
     kept = ends(edges.orderBy("_set", "id").limit(max_edges), shown.select("id")).drop("_set")
@@ -61,14 +68,27 @@ def build(t: dict[str, DataFrame], entities: DataFrame, relations: DataFrame, cl
     return shown, kept.select("id", "type", "source", "target", "label"), summary
 
 
-def workspace_graph(t: dict[str, DataFrame], max_nodes: int = 300, max_edges: int = 600) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Everything, without references to the structural pages."""
-    hidden = t["documents"].filter(F.col("path").isin(*HIDDEN)).select(F.col("doc_id").alias("target_document_id"))
-    return build(t, t["entities"], t["relations"], t["claims"].filter("entity_id is not null"), t["citations"], t["references"].join(hidden, "target_document_id", "left_anti"), max_nodes, max_edges)
+def _without(df: DataFrame, hidden: DataFrame, *columns: str) -> DataFrame:
+    for c in columns:
+        df = df.join(hidden.select(F.col("doc_id").alias(c)), c, "left_anti")
+    return df
 
 
-def focus_graph(t: dict[str, DataFrame], focus: DataFrame, max_nodes: int = 300, max_edges: int = 600) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What surrounds the documents of ``focus`` (doc_id): cited claims, their entities, relations touching those, references in both directions."""
+def _included(claims: DataFrame, citations: DataFrame, references: DataFrame, include_claims: bool, include_documents: bool, include_references: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Citations need claims and documents, references need documents."""
+    only = lambda df, wanted: df if wanted else df.filter(F.lit(False))
+    return only(claims, include_claims), only(citations, include_claims and include_documents), only(references, include_references and include_documents)
+
+
+def workspace_graph(t: dict[str, DataFrame], max_nodes: int = 300, max_edges: int = 600, include_claims: bool = True, include_documents: bool = True, include_references: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Everything, without citations of the structural pages and references from or to them."""
+    hidden = t["documents"].filter(F.col("path").isin(*HIDDEN)).select("doc_id")
+    parts = _included(t["claims"].filter("entity_id is not null"), _without(t["citations"], hidden, "source_document_id"), _without(t["references"], hidden, "source_document_id", "target_document_id"), include_claims, include_documents, include_references)
+    return build(t, t["entities"], t["relations"], *parts, max_nodes, max_edges)
+
+
+def focus_graph(t: dict[str, DataFrame], focus: DataFrame, max_nodes: int = 300, max_edges: int = 600, include_claims: bool = True, include_documents: bool = True, include_references: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents of ``focus`` (doc_id) and what surrounds them: cited claims, their entities, relations between those, references in both directions."""
     cited = t["citations"].join(focus.select(F.col("doc_id").alias("source_document_id")), "source_document_id", "left_semi")
     claims = t["claims"].join(cited.select("claim_id"), "claim_id", "left_semi")
     near = claims.select("entity_id").filter("entity_id is not null").distinct()
@@ -77,7 +97,8 @@ def focus_graph(t: dict[str, DataFrame], focus: DataFrame, max_nodes: int = 300,
     f = focus.select("doc_id")
     out = t["references"].join(f.withColumnRenamed("doc_id", "source_document_id"), "source_document_id", "left_semi")
     into = t["references"].join(f.withColumnRenamed("doc_id", "target_document_id"), "target_document_id", "left_semi")
-    return build(t, entities, touching, claims, cited, out.unionByName(into).distinct(), max_nodes, max_edges)
+    parts = _included(claims, cited, out.unionByName(into).distinct(), include_claims, include_documents, include_references)
+    return build(t, entities, touching, *parts, max_nodes, max_edges, f if include_documents else None)
 
 
 def neighbours(documents: DataFrame, references: DataFrame) -> DataFrame:

@@ -66,3 +66,43 @@ def histogram(df: DataFrame, label: str, value: str, buckets: Sequence[float]) -
     counts = df.groupBy(label).agg(*[F.count_if(F.col(value) <= b).alias(str(i)) for i, b in enumerate(buckets)])
     rows = F.array(*[F.struct(F.lit(float(b)).alias("le"), F.col(str(i)).alias("n")) for i, b in enumerate(buckets)])
     return counts.select(label, F.inline(rows))
+
+
+def bucket_quantile(df: DataFrame, label: str, value: str, buckets: Sequence[float], q: float) -> DataFrame:
+    """A quantile from fixed buckets, straight inside the bucket where it falls; the last bound for values beyond all.
+
+    label, quantile, n.  Only the counts of the buckets are held.
+    """
+    total = F.count("*").alias("n")
+    at = df.groupBy(label).agg(total, *[F.count_if(F.col(value) <= b).cast("double").alias(f"b{i}") for i, b in enumerate(buckets)])
+    want, out = F.col("n") * F.lit(q), F.lit(float(buckets[-1]))
+    for i in reversed(range(len(buckets))):
+        low, below = (F.lit(float(buckets[i - 1])), F.col(f"b{i - 1}")) if i else (F.lit(0.0), F.lit(0.0))
+        inside = low + (F.lit(float(buckets[i])) - low) * (want - below) / F.nullif(F.col(f"b{i}") - below, F.lit(0.0))
+        out = F.when(F.col(f"b{i}") >= want, inside).otherwise(out)
+    return at.select(label, F.round(out, 6).alias("quantile"), "n")
+
+
+def rates(df: DataFrame, at: str, keys: Sequence[str], seconds: int) -> DataFrame:
+    """keys, start, n, per_second: how many in each window of time."""
+    start = F.window(F.col(at), f"{seconds} seconds")["start"]
+    counted = df.groupBy(*keys, start.alias("start")).agg(F.count("*").alias("n"))
+    return counted.withColumn("per_second", F.round(F.col("n") / float(seconds), 6))
+
+
+def _last(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("run_id").agg(F.max_by("status", F.struct("ts", "seq")).alias("status"), F.max("ts").alias("ts"), F.count_if(F.col("status") == "failed").alias("failures"))
+
+
+def depths(runs: DataFrame, limit: int = MAX_ATTEMPTS) -> DataFrame:
+    """One row: runs that wait or run, and runs among the dead letters."""
+    return _last(runs).agg(F.count_if(F.col("status").isin("queued", "running")).alias("waiting"), F.count_if(F.col("failures") >= limit).alias("dead"))
+
+
+def reclaim(runs: DataFrame, as_of: str, idle_s: int = 60, batch: int = 10, limit: int = MAX_ATTEMPTS, locked: DataFrame | None = None) -> DataFrame:
+    """The longest idle runs, ``batch`` of them, without those of ``locked``: one more attempt, or to the dead letters at ``limit``."""
+    rows = _last(runs).filter((F.col("status") == "running") & (F.col("ts").cast("timestamp_ntz") <= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(secs=F.lit(idle_s))))
+    if locked is not None:
+        rows = rows.join(locked.select("run_id"), "run_id", "left_anti")
+    rows = rows.orderBy("ts", "run_id").limit(batch).withColumn("attempts", F.col("failures") + 1)
+    return rows.select("run_id", "ts", "attempts", F.when(F.col("attempts") >= limit, "dead").otherwise("retry").alias("route"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,6 +130,30 @@ def heuristic_rerank(hits: DataFrame, query: str, head: int = HEAD) -> DataFrame
     return scored.withColumn("position", F.row_number().over(order))
 
 
+def rerank(hits: DataFrame, query: str, scorer: Callable[[DataFrame, str], DataFrame] | None = None, head: int = HEAD) -> DataFrame:
+    """The first ``head`` hits in the order of ``scorer``, the rest after them; without a scorer the heuristic.
+
+    ``scorer`` gets hits and query and returns id and score (a remote model, say).
+    Hits that it leaves out keep their score.
+    """
+    if scorer is None:
+        return heuristic_rerank(hits, query, head)
+    scores = scorer(hits.filter(F.col("position") <= head), query).select("id", F.col("score").alias("_new"))
+    found = hits.join(scores, "id", "left").withColumn("score", F.when(F.col("position") <= head, F.coalesce("_new", "score")).otherwise(F.col("score"))).drop("_new")
+    order = Window.orderBy((F.col("position") > head).cast("int"), F.when(F.col("position") <= head, -F.col("score")), "position")  # over a result list
+    return found.withColumn("position", F.row_number().over(order))
+
+
+def api_limit(limit: Column, default: Column, most: int = 50) -> Column:
+    """0 or less stands for the workspace's default; no more than ``most``."""
+    return F.when(limit <= 0, default).otherwise(F.least(F.lit(most), limit))
+
+
+def agent_limit(limit: Column, default: Column) -> Column:
+    """10 where none is given; no more than the workspace's default."""
+    return F.least(default, F.when(limit <= 0, 10).otherwise(limit))
+
+
 def hybrid_search(tables: dict[str, DataFrame], query: str, vector: DataFrame | None, limit: int = 20, boost_by: float = 0.15, min_score: float = 0.0, rerank: bool = True) -> DataFrame:
     """All channels, fused, boosted, cut and reranked: one lazy plan."""
     channels = [lexical_blocks(tables["blocks"], query, limit)]

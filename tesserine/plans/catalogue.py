@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tesserine import tables as K
 from tesserine.functions import text as T
 from tesserine.functions import vectors as V
-from tesserine.operators import compiling, documents, graph, queueing, search
+from tesserine.operators import compiling, documents, graph, queueing, search, writing
 from tesserine.streaming import queue
 
 QUERY, WORD, LIMIT = "the that", "the", 20
@@ -79,9 +80,9 @@ def search_tag_filter(s, d):
 
 
 def heuristic_rerank(s, d):
-    q = F.lit(search.query_tokens(RERANK))
-    text = K.documents(s, d).select("doc_id", T.tokens(F.left("content_md", F.lit(300))).alias("t"))
-    return text.select("doc_id", F.round(F.size(F.array_intersect(q, "t")) / 3, 6).alias("cover"))
+    found = search.lexical_blocks(K.blocks(s, d), QUERY, LIMIT)
+    hits = found.withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # over a result list
+    return search.rerank(hits, RERANK, head=10).select("id", "position", "score")
 
 
 def rules_clamp(s, d):
@@ -318,6 +319,14 @@ def graph_edges(s, d):
     return graph.workspace_graph(knowledge(s, d), 1000, 2000)[1]
 
 
+def graph_claims_only(s, d):
+    return graph.workspace_graph(knowledge(s, d), 1000, 2000, include_documents=False)[1]
+
+
+def graph_documents_only(s, d):
+    return graph.workspace_graph(knowledge(s, d), 1000, 2000, include_claims=False)[0]
+
+
 def graph_summary(s, d):
     return graph.workspace_graph(knowledge(s, d))[2]
 
@@ -346,7 +355,7 @@ _SLUG = "coalesce(nullif(trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g')
 _EPATH = f"concat('/wiki/', case when entity_type in ('person','company','organization','project','product','protocol','event') then 'entities' else 'concepts' end, '/', {_SLUG.format('title')}, '.md')"
 
 
-def _graph_sql(focus: bool, nodes: int, edges: int, out: str) -> str:
+def _graph_sql(focus: bool, nodes: int, edges: int, out: str, claims: bool = True, documents: bool = True) -> str:
     f = "(select min(source_document_id) from kb_citations)"
     cit = f"kb_citations where source_document_id = {f}" if focus else "kb_citations"
     clm = "kb_claims where claim_id in (select claim_id from cit)" if focus else "kb_claims"
@@ -354,16 +363,16 @@ def _graph_sql(focus: bool, nodes: int, edges: int, out: str) -> str:
     rel = "kb_relations where source_entity_id in (select entity_id from clm)" if focus else "kb_relations"
     ref = f"kb_references where source_document_id = {f} or target_document_id = {f}" if focus else "kb_references"
     return K.with_views(f""",
-cit as (select * from {cit}), clm as (select * from {clm}), rel as (select distinct source_entity_id, target_entity_id, relation_type from {rel}), ref as (select distinct * from {ref}),
+cit as (select * from {cit}{"" if claims and documents else " where false"}), clm as (select * from {clm}{"" if claims else " where false"}), rel as (select distinct source_entity_id, target_entity_id, relation_type from {rel}), ref as (select distinct * from {ref}{"" if documents else " where false"}),
 nod as (
   select concat('entity:', entity_id) as id, 'entity' as type, entity_id as ref_id, title as label, entity_type as subtype, {_EPATH} as path, 0 as st from (select * from {ent}) e
   union all select concat('claim:', claim_id), 'claim', claim_id, case when length(canonical_text) > 120 then concat(left(canonical_text, 120), '…') else canonical_text end, null, null, 1 from clm
-  union all select concat('document:', doc_id), 'document', doc_id, title, kind, path, 2 from kb_documents
-    where doc_id in (select source_document_id from cit union select source_document_id from ref union select target_document_id from ref)),
+  union all select concat('document:', doc_id), 'document', doc_id, title, kind, path, {f"case when doc_id = {f} then -1 else 2 end" if focus else 2} from kb_documents
+    where {f"doc_id = {f} or " if focus else ""}doc_id in (select source_document_id from cit union select source_document_id from ref union select target_document_id from ref)),
 edg as (
   select concat_ws('|', type, source, target, label) as id, * from (
     select 'relation' as type, concat('entity:', source_entity_id) as source, concat('entity:', target_entity_id) as target, relation_type as label, 0 as st from rel
-    union all select 'claim_entity', concat('claim:', claim_id), concat('entity:', entity_id), 'about', 1 from clm
+    union all select 'claim_entity', concat('claim:', claim_id), concat('entity:', entity_id), 'supports', 1 from clm
     union all select 'citation', concat('claim:', claim_id), concat('document:', source_document_id), 'cites', 2 from cit
     union all select 'reference', concat('document:', source_document_id), concat('document:', target_document_id), ref_type, 3 from ref) x
   where source in (select id from nod) and target in (select id from nod)),
@@ -403,7 +412,107 @@ def metrics_histogram(s, d):
 
 
 def p95_by_type(s, d):
-    return K.read(s, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.95), 6).alias("p95"), F.count("*").alias("n"))
+    return queueing.bucket_quantile(K.read(s, d, "events"), "event_type", "value", BUCKETS, 0.95)
+
+
+def event_rate(s, d):
+    return queueing.rates(K.read(s, d, "events"), "ts", ["event_type"], 3600)
+
+
+def queue_depths(s, d):
+    return queueing.depths(K.runs(s, d))
+
+
+def reclaim_idle(s, d):
+    return queueing.reclaim(K.runs(s, d), "2024-12-31 00:00:00")
+
+
+def props_filter(s, d):
+    return documents.with_member(K.read(s, d, "events"), "props", "k", "7").select("event_id")
+
+
+def vault_filter(s, d):
+    return documents.vault_search(K.documents(s, d).withColumn("status", F.lit("ready")), "SRC1").select("doc_id")
+
+
+def search_limits(s, d):
+    size = F.col("p_size") * 2 - 10
+    return K.read(s, d, "part").select("p_partkey", search.api_limit(size, F.lit(15)).alias("api"), search.agent_limit(size, F.lit(15)).alias("agent"))
+
+
+# --- writing ----------------------------------------------------------------
+
+def _turns(s, d):
+    return K.read(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_idx"), "text")
+
+
+def block_upsert(s, d):
+    old = _turns(s, d).withColumn("content_hash", F.sha2("text", 256))
+    fresh = _turns(s, d).filter("doc_id % 3 = 0 and chunk_idx < 3")
+    fresh = fresh.withColumn("text", F.when(F.col("chunk_idx") == 1, F.upper("text")).otherwise(F.col("text"))).withColumn("content_hash", F.sha2("text", 256))
+    return writing.apply_blocks(old, fresh).select("doc_id", "chunk_idx", "content_hash", "written")
+
+
+def page_replace(s, d):
+    old = _turns(s, d).select("doc_id", F.col("chunk_idx").alias("page_no"), "text")
+    return writing.replace_pages(old, old.filter("doc_id % 4 = 1 and page_no = 0").withColumn("text", F.lower("text"))).select("doc_id", "page_no", F.sha2("text", 256).alias("hash"))
+
+
+def page_listing(s, d):
+    pages = _turns(s, d).select("doc_id", F.col("chunk_idx").alias("page_no"), "text")
+    return documents.listing(pages, "page_no", F.col("doc_id") % 5 == 2).select("doc_id", "position", "page_no", "char_count")
+
+
+def pages_read(s, d):
+    pages = _turns(s, d).select("doc_id", F.col("chunk_idx").alias("page_no"), "text")
+    return documents.read_pages(pages, "1-2, 4").select("doc_id", F.sha2("text", 256).alias("hash"))
+
+
+def reference_upsert(s, d):
+    rows = K.references(s, d).withColumns({"seq": F.lit(0), "metadata": F.lit("first")})
+    again = rows.filter("source_document_id % 2 = 0").withColumns({"seq": F.lit(1), "metadata": F.lit("second")})
+    return writing.upsert_references(rows.unionByName(again), "seq").select("source_document_id", "target_document_id", "ref_type", "metadata")
+
+
+def run_updates(s, d):
+    e = K.read(s, d, "events")
+    kind, started, done = F.col("event_type"), F.col("event_type") == "signup", F.col("event_type") == "purchase"
+    status = F.when(kind == "error", "failed").when(done, "succeeded").when(started, "running")
+    changes = e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), "ts", status.alias("status"), F.when(done, F.col("props")).alias("output"), F.when(kind == "error", F.col("props")).alias("error_message"), started.alias("started_now"), done.alias("completed_now"))
+    return writing.update_runs(changes, "run_id", "ts", "seq")
+
+
+def _actions(s, d):
+    pages = K.documents(s, d).filter("kind = 'wiki' and not archived")
+    n = F.col("doc_id")
+    first = pages.filter(n % 5 == 1).select((n * 2).alias("seq"), "path", "title", F.when(n % 2 == 0, "append_content").otherwise("replace_section").alias("op"), F.concat(F.lit("# "), "title").alias("content"))
+    then = pages.filter(n % 10 == 1).select((n * 2 + 1).alias("seq"), "path", "title", F.lit("append_content").alias("op"), F.lit("a later note").alias("content"))
+    new = K.read(s, d, "nation").select((-F.col("n_nationkey") - 1).alias("seq"), F.concat(F.lit("/wiki/new/"), F.lower(F.replace("n_name", F.lit(" "), F.lit("-"))), F.lit(".md")).alias("path"), F.col("n_name").alias("title"), F.lit("append_content").alias("op"), F.concat(F.lit("About "), "n_name").alias("content"))
+    return first.unionByName(then).unionByName(new).withColumn("reason", F.lit("ingest"))
+
+
+def wiki_writes(s, d):
+    return writing.apply_actions(K.documents(s, d), _actions(s, d))[1].select("path", "seq", "op", "created", F.sha2("content_md", 256).alias("hash"))
+
+
+def wiki_heads(s, d):
+    docs = writing.apply_actions(K.documents(s, d), _actions(s, d))[0]
+    return docs.select("path", "kind", "policy", F.sha2("content_md", 256).alias("hash"))
+
+
+def overview_refresh(s, d):
+    return writing.overview(K.documents(s, d))
+
+
+def claim_citations(s, d):
+    lines = K.documents(s, d).select("doc_id", F.posexplode(F.split("content_md", "\n")).alias("chunk_idx", "text"))
+    cited = K.citations(s, d).select("claim_id", F.col("source_document_id").alias("doc_id"), F.when(F.col("claim_id") % 2 == 0, F.col("quote_text")).alias("quote"))
+    return compiling.cite_claims(cited, lines).select("claim_id", "doc_id", "chunk_idx", F.sha2("quote_text", 256).alias("hash"), "precision")
+
+
+def paragraph_match(s, d):
+    t = _turns(s, d)
+    return compiling.match_paragraphs(t, t.filter("chunk_idx % 2 = 0").select("doc_id", F.col("chunk_idx").alias("para_no"), "text"))
 
 
 def _events(s, d, *columns):
@@ -441,6 +550,14 @@ _POLICY = "case " + " ".join(f"when surface = '{a}' and operation = '{o}' and po
 _OPS = ", ".join(f"('{a}', '{o}')" for a, o in documents.ALLOWED)
 _REL = "select source_entity_id, target_entity_id, relation_type, count(distinct source_document_id) as documents, min(source_document_id) as first_document, max(source_document_id) as last_document from kb_relations {0} group by all"
 
+_WRITES = """,
+p as (select *, concat('# ', title) as c from kb_documents where kind = 'wiki' and not archived and doc_id % 5 = 1),
+o as (select *, case when doc_id % 2 = 0 then 'append_content' else 'replace_section' end as op from p),
+q as (select *, case when op = 'replace_section' then c when trim(coalesce(content_md, ''), ' ' || chr(10)) = '' then trim(c, ' ' || chr(10)) else concat(rtrim(content_md, ' ' || chr(10)), chr(10), chr(10), trim(c, ' ' || chr(10))) end as one from o),
+w as (select *, case when trim(one, ' ' || chr(10)) = '' then 'a later note' else concat(rtrim(one, ' ' || chr(10)), chr(10), chr(10), 'a later note') end as two from q),
+n as (select concat('/wiki/new/', lower(replace(n_name, ' ', '-')), '.md') as path, -n_nationkey - 1 as seq, n_name as title from nation)
+"""
+
 ENTRIES = [
     (lexical_blocks, K.with_views(CHANNELS + "\nselect * from lex")),
     (title_match, K.with_views(TITLES.format(**ONE) + "\nselect * from ttl")),
@@ -452,7 +569,9 @@ ENTRIES = [
     (hybrid_search, _hybrid_sql(["lex", "sem", "ttl", "ent"], 0.0, True)),
     (hybrid_search_plain, _hybrid_sql(["lex", "ttl", "ent"], 0.01, False)),
     (search_tag_filter, K.with_views(CHANNELS + "\nselect id, path, score from lex where path in (select path from kb_documents where list_has_any(list_transform(tags, lambda x: lower(x)), ['en', 'src1']))")),
-    (heuristic_rerank, "select doc_id, round(len(list_intersect(['the', 'of', 'and'], regexp_extract_all(lower(left(text, 300)), '[\\p{L}\\p{N}_]+'))) / 3.0::double, 6) as cover from documents"),
+    (heuristic_rerank, K.with_views(CHANNELS + """,
+p as (select id, score, row_number() over (order by score desc, id) as pos, round(len(list_intersect(['the', 'of', 'and'], regexp_extract_all(lower(coalesce(nullif(snippet, ''), title, '')), '[\\p{L}\\p{N}_]+'))) / 3.0::double, 6) as cover from lex)
+select id, cast(row_number() over (order by pos > 10, case when pos <= 10 then -cover end, pos) as int) as position, case when pos <= 10 then cover else score end as score from p""")),
     (rules_clamp, f"select p_partkey, {_RULES} from (select *, (p_retailprice - 900) / 10 as v from part) x"),
     (split_blocks, K.with_views(_BLOCKS + "select doc_id, row_number() over (partition by doc_id order by pos) - 1 as chunk_idx, case when heading then 'heading' when contains(text, '|') and contains(text, '---') then 'table' else 'paragraph' end as block_type, case when lv = 1 then h1 else concat(h1, ' > ', h2) end as heading_path, sha256(text) as content_hash, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) as token_count from pa where heading or text <> ''")),
     (block_hash_diff, "with m as (select conv_id, min(turn) as lo, max(turn) as hi from conversations group by 1) select c.conv_id as doc_id, turn as chunk_idx, case when turn = hi then 'delete' when turn = lo then 'update' else 'unchanged' end as action from conversations c join m on m.conv_id = c.conv_id"),
@@ -498,6 +617,8 @@ from kb_entities e join ev on ev.entity_id = e.entity_id left join di on di.enti
     (export_pages, K.with_views("select path, sha256(content_md) as hash from kb_documents where not archived and kind in ('wiki', 'system')")),
     (graph_nodes, _graph_sql(False, 300, 600, "select * from shown")),
     (graph_edges, _graph_sql(False, 1000, 2000, "select * from kept")),
+    (graph_claims_only, _graph_sql(False, 1000, 2000, "select * from kept", claims=True, documents=False)),
+    (graph_documents_only, _graph_sql(False, 1000, 2000, "select * from shown", claims=False, documents=True)),
     (graph_summary, _graph_sql(False, 300, 600, _SUMMARY)),
     (graph_focus_nodes, _graph_sql(True, 300, 600, "select * from shown")),
     (graph_focus_edges, _graph_sql(True, 300, 600, "select * from kept")),
@@ -509,7 +630,39 @@ from kb_entities e join ev on ev.entity_id = e.entity_id left join di on di.enti
     (dlq_replay, K.with_views(_FAILED + " select run_id, seq, ts, 'queued' as status from f where attempt = 3")),
     (run_status_final, K.with_views("select run_id, arg_max(status, row(ts, seq)) as status, count(*) as steps from kb_runs group by 1")),
     (metrics_histogram, "select event_type, le, count(*) filter (value <= le) as n from events, (values " + ", ".join(f"({float(b)}::double)" for b in BUCKETS) + ") b(le) group by 1, 2"),
-    (p95_by_type, "select event_type, round(quantile_cont(value, 0.95), 6) as p95, count(*) as n from events group by 1"),
+    (p95_by_type, f"""
+with b as (select event_type, le, count(*) filter (value <= le) as n from events, (values {", ".join(f"({float(b)}::double)" for b in BUCKETS)}) v(le) group by 1, 2),
+t as (select event_type, count(*) as total from events group by 1),
+p as (select b.event_type, le, n, total, lag(le, 1, 0.0::double) over w as lo, lag(n, 1, 0) over w as below from b join t on t.event_type = b.event_type window w as (partition by b.event_type order by le))
+select t.event_type, coalesce(round(min(lo + (le - lo) * (0.95 * t.total - below) / (n - below)), 6), {float(BUCKETS[-1])}::double) as quantile, t.total as n
+from t left join p on p.event_type = t.event_type and n >= 0.95 * t.total and below < 0.95 * t.total group by t.event_type, t.total"""),
+    (event_rate, "select event_type, date_trunc('hour', ts) as start, count(*) as n, round(count(*) / 3600.0::double, 6) as per_second from events group by 1, 2"),
+    (queue_depths, K.with_views(", l as (select run_id, arg_max(status, row(ts, seq)) as status, count(*) filter (status = 'failed') as failures from kb_runs group by 1) select count(*) filter (status in ('queued', 'running')) as waiting, count(*) filter (failures >= 3) as dead from l")),
+    (reclaim_idle, K.with_views(", l as (select run_id, arg_max(status, row(ts, seq)) as status, max(ts) as ts, count(*) filter (status = 'failed') as failures from kb_runs group by 1) select run_id, ts, failures + 1 as attempts, case when failures + 1 >= 3 then 'dead' else 'retry' end as route from l where status = 'running' and ts <= timestamp '2024-12-30 23:59:00' order by ts, run_id limit 10")),
+    (props_filter, "select event_id from events where json_extract_string(props, '$.k') = '7'"),
+    (vault_filter, K.with_views("select doc_id from kb_documents where contains(lower(path), 'src1') or contains(lower(title), 'src1') or contains(kind, 'src1')")),
+    (search_limits, "select p_partkey, case when p_size * 2 - 10 <= 0 then 15 else least(50, p_size * 2 - 10) end as api, least(15, case when p_size * 2 - 10 <= 0 then 10 else p_size * 2 - 10 end) as agent from part"),
+    (block_upsert, """
+with o as (select conv_id as doc_id, turn as chunk_idx, sha256(text) as h from conversations),
+f as (select conv_id as doc_id, turn as chunk_idx, sha256(case when turn = 1 then upper(text) else text end) as h from conversations where conv_id % 3 = 0 and turn < 3)
+select o.doc_id, o.chunk_idx, coalesce(f.h, o.h) as content_hash, coalesce(f.h <> o.h, false) as written from o left join f on f.doc_id = o.doc_id and f.chunk_idx = o.chunk_idx
+where f.h is not null or o.doc_id not in (select doc_id from f)"""),
+    (page_replace, "select conv_id as doc_id, turn as page_no, sha256(case when conv_id % 4 = 1 and turn = 0 then lower(text) else text end) as hash from conversations where conv_id % 4 <> 1 or turn = 0 or conv_id not in (select conv_id from conversations where turn = 0)"),
+    (page_listing, "select conv_id as doc_id, cast(row_number() over (partition by conv_id order by turn) as int) as position, turn as page_no, length(text) as char_count from conversations where conv_id % 5 = 2"),
+    (pages_read, "select conv_id as doc_id, sha256(string_agg(text, chr(10) || chr(10) order by turn)) as hash from conversations where turn in (1, 2, 4) group by 1"),
+    (reference_upsert, K.with_views("select source_document_id, target_document_id, ref_type, case when source_document_id % 2 = 0 then 'second' else 'first' end as metadata from kb_references")),
+    (run_updates, """
+with e as (select user_id as run_id, row(ts, event_id) as k, ts, case event_type when 'error' then 'failed' when 'purchase' then 'succeeded' when 'signup' then 'running' end as status, event_type, props from events)
+select run_id, arg_max(status, k) filter (status is not null) as status, arg_max(props, k) filter (event_type = 'purchase') as output, arg_max(props, k) filter (event_type = 'error') as error_message,
+  min(ts) filter (event_type = 'signup') as started_at, max(ts) filter (event_type = 'purchase') as completed_at from e group by 1"""),
+    (wiki_writes, K.with_views(_WRITES + "select path, doc_id * 2 as seq, op, false as created, sha256(one) as hash from w union all select path, doc_id * 2 + 1, 'append_content', false, sha256(two) from w where doc_id % 10 = 1 union all select path, seq, 'append_content', true, sha256(concat('About ', title)) from n")),
+    (wiki_heads, K.with_views(_WRITES + "select d.path, d.kind, d.policy, sha256(case when w.doc_id is null then d.content_md when w.doc_id % 10 = 1 then two else one end) as hash from kb_documents d left join w on w.doc_id = d.doc_id union all select path, 'wiki', 'system_managed', sha256(concat('About ', title)) from n")),
+    (overview_refresh, K.with_views(", c as (select workspace_id, count(*) filter (kind = 'source') as s, count(*) filter (kind in ('wiki', 'system')) as w, arg_max(title, doc_id) filter (kind = 'source') as latest from kb_documents where not archived group by 1) select workspace_id, concat('# Overview', chr(10), chr(10), '| Signal | Value |', chr(10), '| --- | --- |', chr(10), '| Sources | ', s, ' |', chr(10), '| Wiki Pages | ', w, ' |', chr(10), '| Latest Source | ', replace(coalesce(latest, ''), '|', '/'), ' |', chr(10)) as content_md, s as sources, w as pages from c")),
+    (claim_citations, K.with_views(", ln as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as chunk_idx from documents), m as (select claim_id, doc_id, chunk_idx, len(list_filter(list_filter(regexp_split_to_array(lower(quote_text), '\\s+'), lambda x: x <> '')[1:10], lambda x: contains(lower(t), x))) as overlap from kb_citations join ln on ln.doc_id = source_document_id where claim_id % 2 = 0), b as (select claim_id, doc_id, arg_max(chunk_idx, row(overlap, -chunk_idx)) as chunk_idx from m where overlap > 0 group by 1, 2) select c.claim_id, source_document_id as doc_id, coalesce(b.chunk_idx, 0) as chunk_idx, sha256(case when c.claim_id % 2 = 0 then quote_text else (select left(t, 400) from ln where ln.doc_id = source_document_id and ln.chunk_idx = 0) end) as hash, case when c.claim_id % 2 = 0 then 'exact_match' else 'fallback' end as precision from kb_citations c left join b on b.claim_id = c.claim_id and b.doc_id = source_document_id")),
+    (paragraph_match, """
+with t as (select conv_id as doc_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')[1:15]) as w from conversations),
+m as (select a.doc_id, a.turn as chunk_idx, b.turn as para_no, len(list_intersect(a.w, b.w)) as overlap from t a join t b on b.doc_id = a.doc_id where b.turn % 2 = 0)
+select doc_id, chunk_idx, arg_max(para_no, row(overlap, -para_no)) as para_no, max(overlap) as overlap from m where overlap >= 3 group by 1, 2"""),
     (stream_routes, K.with_views(_FAILED + " select run_id, seq, attempt, case when attempt < 3 then 'retry' else 'dead' end as route from f")),
     (stream_first_seen, "select distinct user_id, event_type from events"),
 ]

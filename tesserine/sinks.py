@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,22 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder under spark.checkpoint.dir; a local default only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A new folder under spark.checkpoint.dir; where that is unset, a temporary one for a session on one machine only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/tesserine/{tag}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """Written to the shared folder and read again: what several results are taken from is computed once."""
+    path = shared_dir(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_pages(pages: DataFrame, folder: str) -> None:
     """path, content_md as Parquet, laid out by the first folder of the path."""
     pages.withColumn("section", F.regexp_extract("path", "^/([^/]+)", 1)).write.partitionBy("section").mode("overwrite").parquet(folder)

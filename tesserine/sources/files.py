@@ -101,9 +101,20 @@ def _sheets(book: zipfile.ZipFile) -> Iterator[tuple[str, list[list]]]:
         yield name, rows
 
 
+# Formats of bytes that need a converter.
+BINARY = frozenset("pdf doc ppt pptx xls odt".split())
+
+
+def needs_converter(name: str, data: bytes) -> bool:
+    """Is this a file whose bytes are no text, and that no parser here reads?"""
+    return name.rpartition(".")[2].lower() in BINARY and b"\0" in data[:4096] or data[:5] == b"%PDF-"
+
+
 def parse(name: str, data: bytes) -> list[str]:
-    """The pages of one file; formats without a parser here are decoded as text."""
+    """The pages of one file; formats without a parser here are decoded as text, but not those that need a converter."""
     kind = name.rpartition(".")[2].lower()
+    if needs_converter(name, data):
+        return []
     try:
         if kind in ("html", "htm"):
             p = _Text()
@@ -125,12 +136,18 @@ def parse(name: str, data: bytes) -> list[str]:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """path, title, page_no, text of every file below a folder.  One file is one row, so a file has to fit a task."""
+    """path, title, page_no, text, error of every file below a folder.  One file is one row, so a file has to fit a task.
+
+    A file that needs a converter is one row without text that says so in ``error``.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(p, i, t) for p, data in zip(f["path"], f["content"], strict=True) for i, t in enumerate(parse(p, bytes(data)), 1)]
-            yield pd.DataFrame(rows, columns=["path", "page_no", "text"])
+            rows = []
+            for p, data in zip(f["path"], f["content"], strict=True):
+                pages = [(t, None) for t in parse(p, bytes(data))] or [(None, "needs a converter")]
+                rows += [(p, i, *x) for i, x in enumerate(pages, 1)]
+            yield pd.DataFrame(rows, columns=["path", "page_no", "text", "error"])
 
-    return files.mapInPandas(run, "path string, page_no int, text string").withColumn("title", T.stem(F.col("path")))
+    return files.mapInPandas(run, "path string, page_no int, text string, error string").withColumn("title", T.stem(F.col("path")))

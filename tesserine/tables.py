@@ -74,23 +74,41 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("target_document_id is not null").withColumn("ref_type", F.lit("related"))
 
 
-def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims whose whole text stands in a document.
+#: Words of a claim that is found by a run of words; quotes of shorter ones are looked for as they are, so many to a pass.
+RUN_WORDS, SHORT_CLAIMS = 7, 500
+
+
+def contained(documents: DataFrame, quotes: DataFrame) -> DataFrame:
+    """doc_id, claim_id: documents (doc_id, text) whose text holds a whole quote (claim_id, quote).
 
-    Rows meet on a five-word run: the first one of the claim against every
-    one of the document; then the whole text is compared.
+    Quotes of RUN_WORDS words or more meet the documents on a five-word run that
+    begins at their second word: the first word of a quote may be part of a longer
+    word in the document, the last one too.  Only ids and the hashes of the runs travel;
+    then the texts of those that met are compared.  Shorter quotes are counted and
+    held against every text, SHORT_CLAIMS in one pass.
     """
-    run = lambda w, i: F.array_join(F.slice(w, i, 5), " ")
-    split = F.split("text", " ")
-    c = read(spark, sf_dir, "benchmark").withColumn("w", split)
-    # the first word of a claim may be part of a longer word in the document, the last one too
-    inner = F.slice("w", 2, 5)
-    c = c.filter(F.size("w") >= 7).select(F.col("item_id").alias("claim_id"), F.col("text").alias("quote"), F.array_join(inner, " ").alias("run"))
-    d = read(spark, sf_dir, "documents").select("doc_id", "text", split.alias("w"))
-    at = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4))).alias("i")
-    d = d.select("doc_id", "text", "w", at).select("doc_id", "text", run(F.col("w"), F.col("i")).alias("run"))
-    found = d.join(c, "run").filter(F.contains("text", "quote"))
-    return found.select("claim_id", F.col("doc_id").alias("source_document_id"), F.left("quote", F.lit(400)).alias("quote_text")).distinct()
+    words = F.split("quote", " ")
+    long = quotes.filter(F.size(words) >= RUN_WORDS)
+    short = [(r["claim_id"], r["quote"]) for r in quotes.filter((F.size(words) < RUN_WORDS) & (F.col("quote") != "")).orderBy("claim_id").toLocalIterator()]
+    run = lambda w, i: F.xxhash64(F.slice(w, i, 5))
+    c = long.select("claim_id", run(words, 2).alias("run"))
+    at = F.sequence(F.lit(1), F.size("w") - 4)
+    runs = F.array_distinct(F.transform(at, lambda i: run(F.col("w"), i)))
+    d = documents.select("doc_id", F.split("text", " ").alias("w")).filter(F.size("w") >= 5).select("doc_id", F.explode(runs).alias("run"))
+    met = d.join(c, "run").select("doc_id", "claim_id").distinct()
+    found = met.join(documents.select("doc_id", "text"), "doc_id").join(long.select("claim_id", "quote"), "claim_id").filter(F.contains("text", "quote")).select("doc_id", "claim_id")
+    for k in range(0, len(short), SHORT_CLAIMS):
+        listed = F.array(*[F.struct(F.lit(i).cast("long").alias("claim_id"), F.lit(q).alias("quote")) for i, q in short[k : k + SHORT_CLAIMS]])
+        hits = F.filter(listed, lambda x: F.contains(F.col("text"), x["quote"]))
+        found = found.unionByName(documents.select("doc_id", F.explode(hits).alias("x")).select("doc_id", F.col("x.claim_id").alias("claim_id")))
+    return found.distinct()
+
+
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims whose whole text stands in a document."""
+    quotes = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("quote"))
+    found = contained(read(spark, sf_dir, "documents").select("doc_id", "text"), quotes).join(quotes, "claim_id")
+    return found.select("claim_id", F.col("doc_id").alias("source_document_id"), F.left("quote", F.lit(400)).alias("quote_text"))
 
 
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:

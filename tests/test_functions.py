@@ -86,3 +86,107 @@ def test_notes_source(spark, tmp_path):
     (tmp_path / "n.json").write_text(json.dumps({"results": [page]}))
     spark.dataSource.register(notes.NotesSource)
     assert [tuple(r) for r in spark.read.format("notes").option("files", str(tmp_path / "n.json")).load().collect()] == [("1", "T", "## h\n\n- [x] x")]
+
+
+def test_short_claims_are_cited(spark):
+    """A claim of any length is found where its text stands, also inside longer words."""
+    from tesserine import tables
+
+    texts = [(1, "Widget is important. And more of it stands here for long."), (2, "no such thing"), (3, "xWidget is important.y"), (4, None), (5, "w0 a b c d e f gh")]
+    quotes = [(7, "Widget is important."), (8, "such"), (9, "0 a b c d e f g"), (10, ""), (11, None), (12, "of it stands here for longer")]
+    got = tables.contained(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(quotes, "claim_id long, quote string"))
+    assert {(r["doc_id"], r["claim_id"]) for r in got.collect()} == {(d, c) for d, t in texts for c, q in quotes if t and q and q in t}
+
+
+def test_graph_flags_and_focus(spark):
+    from tesserine.operators import graph
+
+    t = {
+        "documents": spark.createDataFrame([(1, "/wiki/a.md", "A", "wiki"), (2, "/wiki/overview.md", "O", "system"), (3, "/wiki/c.md", "C", "wiki"), (4, "/wiki/d.md", "D", "wiki")], "doc_id long, path string, title string, kind string"),
+        "entities": spark.createDataFrame([(5, "E", "person")], "entity_id long, title string, entity_type string"),
+        "relations": spark.createDataFrame([(5, 5, "self", 1)], "source_entity_id long, target_entity_id long, relation_type string, source_document_id long"),
+        "claims": spark.createDataFrame([(6, 5, "a claim")], "claim_id long, entity_id long, canonical_text string"),
+        "citations": spark.createDataFrame([(6, 1), (6, 2)], "claim_id long, source_document_id long"),
+        "references": spark.createDataFrame([(1, 3, "related"), (2, 3, "related")], "source_document_id long, target_document_id long, ref_type string"),
+    }
+    ids = lambda found: {r["id"] for r in found[0].collect()}
+    labels = lambda found: sorted(r["label"] for r in found[1].collect())
+    whole = graph.workspace_graph(t)
+    assert ids(whole) == {"entity:5", "claim:6", "document:1", "document:3"} and labels(whole) == ["cites", "related", "self", "supports"]
+    assert ids(graph.workspace_graph(t, include_claims=False)) == {"entity:5", "document:1", "document:3"}
+    assert labels(graph.workspace_graph(t, include_documents=False)) == ["self", "supports"]
+    assert labels(graph.workspace_graph(t, include_references=False)) == ["cites", "self", "supports"]
+    alone = graph.focus_graph(t, spark.createDataFrame([(4,)], "doc_id long"))
+    assert ids(alone) == {"document:4"} and labels(alone) == []
+    near = graph.focus_graph(t, spark.createDataFrame([(1,)], "doc_id long"))[0].collect()
+    assert near[0]["id"] == "document:1" and {r["id"] for r in near} == {"document:1", "entity:5", "claim:6", "document:3"}
+
+
+def test_claims_and_blocks_after_a_second_ingest(spark):
+    from tesserine.operators import compiling, writing
+
+    old = spark.createDataFrame([(1, 0, "a", "h0"), (1, 1, "b", "h1"), (1, 2, "c", "h2"), (1, None, "x", None), (2, 0, "d", "h3")], "doc_id long, chunk_idx int, text string, content_hash string")
+    new = spark.createDataFrame([(1, 0, "a2", "h0"), (1, 1, "B", "H1")], "doc_id long, chunk_idx int, text string, content_hash string")
+    got = {(r["doc_id"], r["chunk_idx"], r["text"], r["written"]) for r in writing.apply_blocks(old, new).collect()}
+    assert got == {(1, 0, "a", False), (1, 1, "B", True), (2, 0, "d", False)}
+    claims = spark.createDataFrame([(7, 1, "b b"), (8, 1, None), (9, 1, "zzz")], "claim_id long, doc_id long, quote string")
+    cited = {r["claim_id"]: (r["chunk_idx"], r["quote_text"], r["precision"]) for r in compiling.cite_claims(claims, old.filter("chunk_idx is not null")).collect()}
+    assert cited == {7: (1, "b b", "exact_match"), 8: (0, "a", "fallback"), 9: (0, "zzz", "exact_match")}
+
+
+def test_rerank_by_a_scorer(spark):
+    from tesserine.operators import search
+
+    hits = spark.createDataFrame([(f"h{i}", i, float(10 - i)) for i in range(1, 6)], "id string, position int, score double")
+    scored = search.rerank(hits, "q", lambda df, q: df.select("id", F.col("position").cast("double").alias("score")), head=3)
+    assert [r["id"] for r in scored.orderBy("position").collect()] == ["h3", "h2", "h1", "h4", "h5"]
+
+
+def test_bucket_quantiles(spark):
+    from tesserine.operators import queueing
+
+    rows = [("a", float(v)) for v in range(1, 101)] + [("b", 5000.0)]
+    got = {r["k"]: r["quantile"] for r in queueing.bucket_quantile(spark.createDataFrame(rows, "k string, v double"), "k", "v", [10, 50, 200], 0.95).collect()}
+    assert got == {"a": 185.0, "b": 200.0}
+
+
+def test_reclaim_and_idle(spark):
+    from tesserine.operators import queueing
+
+    runs = spark.createDataFrame([(1, 1, "2024-01-01 00:00:00", "running"), (2, 1, "2024-01-01 00:00:30", "running"), (3, 1, "2024-01-01 00:00:01", "failed"), (3, 2, "2024-01-01 00:00:02", "failed"), (3, 3, "2024-01-01 00:00:03", "running")], "run_id long, seq long, ts string, status string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = [tuple(r) for r in queueing.reclaim(runs, "2024-01-01 00:01:10").select("run_id", "attempts", "route").collect()]
+    assert got == [(1, 1, "retry"), (3, 3, "dead")]
+    assert [r["run_id"] for r in queueing.reclaim(runs, "2024-01-01 00:01:10", locked=spark.createDataFrame([(1,)], "run_id long")).collect()] == [3]
+    assert {r["run_id"] for r in queueing.idle(runs, "2024-01-01 00:01:10").collect()} == {1, 3}
+
+
+def test_first_seen_opens_again_after_its_time(spark, tmp_path):
+    """Batches an hour and more apart: a key is dropped within the time and let through after it."""
+    from tesserine.streaming import queue
+
+    schema = "k string, ts timestamp"
+    for i, rows in enumerate(([("a", "2024-01-01 00:00:00")], [("a", "2024-01-01 00:30:00")], [("z", "2024-01-02 00:00:00")], [("y", "2024-01-02 00:05:00")], [("a", "2024-01-02 00:10:00")])):
+        df = spark.createDataFrame(rows, "k string, ts string").select("k", F.col("ts").cast("timestamp").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{i}")
+    out = []
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    q = queue.first_seen(stream, ["k"], "ts").writeStream.foreachBatch(lambda b, _: out.extend((r["k"], str(r["ts"])) for r in b.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(out) == [("a", "2024-01-01 00:00:00"), ("a", "2024-01-02 00:10:00"), ("y", "2024-01-02 00:05:00"), ("z", "2024-01-02 00:00:00")]
+
+
+def test_files_that_need_a_converter_say_so(spark, tmp_path):
+    from tesserine.sources import files
+
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4 \x00\x01\xff")
+    (tmp_path / "b.txt").write_text("plain")
+    got = {r["path"].rpartition("/")[2]: (r["text"], r["error"]) for r in files.read_pages(spark, str(tmp_path)).collect()}
+    assert got == {"a.pdf": (None, "needs a converter"), "b.txt": ("plain", None)}
+
+
+def test_lines_become_paragraphs(spark):
+    from tesserine.operators import compiling
+
+    rows = [(1, 1, 10.0, 1.0, 50.0, 12.0, "one"), (1, 1, 12.0, 1.0, 60.0, 14.0, "two"), (1, 1, 40.0, 2.0, 30.0, 42.0, "three"), (1, 2, 5.0, 1.0, 9.0, 6.0, "four")]
+    got = compiling.lines_to_paragraphs(spark.createDataFrame(rows, "doc_id long, page_no int, top double, left double, right double, bottom double, text string")).collect()
+    assert sorted((r["page_no"], r["text"], r["right"]) for r in got) == [(1, "one two", 60.0), (1, "three", 30.0), (2, "four", 9.0)]
