@@ -78,7 +78,7 @@ def balance(moments: DataFrame, targets: DataFrame, cap: float = CAP, tolerance:
                 .withColumn("far", F.when(F.col("move") == 0, 0.0).otherwise(F.abs("gap") / F.col("target")))
                 .select("source", "target", F.when(F.col("far") > tolerance, F.col("x") - F.col("move")).otherwise(F.col("x")).alias("x"), "far")
             )
-            state = materialise(step, "newton")
+            state = materialise(step.coalesce(1), "newton")  # one row per source
             if (state.agg(F.max("far")).first()[0] or 0.0) <= tolerance:
                 break
         return materialise(state.select("source", "x"), "multipliers", keep=True)
