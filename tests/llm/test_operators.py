@@ -24,7 +24,8 @@ DOCS = [
     (9, "One TWO", "en", "a", 7),
 ]
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-EXTRA = ", n int, rep long, cls long, stats string, score double, copies long, shard int, comp long, key string, k1 long"
+#: Columns of every table that are called like those that the operators make.
+EXTRA = ", n int, rep long, cls long, stats string, score double, copies long, shard int, comp long, key string, k1 long, gid long, base double, host string, lines string, block long, row long"
 
 
 def write(spark, folder, empty):
@@ -39,9 +40,8 @@ def write(spark, folder, empty):
         ("embeddings", vectors, "vec_id long, embedding array<float>, label int"),
         ("labels", labels, "doc_id long, quality int, toxic int"),
     ):
-        extra = EXTRA if name == "documents" else ""
-        wide = [r + (None,) * 10 for r in rows] if extra else rows
-        spark.createDataFrame([] if empty else wide, schema + extra).coalesce(2).write.parquet(f"{folder}/{name}.parquet")
+        wide = [r + (None,) * EXTRA.count(", ") for r in rows]
+        spark.createDataFrame([] if empty else wide, schema + EXTRA).coalesce(2).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
 
@@ -64,6 +64,28 @@ def test_odd_rows(spark, odd, name):
     assert len(got) == ROWS.get(name.split("_")[0], len(DOCS))
 
 
+def test_defined_results_of_odd_rows(spark, odd):
+    run = {n.split("_")[0]: lambda n=n: queries.queries()[n](spark, odd).collect() for n in queries.queries()}
+    assert sorted((r["page_id"], r["text"]) for r in run["op1"]() if r["page_id"] is not None) == [(0, "T\na & b"), (1, ""), (2, ""), (2, "")]
+    by = {}
+    for r in run["op2"]():
+        by.setdefault(r["vec_id"], set()).add((r["n_links"], r["component_id"], r["kept"]))
+    assert by[0] == {(3, 0, True)} and by[1] == {(3, 0, False)} and by[8] == {(3, 0, False)}
+    assert all(by[k] == {(0, k, True)} for k in (2, 3, 4, 5, 6, 7, 9))
+    assert {(r["page_id"], r["payload_bytes"]) for r in run["op3"]()} >= {(1, 0), (2, 0)}
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in run["op4"]())
+    sizes = {r["doc_id"]: (r["size"], r["taken"]) for r in run["op5"]() if r["doc_id"] in (0, 1, 7)}
+    assert sizes == {k: (0, 0) for k in (0, 1, 7)}
+    assert {r["doc_id"]: r["n_tokens"] for r in run["op6"]() if r["doc_id"] in (0, 1)} == {0: 1, 1: 1}
+    assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in run["op7"]() if r["doc_id"] in (0, 1, 7, 8)} == {k: ("und", 0.0) for k in (0, 1, 7, 8)}
+    shards = {r["doc_id"]: r for r in run["op8"]()}
+    assert (shards[1]["size"], shards[0]["size"], shards[2]["size"]) == (1, 1, 8) and shards[2]["text_crc32"] == zlib.crc32(b"one two")
+    sets = {}
+    for r in run["op10"]():
+        sets.setdefault(r["doc_id"], (r["n_shingles"], r["component_id"]))
+    assert (sets[0], sets[1], sets[7]) == ((0, 0), (0, 1), (0, 7)) and sets[2] == (1, 2) and sets[9] == (1, 2) and sets[4][1] == 4
+
+
 @pytest.mark.parametrize("name", list(queries.queries()))
 def test_empty_tables(spark, empty, name):
     assert queries.queries()[name](spark, empty).collect() == []
