@@ -36,7 +36,7 @@ def build(t: dict[str, DataFrame], entities: DataFrame, relations: DataFrame, cl
     claims, citations, references) and by id; then edges without both ends go.
     The documents of ``focus`` are nodes in any case and come first.
     """
-    docs = t["documents"]
+    docs, citations = t["documents"], stored(citations, "citations")
     named = citations.select(F.col("source_document_id").alias("doc_id")).unionByName(references.select(F.col("source_document_id").alias("doc_id"))).unionByName(references.select(F.col("target_document_id").alias("doc_id"))).distinct()
     document = lambda df, at: _node(df, "document", "doc_id", F.col("title"), F.col("kind"), F.col("path"), at)
     if focus is not None:

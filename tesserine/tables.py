@@ -93,8 +93,8 @@ def contained(documents: DataFrame, quotes: DataFrame) -> DataFrame:
     run = lambda w, i: F.xxhash64(F.slice(w, i, 5))
     c = long.select("claim_id", run(words, 2).alias("run"))
     at = F.sequence(F.lit(1), F.size("w") - 4)
-    runs = F.array_distinct(F.transform(at, lambda i: run(F.col("w"), i)))
-    d = documents.select("doc_id", F.split("text", " ").alias("w")).filter(F.size("w") >= 5).select("doc_id", F.explode(runs).alias("run"))
+    d = documents.select("doc_id", F.split("text", " ").alias("w")).filter(F.size("w") >= 5)
+    d = d.select("doc_id", F.explode(F.transform(at, lambda i: run(F.col("w"), i))).alias("run"))
     met = d.join(c, "run").select("doc_id", "claim_id").distinct()
     found = met.join(documents.select("doc_id", "text"), "doc_id").join(long.select("claim_id", "quote"), "claim_id").filter(F.contains("text", "quote")).select("doc_id", "claim_id")
     for k in range(0, len(short), SHORT_CLAIMS):
