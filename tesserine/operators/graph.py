@@ -49,7 +49,7 @@ def build(t: dict[str, DataFrame], entities: DataFrame, relations: DataFrame, cl
     if focus is not None:
         nodes = nodes.unionByName(document(docs.join(focus.select("doc_id"), "doc_id", "left_semi"), -1))
     nodes = stored(nodes, "nodes")
-    related = relations.groupBy("source_entity_id", "target_entity_id", "relation_type").agg(F.count("*").alias("_n"))
+    related = relations.select("source_entity_id", "target_entity_id", "relation_type").distinct()
     edges = (
         _edge(related, "relation", _at("entity", "source_entity_id"), _at("entity", "target_entity_id"), F.col("relation_type"), 0)
         .unionByName(_edge(claims.filter("entity_id is not null"), "claim_entity", _at("claim", "claim_id"), _at("entity", "entity_id"), F.lit("supports"), 1))

@@ -90,11 +90,11 @@ def contained(documents: DataFrame, quotes: DataFrame) -> DataFrame:
     words = F.split("quote", " ")
     long = quotes.filter(F.size(words) >= RUN_WORDS)
     short = [(r["claim_id"], r["quote"]) for r in quotes.filter((F.size(words) < RUN_WORDS) & (F.col("quote") != "")).orderBy("claim_id").toLocalIterator()]
-    run = lambda w, i: F.xxhash64(F.slice(w, i, 5))
-    c = long.select("claim_id", run(words, 2).alias("run"))
-    at = F.sequence(F.lit(1), F.size("w") - 4)
+    c = long.select("claim_id", F.xxhash64(*[F.get(words, F.lit(k)) for k in range(1, 6)]).alias("run"))
+    # the five words of a run stand side by side in one row: hashing them and the join stay in generated code
     d = documents.select("doc_id", F.split("text", " ").alias("w")).filter(F.size("w") >= 5)
-    d = d.select("doc_id", F.explode(F.transform(at, lambda i: run(F.col("w"), i))).alias("run"))
+    runs = F.arrays_zip(*[F.slice("w", k + 1, F.size("w") - 4).alias(f"w{k}") for k in range(5)])
+    d = d.select("doc_id", F.inline(runs)).select("doc_id", F.xxhash64(*[f"w{k}" for k in range(5)]).alias("run"))
     met = d.join(c, "run").select("doc_id", "claim_id").distinct()
     found = met.join(documents.select("doc_id", "text"), "doc_id").join(long.select("claim_id", "quote"), "claim_id").filter(F.contains("text", "quote")).select("doc_id", "claim_id")
     for k in range(0, len(short), SHORT_CLAIMS):
