@@ -190,3 +190,15 @@ def test_lines_become_paragraphs(spark):
     rows = [(1, 1, 10.0, 1.0, 50.0, 12.0, "one"), (1, 1, 12.0, 1.0, 60.0, 14.0, "two"), (1, 1, 40.0, 2.0, 30.0, 42.0, "three"), (1, 2, 5.0, 1.0, 9.0, 6.0, "four")]
     got = compiling.lines_to_paragraphs(spark.createDataFrame(rows, "doc_id long, page_no int, top double, left double, right double, bottom double, text string")).collect()
     assert sorted((r["page_no"], r["text"], r["right"]) for r in got) == [(1, "one two", 60.0), (1, "three", 30.0), (2, "four", 9.0)]
+
+
+def test_runs_of_quotes_at_every_length_of_text(spark):
+    from tesserine.tables import RUN_WORDS, contained
+
+    quote = "alpha beta gamma delta epsilon zeta eta"
+    assert len(quote.split(" ")) == RUN_WORDS
+    texts = [None, "", " ", "alpha", "alpha beta gamma delta", "beta gamma delta epsilon zeta", quote, f"x{quote}y z", f"say {quote}  twice {quote}", quote.replace("delta", "Delta")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    quotes = spark.createDataFrame([(1, quote), (2, None), (3, "")], "claim_id long, quote string")
+    got = contained(docs, quotes)
+    assert sorted(map(tuple, got.collect())) == [(6, 1), (7, 1), (8, 1)]
