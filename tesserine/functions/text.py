@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 #: Fixed value: the characters that end a line.
 LINE_END = "\\r\\n|[\\n\\r\\u000b\\u000c\\u001c-\\u001e\\u0085\\u2028\\u2029]"
 #: Fixed value: a word in any script.
-TOKEN = "[\\p{L}\\p{N}_]+"
+WORD_CHAR = "[\\p{L}\\p{N}_]"
+TOKEN = WORD_CHAR + "+"
 #: Fixed value: white space that is trimmed.
 BLANK = "[\\s\\u000b\\u001c-\\u001f\\u0085\\u00a0\\u2028\\u2029]"
 
@@ -26,8 +27,9 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def count_of(items: Column, value: str) -> Column:
-    return F.size(F.filter(items, lambda x: x == value))
+def count_of(text: Column, word: str) -> Column:
+    """How often a word in lower case is one of the ``tokens`` of the text; no list of them is built."""
+    return F.regexp_count(F.lower(text), F.lit(f"{word}(?<!{WORD_CHAR}{word})(?!{WORD_CHAR})"))
 
 
 def words(text: Column) -> Column:

@@ -34,7 +34,8 @@ def build(t: dict[str, DataFrame], entities: DataFrame, relations: DataFrame, cl
 
     Both lists are cut in the order entities, claims, documents (relations,
     claims, citations, references) and by id; then edges without both ends go.
-    The documents of ``focus`` are nodes in any case and come first.
+    The documents of ``focus`` are nodes in any case and come first.  Ends are looked
+    up by id before any label is built, and only the cut lists are written.
     """
     docs, citations = t["documents"], stored(citations, "citations")
     named = citations.select(F.col("source_document_id").alias("doc_id")).unionByName(references.select(F.col("source_document_id").alias("doc_id"))).unionByName(references.select(F.col("target_document_id").alias("doc_id"))).distinct()
@@ -48,24 +49,28 @@ def build(t: dict[str, DataFrame], entities: DataFrame, relations: DataFrame, cl
     )
     if focus is not None:
         nodes = nodes.unionByName(document(docs.join(focus.select("doc_id"), "doc_id", "left_semi"), -1))
-    nodes = stored(nodes, "nodes")
-    related = relations.select("source_entity_id", "target_entity_id", "relation_type").distinct()
+    shown = stored(nodes.orderBy("_set", "ref_id").limit(max_nodes), "nodes")
+    # an edge needs both ends among all nodes before the lists are cut
+    within = lambda e, n, key, c: e.join(n.select(F.col(key).alias(c)), c, "left_semi")
+    related = within(within(relations, entities, "entity_id", "source_entity_id"), entities, "entity_id", "target_entity_id")
+    related = related.select("source_entity_id", "target_entity_id", "relation_type").distinct()
+    supporting = within(claims, entities, "entity_id", "entity_id")
+    cited = within(within(citations, claims, "claim_id", "claim_id"), docs, "doc_id", "source_document_id")
+    referring = within(within(references, docs, "doc_id", "source_document_id"), docs, "doc_id", "target_document_id")
     edges = (
         _edge(related, "relation", _at("entity", "source_entity_id"), _at("entity", "target_entity_id"), F.col("relation_type"), 0)
-        .unionByName(_edge(claims.filter("entity_id is not null"), "claim_entity", _at("claim", "claim_id"), _at("entity", "entity_id"), F.lit("supports"), 1))
-        .unionByName(_edge(citations, "citation", _at("claim", "claim_id"), _at("document", "source_document_id"), F.lit("cites"), 2))
-        .unionByName(_edge(references, "reference", _at("document", "source_document_id"), _at("document", "target_document_id"), F.col("ref_type"), 3))
+        .unionByName(_edge(supporting, "claim_entity", _at("claim", "claim_id"), _at("entity", "entity_id"), F.lit("supports"), 1))
+        .unionByName(_edge(cited, "citation", _at("claim", "claim_id"), _at("document", "source_document_id"), F.lit("cites"), 2))
+        .unionByName(_edge(referring, "reference", _at("document", "source_document_id"), _at("document", "target_document_id"), F.col("ref_type"), 3))
     )
-    # an edge needs both ends among all nodes before the lists are cut
-    ends = lambda e, n: e.join(n.withColumnRenamed("id", "source"), "source", "left_semi").join(n.withColumnRenamed("id", "target"), "target", "left_semi")
-    edges = stored(ends(edges, nodes.select("id")), "edges")
-    over = nodes.agg(F.count("*").alias("n")).crossJoin(edges.agg(F.count("*").alias("e")))  # one row each
-    shown = nodes.orderBy("_set", "ref_id").limit(max_nodes).drop("_set")
-    kept = ends(edges.orderBy("_set", "id").limit(max_edges), shown.select("id")).drop("_set")
+    cut = stored(edges.orderBy("_set", "id").limit(max_edges), "edges")
+    over = shown.agg(F.count("*").alias("n")).crossJoin(cut.agg(F.count("*").alias("e")))  # one row each
+    for end in ("source", "target"):
+        cut = within(cut, shown, "id", end)
     kinds = [F.count_if(F.col("type") == k).alias(f"{k}_nodes") for k in ("entity", "claim", "document")]
     links = [F.count_if(F.col("type") == k).alias(f"{k}_edges") for k in ("relation", "claim_entity", "citation", "reference")]
-    summary = shown.agg(*kinds).crossJoin(kept.agg(*links)).crossJoin(over.select(((F.col("n") >= max_nodes) | (F.col("e") >= max_edges)).alias("truncated")))
-    return shown, kept.select("id", "type", "source", "target", "label"), summary
+    summary = shown.agg(*kinds).crossJoin(cut.agg(*links)).crossJoin(over.select(((F.col("n") >= max_nodes) | (F.col("e") >= max_edges)).alias("truncated")))
+    return shown.drop("_set"), cut.select("id", "type", "source", "target", "label"), summary
 
 
 def _without(df: DataFrame, hidden: DataFrame, *columns: str) -> DataFrame:

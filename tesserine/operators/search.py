@@ -37,12 +37,11 @@ def match_all(df: DataFrame, text: Column, query: str) -> DataFrame:
     wanted = query_tokens(query)
     if not wanted:
         return df.withColumn("score", F.lit(0.0)).filter(F.lit(False))
-    found = df.withColumn("_t", T.tokens(text))
-    found = found.withColumns({f"_n{i}": T.count_of(F.col("_t"), w) for i, w in enumerate(wanted)})
+    found = df.withColumns({f"_n{i}": T.count_of(text, w) for i, w in enumerate(wanted)})
     for i in range(len(wanted)):
         found = found.filter(F.col(f"_n{i}") > 0)
     total = sum((F.col(f"_n{i}") for i in range(1, len(wanted))), F.col("_n0"))
-    return found.withColumn("score", total.cast("double")).drop("_t", *[f"_n{i}" for i in range(len(wanted))])
+    return found.withColumn("score", total.cast("double")).drop(*[f"_n{i}" for i in range(len(wanted))])
 
 
 def top(df: DataFrame, limit: int, *ties: str) -> DataFrame:

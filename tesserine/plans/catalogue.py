@@ -13,6 +13,7 @@ from tesserine import tables as K
 from tesserine.functions import text as T
 from tesserine.functions import vectors as V
 from tesserine.operators import compiling, documents, graph, queueing, search, writing
+from tesserine.sinks import stored
 from tesserine.streaming import queue
 
 QUERY, WORD, LIMIT = "the that", "the", 20
@@ -331,16 +332,19 @@ def graph_summary(s, d):
     return graph.workspace_graph(knowledge(s, d))[2]
 
 
-def _focus(s, d):
-    return K.citations(s, d).agg(F.min("source_document_id").alias("doc_id"))
+def _focus_graph(s, d):
+    """Around the cited document of smallest id."""
+    t = knowledge(s, d)
+    t["citations"] = stored(t["citations"], "citations")
+    return graph.focus_graph(t, t["citations"].agg(F.min("source_document_id").alias("doc_id")))
 
 
 def graph_focus_nodes(s, d):
-    return graph.focus_graph(knowledge(s, d), _focus(s, d))[0]
+    return _focus_graph(s, d)[0]
 
 
 def graph_focus_edges(s, d):
-    return graph.focus_graph(knowledge(s, d), _focus(s, d))[1]
+    return _focus_graph(s, d)[1]
 
 
 def doc_references(s, d):

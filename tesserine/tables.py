@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesserine.session import spread
+
 # What the columns of these names may hold.
 KINDS = ("source", "wiki", "system", "asset")
 STATUSES = ("draft", "queued", "processing", "ready", "failed", "archived")
@@ -27,7 +29,7 @@ def pick(value, *choices: str):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, marks = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), "toxic")
+    d, marks = spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), "toxic")
     kind = pick(d.doc_id % 5, "source", "wiki", "wiki", "wiki", "system")
     folder = F.when(d.doc_id % 5 == 0, "sources").otherwise("wiki")
     return d.join(marks, d.doc_id == F.col("_id"), "left").select(
@@ -92,8 +94,9 @@ def contained(documents: DataFrame, quotes: DataFrame) -> DataFrame:
     short = [(r["claim_id"], r["quote"]) for r in quotes.filter((F.size(words) < RUN_WORDS) & (F.col("quote") != "")).orderBy("claim_id").toLocalIterator()]
     c = long.select("claim_id", F.xxhash64(*[F.get(words, F.lit(k)) for k in range(1, 6)]).alias("run"))
     # the five words of a run stand side by side in one row: hashing them and the join stay in generated code
-    d = documents.select("doc_id", F.split("text", " ").alias("w")).filter(F.size("w") >= 5)
-    runs = F.arrays_zip(*[F.slice("w", k + 1, F.size("w") - 4).alias(f"w{k}") for k in range(5)])
+    d = documents.select("doc_id", F.split("text", " ").alias("w"))
+    n = F.greatest(F.size("w") - 4, F.lit(0))
+    runs = F.arrays_zip(*[F.slice("w", k + 1, n).alias(f"w{k}") for k in range(5)])
     d = d.select("doc_id", F.inline(runs)).select("doc_id", F.xxhash64(*[f"w{k}" for k in range(5)]).alias("run"))
     met = d.join(c, "run").select("doc_id", "claim_id").distinct()
     found = met.join(documents.select("doc_id", "text"), "doc_id").join(long.select("claim_id", "quote"), "claim_id").filter(F.contains("text", "quote")).select("doc_id", "claim_id")
@@ -107,7 +110,7 @@ def contained(documents: DataFrame, quotes: DataFrame) -> DataFrame:
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims whose whole text stands in a document."""
     quotes = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("quote"))
-    found = contained(read(spark, sf_dir, "documents").select("doc_id", "text"), quotes).join(quotes, "claim_id")
+    found = contained(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), quotes).join(quotes, "claim_id")
     return found.select("claim_id", F.col("doc_id").alias("source_document_id"), F.left("quote", F.lit(400)).alias("quote_text"))
 
 

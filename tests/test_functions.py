@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserine.functions import text as T
 from tesserine.operators import compiling, documents, queueing
+from tesserine.session import ENOUGH, spread
 from tesserine.sources import files, notes
 
 
@@ -202,3 +203,18 @@ def test_runs_of_quotes_at_every_length_of_text(spark):
     quotes = spark.createDataFrame([(1, quote), (2, None), (3, "")], "claim_id long, quote string")
     got = contained(docs, quotes)
     assert sorted(map(tuple, got.collect())) == [(6, 1), (7, 1), (8, 1)]
+
+
+def test_words_are_counted_like_tokens(spark):
+    texts = ["The the theme _the the_ (the) blathe the", "the", "thethe", "the the", "Äthe the-the thé 7the", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.count_of(F.col("t"), "the").alias("n"), F.size(F.filter(T.tokens(F.col("t")), lambda x: x == "the")).alias("want"))
+    got = rows.collect()
+    assert [r["n"] for r in got if r["t"] is not None] == [r["want"] for r in got if r["t"] is not None] and got[0]["n"] == 4
+
+
+def test_only_small_tables_are_dealt_over_the_cores(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    cores = spark.sparkContext.defaultParallelism
+    one, many = spark.read.parquet(str(tmp_path / "one")), spark.range(0, 100, 1, 64)
+    assert spread(one).rdd.getNumPartitions() == min(ENOUGH, cores) and spread(one).count() == 100
+    assert spread(many) is many
