@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tesserine.llm import decontaminate, jaccard, mixing, quality, sharding
 from tesserine.llm.common import materialise, table
+from tesserine.session import spread
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+    return quality.keep_good(spread(docs), table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +21,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are told apart by a number, so repeated rows and rows without an id are
     copies like others; a text without words is no copy.
     """
-    docs = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    docs = materialise(spread(docs).withColumn("_row", F.monotonically_increasing_id()), "numbered")
     found = jaccard.similar_sets(docs.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
     found = materialise(found.join(docs.select("_row", "doc_id"), "_row"), "found")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
@@ -31,7 +32,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
-    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.keep_clean(spread(docs), table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

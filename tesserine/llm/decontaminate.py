@@ -38,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserine.session import spread
+
 from .common import materialise, shared_dir
 from .store import Source, new_file, write
 
@@ -283,4 +285,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_W
 
 def op9_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return find_matches(docs, benchmark)
+    return find_matches(spread(docs.select("doc_id", "text")), benchmark)

@@ -43,6 +43,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserine.session import spread
+
 from .common import clearing, materialise, small_or_shuffled
 from .components import components
 
@@ -245,7 +247,7 @@ def _by_set(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def op10_divide_skip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_sets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return similar_sets(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
 
 
 SQL = """

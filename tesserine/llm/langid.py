@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserine.session import spread
+
 from .common import SMALL, fold, materialise
 
 FOLDS, HELD = 4, 2
@@ -354,6 +356,6 @@ def op7_marginal_unigram_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = predict(docs, path, *train(docs.select("doc_id", "text", "lang"), path))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
+    out = predict(docs, path, *train(docs, path))
     return out.select("doc_id", (fold("doc_id", FOLDS) == HELD).alias("held_out"), "lang_pred", "score")

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesserine.session import spread
+
 from .common import SMALL, fold, materialise
 
 FOLDS, SHRINK, CUT, CLIP = 5, 0.05, 0.3, 6.0
@@ -192,4 +194,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op4_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return classify(docs, labels).select("doc_id", (fold("doc_id", FOLDS) == 0).alias("held_out"), "score", "predicted")
+    return classify(spread(docs.select("doc_id", "text")), labels).select("doc_id", (fold("doc_id", FOLDS) == 0).alias("held_out"), "score", "predicted")
