@@ -26,6 +26,7 @@ if none has an id; an empty table gives an empty result; extra columns are left
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,12 @@ MEET, CHANCE = 1.5e-4, 400.0
 SKETCH_BITS = 19
 #: Vectors of a cell in one salt; pairs of a cell that are verified together.
 CELL, PAIRS = 5_000, 4_000
+#: Pairs whose vectors are laid side by side.
+PAIRS_AT_ONCE = 1_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
+@cache
 def e8_steps() -> np.ndarray:
     """The 240 shortest vectors of E8, by rule: two entries +-1, or eight entries +-1/2 with an even number of minus signs."""
     out = []
@@ -87,8 +91,10 @@ def _cell_ids(points: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.rint(points * 2).astype(np.int8)).view(np.int64).reshape(points.shape[:-1])
 
 
-def _directions(dim: int, table: int) -> np.ndarray:
-    return np.random.default_rng([SEED, dim, table]).standard_normal((dim, 8))
+@cache
+def _directions(*seed: int, width: int = 8) -> np.ndarray:
+    """Random projections of vectors of seed[0] components."""
+    return np.random.default_rng([SEED, *seed]).standard_normal((seed[0], width))
 
 
 def _mixed(h: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -106,11 +112,12 @@ def cells_of(vectors: np.ndarray, table: int, lattices: int = 1, probes: int = P
     """The home key of unit vectors in one table, and the keys that they ask, home first: neighbours of one lattice at a time."""
     homes, near = [], []
     for k in range(lattices):
-        x = vectors @ np.random.default_rng([SEED, vectors.shape[1], table, k]).standard_normal((vectors.shape[1], 8)) * scale
+        x = vectors @ _directions(vectors.shape[1], table, k) * scale
         y, steps = nearest_e8(x), e8_steps()
-        best = np.argpartition(-((x - y) @ steps.T), probes, axis=1)[:, :probes]
         homes.append(_cell_ids(y).view(np.uint64))
-        near.append(_cell_ids(y[:, None, :] + steps[best]).view(np.uint64))
+        if probes:
+            best = np.argpartition(-((x - y) @ steps.T), probes, axis=1)[:, :probes]
+            near.append(_cell_ids(y[:, None, :] + steps[best]).view(np.uint64))
 
     def key(at: int | None, cells: np.ndarray | None) -> np.ndarray:
         h = np.full((len(vectors), 1), table + 1, np.uint64)
@@ -124,7 +131,7 @@ def cells_of(vectors: np.ndarray, table: int, lattices: int = 1, probes: int = P
 
 def sketch(vectors: np.ndarray) -> np.ndarray:
     """64 signs of random projections as one long."""
-    signs = vectors @ np.random.default_rng([SEED, vectors.shape[1]]).standard_normal((vectors.shape[1], 64)) > 0
+    signs = vectors @ _directions(vectors.shape[1], width=64) > 0
     return np.packbits(signs, axis=1).view(np.int64)[:, 0]
 
 
@@ -178,7 +185,11 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
 
     def gather() -> tuple:
         lists = pa.chunked_array(vectors).combine_chunks()
-        x = {int(r): (v / np.sqrt((v * v).sum())) for rows, xs in _by_length(lists) for r, v in zip(rows, xs / np.abs(xs).max(axis=1, keepdims=True), strict=True)}
+        parts = [(rows, unit(xs)) for rows, xs in _by_length(lists)]
+        # a block has one length but where keys collide; zeros after a shorter vector change no cosine
+        x = np.zeros((len(lists), max(xs.shape[1] for _, xs in parts)))
+        for rows, xs in parts:
+            x[rows, : xs.shape[1]] = xs
         return np.concatenate(gids), np.concatenate(marks), np.concatenate(counts), x
 
     def links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -186,7 +197,10 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         i, j = np.searchsorted(ids, a), np.searchsorted(ids, b)
         same = grp[i] == grp[j]
         i, j = i[same], j[same]
-        cos = np.array([x[p] @ x[q] for p, q in zip(i.tolist(), j.tolist(), strict=True)])
+        cos = np.empty(len(i))
+        for at in range(0, len(i), PAIRS_AT_ONCE):
+            some = slice(at, at + PAIRS_AT_ONCE)
+            cos[some] = np.einsum("ij,ij->i", x[i[some]], x[j[some]])
         near = cos >= threshold
         i, j = i[near], j[near]
         return pa.record_batch({"a": ids[i], "b": ids[j], "similarity": cos[near], "na": n[i], "nb": n[j], "tree": _forest(i, j)})
