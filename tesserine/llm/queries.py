@@ -16,10 +16,13 @@ NAMES = {
     "op8_feistel_sharding": "sharding",
     "op9_edit_decontamination": "decontaminate",
     "op10_divide_skip_join": "jaccard",
+    "op11_seed_extend_dedup": "substrings",
+    "op12_gram_spelling_variants": "spelling",
+    "op13_bit_parallel_fim": "fim",
 }
 
 #: query name -> module whose SQL gives the same rows
-IN_SQL = {"op3_warc_capture_index": "warc", "op10_divide_skip_join": "jaccard"}
+IN_SQL = {"op3_warc_capture_index": "warc", "op10_divide_skip_join": "jaccard", "op11_seed_extend_dedup": "substrings", "op12_gram_spelling_variants": "spelling", "op13_bit_parallel_fim": "fim"}
 
 
 def queries() -> dict:
