@@ -148,9 +148,10 @@ def api_limit(limit: Column, default: Column, most: int = 50) -> Column:
     return F.when(limit <= 0, default).otherwise(F.least(F.lit(most), limit))
 
 
-def agent_limit(limit: Column, default: Column) -> Column:
-    """10 where none is given; no more than the workspace's default."""
-    return F.least(default, F.when(limit <= 0, 10).otherwise(limit))
+def agent_limit(limit: Column, default: Column, argument: int = 10) -> Column:
+    """The workspace's default for 0 or less, and no more than it; ``argument`` where no limit was given (null)."""
+    given = F.coalesce(limit, F.lit(argument))
+    return F.when(given > 0, F.least(given, default)).otherwise(default)
 
 
 def hybrid_search(tables: dict[str, DataFrame], query: str, vector: DataFrame | None, limit: int = 20, boost_by: float = 0.15, min_score: float = 0.0, rerank: bool = True) -> DataFrame:

@@ -453,13 +453,16 @@ def _turns(s, d):
 def block_upsert(s, d):
     old = _turns(s, d).withColumn("content_hash", F.sha2("text", 256))
     fresh = _turns(s, d).filter("doc_id % 3 = 0 and chunk_idx < 3")
-    fresh = fresh.withColumn("text", F.when(F.col("chunk_idx") == 1, F.upper("text")).otherwise(F.col("text"))).withColumn("content_hash", F.sha2("text", 256))
-    return writing.apply_blocks(old, fresh).select("doc_id", "chunk_idx", "content_hash", "written")
+    fresh = fresh.withColumn("text", F.when(F.col("chunk_idx") == 1, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))).withColumn("content_hash", F.sha2("text", 256))
+    # every sixth conversation is ingested too, and now has no blocks
+    fresh = fresh.filter("doc_id % 6 <> 3")
+    return writing.apply_blocks(old, fresh, old.filter("doc_id % 3 = 0")).select("doc_id", "chunk_idx", "content_hash", "written")
 
 
 def page_replace(s, d):
     old = _turns(s, d).select("doc_id", F.col("chunk_idx").alias("page_no"), "text")
-    return writing.replace_pages(old, old.filter("doc_id % 4 = 1 and page_no = 0").withColumn("text", F.lower("text"))).select("doc_id", "page_no", F.sha2("text", 256).alias("hash"))
+    fresh = old.filter("doc_id % 8 = 1 and page_no = 0").withColumn("text", F.concat("text", F.lit(" again")))
+    return writing.replace_pages(old, fresh, old.filter("doc_id % 4 = 1")).select("doc_id", "page_no", F.sha2("text", 256).alias("hash"))
 
 
 def page_listing(s, d):
@@ -496,7 +499,8 @@ def _actions(s, d):
 
 
 def wiki_writes(s, d):
-    return writing.apply_actions(K.documents(s, d), _actions(s, d))[1].select("path", "seq", "op", "created", F.sha2("content_md", 256).alias("hash"))
+    revisions, pieces = writing.page_pieces(K.documents(s, d), _actions(s, d))
+    return writing.revision_texts(revisions, pieces).select("path", "seq", "op", "created", F.sha2("content_md", 256).alias("hash"))
 
 
 def wiki_heads(s, d):
@@ -505,7 +509,11 @@ def wiki_heads(s, d):
 
 
 def overview_refresh(s, d):
-    return writing.overview(K.documents(s, d))
+    """After the ingest of each workspace's last source."""
+    docs = K.documents(s, d)
+    last = F.max_by("title", "doc_id").alias("title")
+    updates = docs.filter("kind = 'source' and not archived").groupBy("workspace_id").agg(last, F.count("*").alias("nodes"), F.min("doc_id").alias("pages"))
+    return writing.overview(docs, updates)
 
 
 def claim_citations(s, d):
@@ -645,13 +653,13 @@ from t left join p on p.event_type = t.event_type and n >= 0.95 * t.total and be
     (reclaim_idle, K.with_views(", l as (select run_id, arg_max(status, row(ts, seq)) as status, max(ts) as ts, count(*) filter (status = 'failed') as failures from kb_runs group by 1) select run_id, ts, failures + 1 as attempts, case when failures + 1 >= 3 then 'dead' else 'retry' end as route from l where status = 'running' and ts <= timestamp '2024-12-30 23:59:00' order by ts, run_id limit 10")),
     (props_filter, "select event_id from events where json_extract_string(props, '$.k') = '7'"),
     (vault_filter, K.with_views("select doc_id from kb_documents where contains(lower(path), 'src1') or contains(lower(title), 'src1') or contains(kind, 'src1')")),
-    (search_limits, "select p_partkey, case when p_size * 2 - 10 <= 0 then 15 else least(50, p_size * 2 - 10) end as api, least(15, case when p_size * 2 - 10 <= 0 then 10 else p_size * 2 - 10 end) as agent from part"),
+    (search_limits, "select p_partkey, case when p_size * 2 - 10 <= 0 then 15 else least(50, p_size * 2 - 10) end as api, case when p_size * 2 - 10 > 0 then least(p_size * 2 - 10, 15) else 15 end as agent from part"),
     (block_upsert, """
 with o as (select conv_id as doc_id, turn as chunk_idx, sha256(text) as h from conversations),
-f as (select conv_id as doc_id, turn as chunk_idx, sha256(case when turn = 1 then upper(text) else text end) as h from conversations where conv_id % 3 = 0 and turn < 3)
+f as (select conv_id as doc_id, turn as chunk_idx, sha256(case when turn = 1 then concat(text, ' edited') else text end) as h from conversations where conv_id % 6 = 0 and turn < 3)
 select o.doc_id, o.chunk_idx, coalesce(f.h, o.h) as content_hash, coalesce(f.h <> o.h, false) as written from o left join f on f.doc_id = o.doc_id and f.chunk_idx = o.chunk_idx
-where f.h is not null or o.doc_id not in (select doc_id from f)"""),
-    (page_replace, "select conv_id as doc_id, turn as page_no, sha256(case when conv_id % 4 = 1 and turn = 0 then lower(text) else text end) as hash from conversations where conv_id % 4 <> 1 or turn = 0 or conv_id not in (select conv_id from conversations where turn = 0)"),
+where f.h is not null or o.doc_id % 3 <> 0"""),
+    (page_replace, "select conv_id as doc_id, turn as page_no, sha256(case when conv_id % 4 = 1 then concat(text, ' again') else text end) as hash from conversations where conv_id % 4 <> 1 or (conv_id % 8 = 1 and turn = 0)"),
     (page_listing, "select conv_id as doc_id, cast(row_number() over (partition by conv_id order by turn) as int) as position, turn as page_no, length(text) as char_count from conversations where conv_id % 5 = 2"),
     (pages_read, "select conv_id as doc_id, sha256(string_agg(text, chr(10) || chr(10) order by turn)) as hash from conversations where turn in (1, 2, 4) group by 1"),
     (reference_upsert, K.with_views("select source_document_id, target_document_id, ref_type, case when source_document_id % 2 = 0 then 'second' else 'first' end as metadata from kb_references")),
@@ -661,7 +669,12 @@ select run_id, arg_max(status, k) filter (status is not null) as status, arg_max
   min(ts) filter (event_type = 'signup') as started_at, max(ts) filter (event_type = 'purchase') as completed_at from e group by 1"""),
     (wiki_writes, K.with_views(_WRITES + "select path, doc_id * 2 as seq, op, false as created, sha256(one) as hash from w union all select path, doc_id * 2 + 1, 'append_content', false, sha256(two) from w where doc_id % 10 = 1 union all select path, seq, 'append_content', true, sha256(concat('About ', title)) from n")),
     (wiki_heads, K.with_views(_WRITES + "select d.path, d.kind, d.policy, sha256(case when w.doc_id is null then d.content_md when w.doc_id % 10 = 1 then two else one end) as hash from kb_documents d left join w on w.doc_id = d.doc_id union all select path, 'wiki', 'system_managed', sha256(concat('About ', title)) from n")),
-    (overview_refresh, K.with_views(", c as (select workspace_id, count(*) filter (kind = 'source') as s, count(*) filter (kind in ('wiki', 'system')) as w, arg_max(title, doc_id) filter (kind = 'source') as latest from kb_documents where not archived group by 1) select workspace_id, concat('# Overview', chr(10), chr(10), '| Signal | Value |', chr(10), '| --- | --- |', chr(10), '| Sources | ', s, ' |', chr(10), '| Wiki Pages | ', w, ' |', chr(10), '| Latest Source | ', replace(coalesce(latest, ''), '|', '/'), ' |', chr(10)) as content_md, s as sources, w as pages from c")),
+    (overview_refresh, K.with_views(f""",
+c as (select workspace_id, count(*) filter (kind = 'source') as s, count(*) filter (kind in ('wiki', 'system')) as w, arg_max(title, doc_id) filter (kind = 'source') as t, min(doc_id) filter (kind = 'source') as p from kb_documents where not archived group by 1),
+e as (select *, concat('source-', {_SLUG.format('t')}, '["', replace(replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), chr(10), '<br/>'), '"]') as node from c where s > 0)
+select workspace_id, replace(concat('This workspace is an agent-native compiled knowledge vault.~~## Key Findings~~| Signal | Value |~| --- | --- |~| Sources | ', s, ' |~| Wiki Pages | ', w, ' |~| Latest Source | ', replace(t, '~', chr(1)), ' |~~```mermaid~graph TD~    ',
+  replace(node, '~', chr(1)), ' --> compiler["Compiler"]~    compiler["Compiler"] --> compiled-wiki["Compiled Wiki"]~    compiled-wiki["Compiled Wiki"] --> hybrid-search["Hybrid Search"]~    compiled-wiki["Compiled Wiki"] --> agent-plane["Agent Operating Plane"]~```~~## Recent Updates~~- Processed source `',
+  replace(t, '~', chr(1)), '`.~- Extracted ', s, ' semantic nodes.~- Created or updated ', p, ' wiki documents.~'), '~', chr(10)) as content_md, s as sources, w as pages from e""")),
     (claim_citations, K.with_views(", ln as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) - 1 as chunk_idx from documents), m as (select claim_id, doc_id, chunk_idx, len(list_filter(list_filter(regexp_split_to_array(lower(quote_text), '\\s+'), lambda x: x <> '')[1:10], lambda x: contains(lower(t), x))) as overlap from kb_citations join ln on ln.doc_id = source_document_id where claim_id % 2 = 0), b as (select claim_id, doc_id, arg_max(chunk_idx, row(overlap, -chunk_idx)) as chunk_idx from m where overlap > 0 group by 1, 2) select c.claim_id, source_document_id as doc_id, coalesce(b.chunk_idx, 0) as chunk_idx, sha256(case when c.claim_id % 2 = 0 then quote_text else (select left(t, 400) from ln where ln.doc_id = source_document_id and ln.chunk_idx = 0) end) as hash, case when c.claim_id % 2 = 0 then 'exact_match' else 'fallback' end as precision from kb_citations c left join b on b.claim_id = c.claim_id and b.doc_id = source_document_id")),
     (paragraph_match, """
 with t as (select conv_id as doc_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')[1:15]) as w from conversations),

@@ -128,7 +128,7 @@ def test_claims_and_blocks_after_a_second_ingest(spark):
 
     old = spark.createDataFrame([(1, 0, "a", "h0"), (1, 1, "b", "h1"), (1, 2, "c", "h2"), (1, None, "x", None), (2, 0, "d", "h3")], "doc_id long, chunk_idx int, text string, content_hash string")
     new = spark.createDataFrame([(1, 0, "a2", "h0"), (1, 1, "B", "H1")], "doc_id long, chunk_idx int, text string, content_hash string")
-    got = {(r["doc_id"], r["chunk_idx"], r["text"], r["written"]) for r in writing.apply_blocks(old, new).collect()}
+    got = {(r["doc_id"], r["chunk_idx"], r["text"], r["written"]) for r in writing.apply_blocks(old, new, new).collect()}
     assert got == {(1, 0, "a", False), (1, 1, "B", True), (2, 0, "d", False)}
     claims = spark.createDataFrame([(7, 1, "b b"), (8, 1, None), (9, 1, "zzz")], "claim_id long, doc_id long, quote string")
     cited = {r["claim_id"]: (r["chunk_idx"], r["quote_text"], r["precision"]) for r in compiling.cite_claims(claims, old.filter("chunk_idx is not null")).collect()}
