@@ -14,7 +14,7 @@ be read as well.  The hits are those of a scan of all texts.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,8 +132,8 @@ def _score(index: DataFrame, ranges: DataFrame, words: DataFrame, asked: DataFra
     return hits.select("q", "id", F.aggregate(positive, F.lit(0).cast("long"), lambda s, x: s + x["n"]).cast("double").alias("score"))
 
 
-def search(index: DataFrame, queries: Sequence[str], limit: int, first: int = FIRST, within: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """query, rank, id, score: the ``limit`` best of each query, ties by id; and q, query, ranges, read: how many ranges could hold a hit, and were read.
+def search(index: DataFrame, queries: Sequence[str], limit: int, first: int = FIRST, within: DataFrame | None = None, tie: Callable[[Column], Column] = lambda i: i) -> tuple[DataFrame, DataFrame]:
+    """query, rank, id, score: the ``limit`` best of each query, equal scores by ``tie`` of the id; and q, query, ranges, read: how many ranges could hold a hit, and were read.
 
     Score: occurrences of the items that must be there, of any alternative that
     the text meets or not.  ``within`` (id) narrows the hits.  An empty query finds nothing.
@@ -149,7 +149,7 @@ def search(index: DataFrame, queries: Sequence[str], limit: int, first: int = FI
     ranked = ranges.withColumn("nth", F.row_number().over(best))
     narrow = (lambda df: df) if within is None else (lambda df: df.join(within.select("id"), "id", "left_semi"))
     early = narrow(_score(index, ranked.filter(F.col("nth") <= first), *given))
-    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), tie(F.col("id"))))
     early = early.withColumn("rank", nth).filter(F.col("rank") <= limit)
     # one row a query: what the k-th hit of the first ranges has
     reach = early.filter(F.col("rank") == limit).select("q", F.col("score").alias("reach"))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tesserine.functions import text as T
 from tesserine.functions import vectors as V
+from tesserine.operators import fulltext
 
 RRF_K, SNIPPET, HEAD = 60, 300, 20
 #: Name -> default, least, most of the search rules.
@@ -52,13 +53,24 @@ def _hit(df: DataFrame, kind: str, key: str, ref: str, page: Column, body: str)
     return df.select(F.concat(F.lit(f"{key}:"), F.col(ref).cast("string")).alias("id"), F.lit(kind).alias("result_type"), "path", "title", page.cast("int").alias("page_no"), F.round("score", 6).alias("score"), F.left(body, F.lit(SNIPPET)).alias("snippet"))
 
 
-def lexical_blocks(blocks: DataFrame, query: str, limit: int) -> DataFrame:
-    return top(_hit(match_all(blocks, F.col("text"), query), "block", "block", "block_id", F.col("page_no"), "text"), limit, "id")
+def _indexed(df: DataFrame, key: str, index: DataFrame, query: str, limit: int) -> DataFrame:
+    """The ``limit`` best rows of ``df`` by an index of their text, with ``score``; ties go by the key as text, as in a scan."""
+    plain = " ".join(query_tokens(query))
+    hits, _ = fulltext.search(index, [plain], limit, within=df.select(F.col(key).cast("long").alias("id")), tie=lambda i: i.cast("string"))
+    return df.join(F.broadcast(hits.select(F.col("id").alias(key), "score")), key)  # ``limit`` rows
 
 
-def title_match(documents: DataFrame, query: str, limit: int) -> DataFrame:
+def lexical_blocks(blocks: DataFrame, query: str, limit: int, index: DataFrame | None = None) -> DataFrame:
+    """Blocks that hold every word of the query, those with most of them first; by an index of their text (``fulltext.build``) if there is one."""
+    found = match_all(blocks, F.col("text"), query) if index is None else _indexed(blocks, "block_id", index, query, limit)
+    return top(_hit(found, "block", "block", "block_id", F.col("page_no"), "text"), limit, "id")
+
+
+def title_match(documents: DataFrame, query: str, limit: int, index: DataFrame | None = None) -> DataFrame:
+    """The same for the titles of pages."""
     pages = documents.filter("not archived and kind in ('wiki', 'system')")
-    return top(_hit(match_all(pages, F.col("title"), query), "document", "document", "doc_id", F.lit(None), "content_md"), limit, "id")
+    found = match_all(pages, F.col("title"), query) if index is None else _indexed(pages, "doc_id", index, query, limit)
+    return top(_hit(found, "document", "document", "doc_id", F.lit(None), "content_md"), limit, "id")
 
 
 def like_pattern(text: str, escape: bool = False) -> str:
@@ -154,12 +166,12 @@ def agent_limit(limit: Column, default: Column, argument: int = 10) -> Column:
     return F.when(given > 0, F.least(given, default)).otherwise(default)
 
 
-def hybrid_search(tables: dict[str, DataFrame], query: str, vector: DataFrame | None, limit: int = 20, boost_by: float = 0.15, min_score: float = 0.0, rerank: bool = True) -> DataFrame:
-    """All channels, fused, boosted, cut and reranked: one lazy plan."""
-    channels = [lexical_blocks(tables["blocks"], query, limit)]
+def hybrid_search(tables: dict[str, DataFrame], query: str, vector: DataFrame | None, limit: int = 20, boost_by: float = 0.15, min_score: float = 0.0, rerank: bool = True, texts: DataFrame | None = None, titles: DataFrame | None = None) -> DataFrame:
+    """All channels, fused, boosted, cut and reranked: one lazy plan.  ``texts`` and ``titles`` are indexes of the blocks' texts and the documents' titles."""
+    channels = [lexical_blocks(tables["blocks"], query, limit, texts)]
     if vector is not None:
         channels.append(nearest(tables["blocks"], vector, limit))
-    channels += [title_match(tables["documents"], query, limit), entity_match(tables["entities"], query, limit)]
+    channels += [title_match(tables["documents"], query, limit, titles), entity_match(tables["entities"], query, limit)]
     hits = fuse(channels)
     if boost_by:
         hits = boost(hits, graph_weights(tables["documents"], tables["references"], tables["citations"]), boost_by)

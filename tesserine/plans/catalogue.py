@@ -12,14 +12,17 @@ from pyspark.sql.window import Window
 from tesserine import tables as K
 from tesserine.functions import text as T
 from tesserine.functions import vectors as V
-from tesserine.operators import compiling, documents, graph, queueing, search, writing
-from tesserine.sinks import stored
+from tesserine.operators import compiling, documents, fulltext, graph, queueing, search, writing
+from tesserine.sinks import folder, stored
 from tesserine.streaming import queue
 
 QUERY, WORD, LIMIT = "the that", "the", 20
 AS_OF = "2024-06-01 00:00:00"
 BUCKETS = (10, 50, 100, 200, 500, 1000)
 RERANK = "the of and"
+WORDS = "the of de and to in la a der is that en it for was on die with que le be as des und by".split()
+PAIRS = [f"{a} {WORDS[(i + k) % len(WORDS)]}" for k in (3, 8) for i, a in enumerate(WORDS)]
+SYNTAX = ['"of the"', "that OR und -de", "whi* the", 'and -"to the"']
 
 
 def knowledge(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -44,6 +47,35 @@ def title_match(s, d):
     return search.title_match(K.documents(s, d), WORD, LIMIT)
 
 
+def _text_index(s, d):
+    return fulltext.write(fulltext.build(K.blocks(s, d), "block_id", "text"), folder(s, "text-index"))
+
+
+def lexical_blocks_indexed(s, d):
+    return search.lexical_blocks(K.blocks(s, d), QUERY, LIMIT, _text_index(s, d))
+
+
+def title_match_indexed(s, d):
+    docs = K.documents(s, d)
+    index = fulltext.write(fulltext.build(docs, "doc_id", "title"), folder(s, "title-index"))
+    return search.title_match(docs, WORD, LIMIT, index)
+
+
+def fulltext_pairs(s, d):
+    """Fifty queries of two words in one pass."""
+    return fulltext.search(_text_index(s, d), PAIRS, LIMIT)[0]
+
+
+def fulltext_syntax(s, d):
+    """A phrase, alternatives, exclusions and a prefix."""
+    return fulltext.search(_text_index(s, d), SYNTAX, LIMIT)[0]
+
+
+def fulltext_skipped(s, d):
+    """How many ranges of blocks each query could have needed, and how many it read."""
+    return fulltext.search(_text_index(s, d), PAIRS, LIMIT)[1].select("query", "ranges", "read")
+
+
 def entity_ilike(s, d):
     return search.entity_match(K.entities(s, d), "brand#1", LIMIT)
 
@@ -570,9 +602,26 @@ w as (select *, case when trim(one, ' ' || chr(10)) = '' then 'a later note' els
 n as (select concat('/wiki/new/', lower(replace(n_name, ' ', '-')), '.md') as path, -n_nationkey - 1 as seq, n_name as title from nation)
 """
 
+_TOKENS = ", t as (select block_id as id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') as tk from kb_blocks)"
+_RANKED = " select query, cast(rnk as int) as rank, id, score from (select *, row_number() over (partition by query order by score desc, id) as rnk from u) x where rnk <= 20"
+
 ENTRIES = [
     (lexical_blocks, K.with_views(CHANNELS + "\nselect * from lex")),
     (title_match, K.with_views(TITLES.format(**ONE) + "\nselect * from ttl")),
+    (lexical_blocks_indexed, K.with_views(CHANNELS + "\nselect * from lex")),
+    (title_match_indexed, K.with_views(TITLES.format(**ONE) + "\nselect * from ttl")),
+    (fulltext_pairs, K.with_views(_TOKENS + ", p(query, a, b) as (values " + ", ".join("('{0}', '{1}', '{2}')".format(q, *q.split()) for q in PAIRS) + """),
+u as (select query, id, cast(len(list_filter(tk, lambda x: x = a)) + case when a <> b then len(list_filter(tk, lambda x: x = b)) else 0 end as double) as score from t, p where list_contains(tk, a) and list_contains(tk, b))""" + _RANKED)),
+    (fulltext_syntax, K.with_views(_TOKENS + """,
+c as (
+  select id, len(list_filter(generate_series(1, len(tk) - 1), lambda i: tk[i] = 'of' and tk[i + 1] = 'the')) as of_the, len(list_filter(generate_series(1, len(tk) - 1), lambda i: tk[i] = 'to' and tk[i + 1] = 'the')) as to_the,
+    len(list_filter(tk, lambda x: x = 'that')) as that, len(list_filter(tk, lambda x: x = 'und')) as und, len(list_filter(tk, lambda x: x = 'de')) as de, len(list_filter(tk, lambda x: x = 'the')) as the, len(list_filter(tk, lambda x: x = 'and')) as n_and, len(list_filter(tk, lambda x: starts_with(x, 'whi'))) as whi from t),
+u as (
+  select '"of the"' as query, id, cast(of_the as double) as score from c where of_the > 0
+  union all select 'that OR und -de', id, that + und from c where that > 0 or (und > 0 and de = 0)
+  union all select 'whi* the', id, whi + the from c where whi > 0 and the > 0
+  union all select 'and -"to the"', id, n_and from c where n_and > 0 and to_the = 0)""" + _RANKED)),
+    (fulltext_skipped, None),
     (entity_ilike, K.with_views(ENTITIES.format(p="%brand#1%") + "\nselect * from ent")),
     (knn_exact, K.with_views(CHANNELS + "\nselect * from sem")),
     (vector_normalize, "with c as (select vec_id, cast(embedding[1:48] as double[]) as c from embeddings), n as (select *, sqrt(list_inner_product(c, c)) as l from c) select vec_id, len(c) as n, 1.0::double as length, round(c[1] / l, 6) as first from n"),

@@ -19,13 +19,30 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/tesserine/{tag}-{uuid.uuid4().hex}"
 
 
+#: Folders that this process has stored.
+_STORED: list[str] = []
+
+
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new shared folder that ``clear`` deletes."""
+    _STORED.append(shared_dir(spark, tag))
+    return _STORED[-1]
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Written to the shared folder and read again: what several results are taken from is computed once."""
-    path = shared_dir(df.sparkSession, tag)
+    path = folder(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Deletes what was stored so far, and tells how many folders; to be called once the results that read them are written."""
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in _STORED]
+    _STORED.clear()
+    return sum(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True) for at in paths)
+
+
 def write_pages(pages: DataFrame, folder: str) -> None:
     """path, content_md as Parquet, laid out by the first folder of the path."""
     pages.withColumn("section", F.regexp_extract("path", "^/([^/]+)", 1)).write.partitionBy("section").mode("overwrite").parquet(folder)
