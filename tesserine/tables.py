@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesserine.operators.quotes import contained
 from tesserine.session import spread
 
 # What the columns of these names may hold.
@@ -76,37 +77,6 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("target_document_id is not null").withColumn("ref_type", F.lit("related"))
 
 
-#: Words of a claim that is found by a run of words; quotes of shorter ones are looked for as they are, so many to a pass.
-RUN_WORDS, SHORT_CLAIMS = 7, 500
-
-
-def contained(documents: DataFrame, quotes: DataFrame) -> DataFrame:
-    """doc_id, claim_id: documents (doc_id, text) whose text holds a whole quote (claim_id, quote).
-
-    Quotes of RUN_WORDS words or more meet the documents on a five-word run that
-    begins at their second word: the first word of a quote may be part of a longer
-    word in the document, the last one too.  Only ids and the hashes of the runs travel;
-    then the texts of those that met are compared.  Shorter quotes are counted and
-    held against every text, SHORT_CLAIMS in one pass.
-    """
-    words = F.split("quote", " ")
-    long = quotes.filter(F.size(words) >= RUN_WORDS)
-    short = [(r["claim_id"], r["quote"]) for r in quotes.filter((F.size(words) < RUN_WORDS) & (F.col("quote") != "")).orderBy("claim_id").toLocalIterator()]
-    c = long.select("claim_id", F.xxhash64(*[F.get(words, F.lit(k)) for k in range(1, 6)]).alias("run"))
-    # the five words of a run stand side by side in one row: hashing them and the join stay in generated code
-    d = documents.select("doc_id", F.split("text", " ").alias("w"))
-    n = F.greatest(F.size("w") - 4, F.lit(0))
-    runs = F.arrays_zip(*[F.slice("w", k + 1, n).alias(f"w{k}") for k in range(5)])
-    d = d.select("doc_id", F.inline(runs)).select("doc_id", F.xxhash64(*[f"w{k}" for k in range(5)]).alias("run"))
-    met = d.join(c, "run").select("doc_id", "claim_id").distinct()
-    found = met.join(documents.select("doc_id", "text"), "doc_id").join(long.select("claim_id", "quote"), "claim_id").filter(F.contains("text", "quote")).select("doc_id", "claim_id")
-    for k in range(0, len(short), SHORT_CLAIMS):
-        listed = F.array(*[F.struct(F.lit(i).cast("long").alias("claim_id"), F.lit(q).alias("quote")) for i, q in short[k : k + SHORT_CLAIMS]])
-        hits = F.filter(listed, lambda x: F.contains(F.col("text"), x["quote"]))
-        found = found.unionByName(documents.select("doc_id", F.explode(hits).alias("x")).select("doc_id", F.col("x.claim_id").alias("claim_id")))
-    return found.distinct()
-
-
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims whose whole text stands in a document."""
     quotes = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("quote"))

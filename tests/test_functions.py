@@ -89,16 +89,6 @@ def test_notes_source(spark, tmp_path):
     assert [tuple(r) for r in spark.read.format("notes").option("files", str(tmp_path / "n.json")).load().collect()] == [("1", "T", "## h\n\n- [x] x")]
 
 
-def test_short_claims_are_cited(spark):
-    """A claim of any length is found where its text stands, also inside longer words."""
-    from tesserine import tables
-
-    texts = [(1, "Widget is important. And more of it stands here for long."), (2, "no such thing"), (3, "xWidget is important.y"), (4, None), (5, "w0 a b c d e f gh")]
-    quotes = [(7, "Widget is important."), (8, "such"), (9, "0 a b c d e f g"), (10, ""), (11, None), (12, "of it stands here for longer")]
-    got = tables.contained(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(quotes, "claim_id long, quote string"))
-    assert {(r["doc_id"], r["claim_id"]) for r in got.collect()} == {(d, c) for d, t in texts for c, q in quotes if t and q and q in t}
-
-
 def test_graph_flags_and_focus(spark):
     from tesserine.operators import graph
 
@@ -193,18 +183,6 @@ def test_lines_become_paragraphs(spark):
     assert sorted((r["page_no"], r["text"], r["right"]) for r in got) == [(1, "one two", 60.0), (1, "three", 30.0), (2, "four", 9.0)]
 
 
-def test_runs_of_quotes_at_every_length_of_text(spark):
-    from tesserine.tables import RUN_WORDS, contained
-
-    quote = "alpha beta gamma delta epsilon zeta eta"
-    assert len(quote.split(" ")) == RUN_WORDS
-    texts = [None, "", " ", "alpha", "alpha beta gamma delta", "beta gamma delta epsilon zeta", quote, f"x{quote}y z", f"say {quote}  twice {quote}", quote.replace("delta", "Delta")]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    quotes = spark.createDataFrame([(1, quote), (2, None), (3, "")], "claim_id long, quote string")
-    got = contained(docs, quotes)
-    assert sorted(map(tuple, got.collect())) == [(6, 1), (7, 1), (8, 1)]
-
-
 def test_words_are_counted_like_tokens(spark):
     texts = ["The the theme _the the_ (the) blathe the", "the", "thethe", "the the", "Äthe the-the thé 7the", "", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.count_of(F.col("t"), "the").alias("n"), F.size(F.filter(T.tokens(F.col("t")), lambda x: x == "the")).alias("want"))
