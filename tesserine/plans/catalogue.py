@@ -345,23 +345,23 @@ def export_pages(s, d):
 # --- graph ------------------------------------------------------------------
 
 def graph_nodes(s, d):
-    return graph.workspace_graph(knowledge(s, d))[0]
+    return graph.workspace_graph(knowledge(s, d)).nodes
 
 
 def graph_edges(s, d):
-    return graph.workspace_graph(knowledge(s, d), 1000, 2000)[1]
+    return graph.workspace_graph(knowledge(s, d), 1000, 2000).edges
 
 
 def graph_claims_only(s, d):
-    return graph.workspace_graph(knowledge(s, d), 1000, 2000, include_documents=False)[1]
+    return graph.workspace_graph(knowledge(s, d), 1000, 2000, include_documents=False).edges
 
 
 def graph_documents_only(s, d):
-    return graph.workspace_graph(knowledge(s, d), 1000, 2000, include_claims=False)[0]
+    return graph.workspace_graph(knowledge(s, d), 1000, 2000, include_claims=False).nodes
 
 
 def graph_summary(s, d):
-    return graph.workspace_graph(knowledge(s, d))[2]
+    return graph.workspace_graph(knowledge(s, d)).summary
 
 
 def _focus_graph(s, d):
@@ -372,11 +372,11 @@ def _focus_graph(s, d):
 
 
 def graph_focus_nodes(s, d):
-    return _focus_graph(s, d)[0]
+    return _focus_graph(s, d).nodes
 
 
 def graph_focus_edges(s, d):
-    return _focus_graph(s, d)[1]
+    return _focus_graph(s, d).edges
 
 
 def doc_references(s, d):

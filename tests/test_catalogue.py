@@ -22,7 +22,7 @@ def test_edges_end_in_nodes(spark):
     t = catalogue.knowledge(spark, SF)
     from tesserine.operators import graph
 
-    edges = graph.workspace_graph(t)[1].collect()
+    edges = graph.workspace_graph(t).edges.collect()
     assert all(e["source"] in nodes and e["target"] in nodes for e in edges)
 
 

@@ -100,8 +100,8 @@ def test_graph_flags_and_focus(spark):
         "citations": spark.createDataFrame([(6, 1), (6, 2)], "claim_id long, source_document_id long"),
         "references": spark.createDataFrame([(1, 3, "related"), (2, 3, "related")], "source_document_id long, target_document_id long, ref_type string"),
     }
-    ids = lambda found: {r["id"] for r in found[0].collect()}
-    labels = lambda found: sorted(r["label"] for r in found[1].collect())
+    ids = lambda found: {r["id"] for r in found.nodes.collect()}
+    labels = lambda found: sorted(r["label"] for r in found.edges.collect())
     whole = graph.workspace_graph(t)
     assert ids(whole) == {"entity:5", "claim:6", "document:1", "document:3"} and labels(whole) == ["cites", "related", "self", "supports"]
     assert ids(graph.workspace_graph(t, include_claims=False)) == {"entity:5", "document:1", "document:3"}
@@ -109,7 +109,7 @@ def test_graph_flags_and_focus(spark):
     assert labels(graph.workspace_graph(t, include_references=False)) == ["cites", "self", "supports"]
     alone = graph.focus_graph(t, spark.createDataFrame([(4,)], "doc_id long"))
     assert ids(alone) == {"document:4"} and labels(alone) == []
-    near = graph.focus_graph(t, spark.createDataFrame([(1,)], "doc_id long"))[0].collect()
+    near = graph.focus_graph(t, spark.createDataFrame([(1,)], "doc_id long")).nodes.collect()
     assert near[0]["id"] == "document:1" and {r["id"] for r in near} == {"document:1", "entity:5", "claim:6", "document:3"}
 
 
