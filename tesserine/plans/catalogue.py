@@ -12,14 +12,14 @@ from pyspark.sql.window import Window
 from tesserine import tables as K
 from tesserine.functions import text as T
 from tesserine.functions import vectors as V
-from tesserine.operators import compiling, documents, fulltext, graph, queueing, search, writing
+from tesserine.operators import compiling, documents, fulltext, graph, neighbours, queueing, search, writing
 from tesserine.sinks import folder, stored
 from tesserine.streaming import queue
 
 QUERY, WORD, LIMIT = "the that", "the", 20
 AS_OF = "2024-06-01 00:00:00"
 BUCKETS = (10, 50, 100, 200, 500, 1000)
-RERANK = "the of and"
+RERANK, RECALL = "the of and", 0.97
 WORDS = "the of de and to in la a der is that en it for was on die with que le be as des und by".split()
 PAIRS = [f"{a} {WORDS[(i + k) % len(WORDS)]}" for k in (3, 8) for i, a in enumerate(WORDS)]
 SYNTAX = ['"of the"', "that OR und -de", "whi* the", 'and -"to the"']
@@ -84,6 +84,37 @@ def knn_exact(s, d):
     return search.nearest(K.blocks(s, d), query_vector(s, d), LIMIT)
 
 
+def _vector_index(s, d):
+    v = K.read(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return v, neighbours.build(v, folder(s, "vector-index"), 64)
+
+
+def _vector_queries(v):
+    """Every twentieth vector: a stated set, asked against all rows."""
+    return [(r["id"], r["embedding"]) for r in neighbours.usable(v, 64).filter("id % 20 = 0").orderBy("id").collect()]
+
+
+def knn_indexed(s, d):
+    """The nearest of every twentieth vector by the index, with as many probes as a recall of RECALL needs."""
+    v, index = _vector_index(s, d)
+    return neighbours.search(index, _vector_queries(v), LIMIT, neighbours.tune(index, LIMIT, RECALL)).select("query", "rank", "id", F.round("score", 6).alias("score"))
+
+
+def knn_indexed_all(s, d):
+    """The same with every cell probed: the rows of a scan."""
+    v, index = _vector_index(s, d)
+    return neighbours.search(index, _vector_queries(v), LIMIT, len(index.centroids)).select("query", "rank", "id", F.round("score", 6).alias("score"))
+
+
+def knn_recall(s, d):
+    """One row: the recall of ``knn_indexed`` against a scan, cells, probes, and the share of the bytes that a query reads."""
+    v, index = _vector_index(s, d)
+    asked, probes = _vector_queries(v), neighbours.tune(index, LIMIT, RECALL)
+    share = neighbours.recall(neighbours.search(index, asked, LIMIT, probes), neighbours.exact(neighbours.usable(v, 64), asked, LIMIT))
+    read = neighbours.read_share(index, asked, LIMIT, probes)
+    return read.agg(F.count("*").alias("queries"), F.round(F.avg("bytes_share"), 4).alias("bytes_share")).select("queries", F.lit(len(index.centroids)).alias("cells"), F.lit(probes).alias("probes"), F.lit(round(share, 6)).alias("recall"), "bytes_share")
+
+
 def vector_normalize(s, d):
     cut = K.read(s, d, "embeddings").select("vec_id", V.fit_dimension(F.col("embedding"), 48).alias("cut"))
     return cut.select("vec_id", F.size("cut").alias("n"), F.round(V.norm(F.col("cut")), 6).alias("length"), F.round(F.element_at("cut", 1), 6).alias("first"))
@@ -624,6 +655,9 @@ u as (
     (fulltext_skipped, None),
     (entity_ilike, K.with_views(ENTITIES.format(p="%brand#1%") + "\nselect * from ent")),
     (knn_exact, K.with_views(CHANNELS + "\nselect * from sem")),
+    (knn_indexed, None),
+    (knn_indexed_all, "with v as (select vec_id as id, cast(embedding as double[]) as v from embeddings where embedding is not null), h as (select a.id as query, b.id, list_cosine_similarity(a.v, b.v) as score from v a, v b where a.id % 20 = 0), r as (select *, row_number() over (partition by query order by score desc, id) as rank from h) select query, cast(rank as int) as rank, id, round(score, 6) as score from r where rank <= 20"),
+    (knn_recall, None),
     (vector_normalize, "with c as (select vec_id, cast(embedding[1:48] as double[]) as c from embeddings), n as (select *, sqrt(list_inner_product(c, c)) as l from c) select vec_id, len(c) as n, 1.0::double as length, round(c[1] / l, 6) as first from n"),
     (rrf_fusion, K.with_views(CHANNELS + ", u as (select *, 0 as channel, row_number() over (order by score desc, id) as rnk from lex union all select *, 1, row_number() over (order by score desc, id) from sem) select id, arg_max(result_type, row(score, -channel)) as result_type, arg_max(path, row(score, -channel)) as path, round(sum(1.0::double / (60 + rnk)), 6) as score from u group by id")),
     (graph_weights, K.with_views(WEIGHTS + "\nselect * from wgt")),
