@@ -30,6 +30,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import chain, groupby
+from operator import eq
 from zlib import crc32
 
 import pyarrow as pa
@@ -40,55 +41,37 @@ from tesserine.session import spread
 
 from .common import SMALL, clearing, materialise, table
 
-#: What a run is made of, which runs lose a letter, and which words count.
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
+#: Which runs lose a letter, which words count, and what a run is made of (those too short for a word are not taken).
 EVERY, LETTERS, LEAST, TIMES = 97, 5, 3, 2
-Q, BLOCK = 2, 20_000
+RUN = re.compile("[A-Za-zÀ-ÿ]{%d,}" % LETTERS)
+Q, BLOCK = 2, 4_000
 #: Words that a task remembers, pairs of one Arrow batch that leaves a task.
 REMEMBER, PAIRS = 200_000, 20_000
 
 
-class Lower(dict):
-    """Runs -> with small letters for A-Z, as bytes; forgets all when it has grown too large."""
-
-    def __missing__(self, run: str) -> bytes:
-        if len(self) >= REMEMBER:
-            self.clear()
-        low = self[run] = run.encode().lower()
-        return low
-
-
-def words_of(doc_id: int | None, text: str | None, lower: Lower) -> Iterator[tuple[str, int]]:
-    """The words of a text as they are counted, and how often; a word can come more than once."""
-    start = crc32(b"%s:" % (b"" if doc_id is None else str(doc_id).encode()))
-    merged: dict[bytes, int] = defaultdict(int)
-    for run, n in Counter(RUN.findall(text or "")).items():
-        merged[lower[run]] += n
-    for low, n in merged.items():
-        h = crc32(low, start)
-        if len(low) >= LETTERS or not h % EVERY:
-            word = low.decode()
-            if not h % EVERY:
-                at = h % len(word)
-                word = word[:at] + word[at + 1 :]
-            if len(word) >= LETTERS:
-                yield word, n
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lower, found = Lower(), defaultdict(int)
+    """The words of each text as they are counted, summed up to REMEMBER different ones; a word can come more than once."""
+    found: dict[bytes, int] = defaultdict(int)
 
     def out() -> pa.RecordBatch:
-        rows = pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
+        rows = pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()).cast(pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
         found.clear()
         return rows
 
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            for word, n in words_of(doc_id, text.as_py(), lower):
+            start = crc32(b"%s:" % (b"" if doc_id is None else str(doc_id).encode()))
+            for run, n in Counter(RUN.findall(text.as_py() or "")).items():
+                word = run.encode().lower()
+                h = crc32(word, start)
+                if not h % EVERY:
+                    at = h % len(run)
+                    if len(run) == LETTERS:
+                        continue
+                    word = (run[:at] + run[at + 1 :]).encode().lower()
                 found[word] += n
-                if len(found) >= REMEMBER:
-                    yield out()
+            if len(found) >= REMEMBER:
+                yield out()
     yield out()
 
 
@@ -155,19 +138,27 @@ def near_in(rows: Iterator[tuple]) -> Iterator[tuple[tuple, tuple]]:
             passing = chain([row], rows)
             break
         shard.append(row)
+    made = [grams(r[1]) for r in shard]
     index: dict[tuple, list[int]] = defaultdict(list)
     for i, row in enumerate(shard):
-        for at, gram in enumerate(grams(row[1])):
+        for at, gram in enumerate(made[i]):
             index[row[0], at, gram].append(i)
     for row in chain((r for r in shard if not r[0]), passing):
         found = grams(row[1])
         same = [x for at, g in enumerate(found) if (x := index.get((0, at, g)))]
-        longer = [x for at, g in enumerate(found) for p in (at, at + 1) if (x := index.get((1, p, g)))]
-        # a longer half has one gram more; one edit spoils Q grams of the longer of two halves
-        for lists, least in ((same, len(found) - Q), (longer, len(found) + 1 - Q)):
-            for i, hits in groupby(heapq.merge(*lists)):
-                if sum(1 for _ in hits) >= least and one_edit(row[1], shard[i][1]):
-                    yield row, shard[i]
+        # a letter inserted before a gram moves it by one place
+        longer = [x for at, g in enumerate(found) if (x := sorted({*index.get((1, at, g), ()), *index.get((1, at + 1, g), ())}))]
+        # one edit spoils Q grams of the longer of two halves, which has one gram more if it is longer
+        for lists, least, shift in ((same, len(found) - Q, 0), (longer, len(found) + 1 - Q, 1)):
+            # what comes up in ``least`` lists comes up in one of the others too: the longest are not merged but counted
+            lists.sort(key=len)
+            last = None
+            for i in heapq.merge(*lists[: max(0, len(lists) - least + 1)]):
+                if i != last:
+                    last, there = i, made[i]
+                    overlap = sum(map(eq, found, there)) + (sum(map(eq, found, there[1:])) if shift else 0)
+                    if overlap >= least and one_edit(row[1], shard[i][1]):
+                        yield row, shard[i]
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +190,10 @@ def near_words(words: DataFrame) -> DataFrame:
     """word, n -> a, na, b, nb: every pair of words one edit apart, once."""
     key = ["size", "last", "half", "block"]
     rows = _blocks(_shards(words)).select(*key, "longer", "other", "word", "n", "indexed")
-    return rows.repartition(*key).sortWithinPartitions(*key, F.desc("indexed")).mapInArrow(_pairs, "a string, na long, b string, nb long")
+    # the work of a part is not in its bytes: parts are not put together
+    spark = words.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(parts, *key).sortWithinPartitions(*key, F.desc("indexed")).mapInArrow(_pairs, "a string, na long, b string, nb long")
 
 
 def _roots(forms: DataFrame) -> DataFrame:
