@@ -15,6 +15,7 @@ from tesserine.functions import vectors as V
 from tesserine.operators import compiling, documents, fulltext, graph, neighbours, queueing, search, writing
 from tesserine.sinks import folder, stored
 from tesserine.streaming import queue
+from tesserine.streaming import runs as lives
 
 QUERY, WORD, LIMIT = "the that", "the", 20
 AS_OF = "2024-06-01 00:00:00"
@@ -607,6 +608,15 @@ def stream_first_seen(s, d):
     return queue.drain(kept.select("user_id", "event_type"), "first-seen")
 
 
+def stream_run_lives(s, d):
+    """Transitions, retries, reclaims and refused rows of all runs, by keyed state with event-time timers."""
+    s.conf.set(*lives.PROVIDER)
+    kind = F.col("event_type")
+    status = F.when(kind == "error", "failed").when(kind == "purchase", "succeeded").when(kind == "signup", "queued").otherwise("running")
+    messages = _events(s, d).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), "ts", status.alias("status"))
+    return queue.drain(lives.lives(messages), "run-lives")
+
+
 _FAILED = ", f as (select *, row_number() over (partition by run_id order by ts, seq) as attempt from kb_runs where status = 'failed')"
 _RULES = ", ".join(f"greatest({float(a)}::double, least({float(b)}::double, v)) as {n}" for n, (_, a, b) in {**search.RULES, **search.COMPILE_RULES}.items())
 _LINES = "case when {0} is null or {0} = '' then [] when ends_with({0}, chr(10)) then string_split({0}, chr(10))[:-2] else string_split({0}, chr(10)) end"
@@ -764,6 +774,7 @@ with t as (select conv_id as doc_id, turn, list_distinct(list_filter(regexp_spli
 m as (select a.doc_id, a.turn as chunk_idx, b.turn as para_no, len(list_intersect(a.w, b.w)) as overlap from t a join t b on b.doc_id = a.doc_id where b.turn % 2 = 0)
 select doc_id, chunk_idx, arg_max(para_no, row(overlap, -para_no)) as para_no, max(overlap) as overlap from m where overlap >= 3 group by 1, 2"""),
     (stream_routes, K.with_views(_FAILED + " select run_id, seq, attempt, case when attempt < 3 then 'retry' else 'dead' end as route from f")),
+    (stream_run_lives, None),
     (stream_first_seen, "select distinct user_id, event_type from events"),
 ]
 
