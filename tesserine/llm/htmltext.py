@@ -18,9 +18,12 @@ neighbour, where there is one, shares them as well: it may differ from the page
 a date only.
 
 The sorted pages are divided into ranges by sampled keys.  A first pass over the
-hashes of the lines finds the pages at the edges of each range, so the text does
-not depend on how the pages are divided; only a page that more than EDGE differing
-pages at an edge hold whole is taken to have no neighbour there.
+hashes of the lines writes the pages at the edges of each range to files, which the tasks
+of the ranges beside it read as far as they need them, so the text does not depend on how the
+pages are divided.
+
+The header of an article is part of it, as are footer and aside in a quotation inside it.
+An article named as a comment, a reply or a card of another page is none.
 
 Defined results: a null or empty html gives an empty text; a page without lines is
 no neighbour; a null URL is a host of its own; repeated rows are pages of their own,
@@ -30,18 +33,21 @@ with equal results; an empty table gives an empty result; extra columns are left
 from __future__ import annotations
 
 import html as entities
+import pickle
 import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, shared_dir
+from .store import Source, new_file, write
 
 # Element names by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,7 +69,7 @@ NAMES = frozenset(
 )
 EDGES = frozenset("header masthead footer banner notice notices notification social overlay discussion widget toolbar".split())
 SITE = frozenset("site page global main top bottom left right container wrapper wrap bar box area fixed sticky cookie cookies".split())
-BESIDE = SITE | EDGES | frozenset("primary secondary inner outer list links link item items block section panel slot unit form button buttons icons thread article articles post posts story stories news user users reader readers".split())
+BESIDE = SITE | EDGES | frozenset("primary secondary inner outer list links link item items block section panel slot unit form button buttons icons thread article articles post posts story stories news user users reader readers card cards body".split())
 # Elements whose class and id names count: no text of an article goes for the name of its own line.
 CONTAINERS = BLOCKS - frozenset("html body article main p h1 h2 h3 h4 h5 h6 pre br hr title".split())
 
@@ -86,14 +92,30 @@ def _marks(name: str) -> bool:
     return any(w in EDGES for w in words) and all(w in EDGES or w in SITE for w in words)
 
 
-def _unwanted(name: str, attributes: str) -> bool:
-    """Does an element by its name or attributes hold no article text?"""
-    if name in DROPPED:
+def _marks_article(name: str, nested: bool) -> bool:
+    """The same for an article: one word is enough inside another article, else all words have to say so."""
+    words = [w.lower() for w in NAME_WORD.findall(name)]
+    return any(w in NAMES for w in words) and (nested or all(w in NAMES or w in BESIDE for w in words))
+
+
+def _unwanted(name: str, attributes: str, kind: int, quoted: bool) -> bool:
+    """Does an element by its name or attributes hold no article text?
+
+    The header of an article (or main part) is its headline, and footer or aside in a
+    quotation in it are part of the quotation.
+    """
+    inside = kind != FREE and (name == "header" or (quoted and name in ("footer", "aside")))
+    if name in DROPPED and not inside:
         return True
-    if not attributes.strip() or name in ("html", "body", "article", "main"):
+    if not attributes.strip() or name in ("html", "body", "main"):
         return False
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "")
+        if name == "article":
+            # a comment or a card of another page is often an article of its own
+            if key in ("class", "id") and any(_marks_article(v, kind == ARTICLE) for v in value.split()):
+                return True
+            continue
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "role" and value.lower() in ROLES) or (key == "style" and HIDDEN.search(value)):
             return True
         if key in ("class", "id") and name in CONTAINERS and any(map(_marks, value.split())):
@@ -127,6 +149,9 @@ class _Open:
     def kind(self) -> int:
         return self._stack[-1][2] if self._stack else FREE
 
+    def holds(self, name: str) -> bool:
+        return self._all[name] > 0
+
     def push(self, name: str, dropped: bool, kind: int) -> None:
         self._stack.append((name, dropped, kind))
         self._all[name] += 1
@@ -231,7 +256,7 @@ def lines_of(source: str) -> list[tuple[int, str]]:
             continue
         if name in CLOSES_P or name in SIBLINGS:
             opened.close_all({"p"} | SIBLINGS.get(name, set()))
-        dropped, kind = opened.dropped or _unwanted(name, attributes), opened.kind
+        dropped, kind = opened.dropped or _unwanted(name, attributes, opened.kind, opened.holds("blockquote")), opened.kind
         if name not in BLOCKS:
             if dropped:
                 opened.push(name, True, kind)
@@ -329,18 +354,30 @@ class _Before:
         self.last = (mine, node)
 
 
-#: Differing pages that are kept of each edge of a range.
+#: Pages of each edge of a range that are read at once; the others stand in a second file, which is read if these do not do.
 EDGE = 8
+#: Files of edges that a task remembers.
+RECALL = 8
+
+
+@lru_cache(RECALL)
+def _edge_file(uri: str) -> tuple[list[tuple], list[tuple]]:
+    with Source(uri) as source:
+        return pickle.loads(source.range(0, source.size()))
 
 
 class _Edges(dict):
-    """Range -> host and pages of its start, host and pages of its end, and whether all of it is one host."""
+    """Range -> host of its start, host of its end, whether all of it is one host, and the files with the pages of both ends."""
+
+    def _pages(self, k: int, end: int) -> Iterator[tuple]:
+        for uri in self[k]["files"]:
+            yield from _edge_file(uri)[end]
 
     def before(self, at: int, host: str) -> Iterator[tuple]:
         for k in sorted((k for k in self if k < at), reverse=True):
             if self[k]["last"] != host:
                 return
-            yield from self[k]["tail"]
+            yield from self._pages(k, 1)
             if not self[k]["one"]:
                 return
 
@@ -348,7 +385,7 @@ class _Edges(dict):
         for k in sorted(k for k in self if k > at):
             if self[k]["first"] != host:
                 return
-            yield from self[k]["head"]
+            yield from self._pages(k, 0)
             if not self[k]["one"]:
                 return
 
@@ -401,29 +438,35 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out.filter(pa.array([len(x) > 0 for x in lines]))
 
 
-def _edge_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First and last pages of each range."""
-    schema = pa.schema([("part", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("one", pa.bool_()), ("head", pa.list_(pa.list_(pa.int64()))), ("tail", pa.list_(pa.list_(pa.int64())))])
+def _edge_pages(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Hosts and files of the first and last pages of each range; the files hold line hashes."""
+    schema = pa.schema([("part", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("one", pa.bool_()), ("files", pa.list_(pa.string()))])
     part = first = host = None
-    head, before, done = [], _Before(), []
+    head, before = [], _Before()
 
-    def told() -> dict:
-        return {"part": part, "first": first, "last": host, "one": first == host, "head": head, "tail": [*islice(before, EDGE)]}
+    def told() -> pa.RecordBatch:
+        ends, files = (head, [*before]), []
+        for some in (slice(0, EDGE), slice(EDGE, None)):
+            near = tuple(e[some] for e in ends)
+            if any(near):
+                files.append(new_file(folder, ".edge"))
+                write(files[-1], pickle.dumps(near))
+        return pa.RecordBatch.from_pylist([{"part": part, "first": first, "last": host, "one": first == host, "files": files}], schema)
 
     for batch in batches:
         for k, h, lines in zip(*(batch.column(c).to_pylist() for c in ("part", "host", "lines")), strict=True):
             mine = tuple(lines)
             if k != part:
                 if part is not None:
-                    done.append(told())
+                    yield told()
                 part, first, host, head, before = k, h, h, [], _Before()
             if h != host:
                 host, before = h, _Before()
-            if h == first and len(head) < EDGE and not (head and _holds(mine, head[-1])):
+            if h == first and not (head and _holds(mine, head[-1])):
                 head.append(mine)
             before.add(mine)
     if part is not None:
-        yield pa.RecordBatch.from_pylist([*done, told()], schema)
+        yield told()
 
 
 def _extract(batches: Iterator[pa.RecordBatch], edges: _Edges) -> Iterator[pa.RecordBatch]:
@@ -487,8 +530,10 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     rows = _with_range(rows, order, ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     hashed = materialise(rows.select("part", *order, "html").mapInArrow(_hashed, "part int, host string, path string, page_id long, lines array<long>"), "lines")
     ends = hashed.repartitionByRange("part").sortWithinPartitions("part", *order)
-    ends = ends.mapInArrow(_edge_pages, "part int, first string, last string, one boolean, head array<array<long>>, tail array<array<long>>").collect()
-    sent = spark.sparkContext.broadcast({r["part"]: {**r.asDict(), "head": [*map(tuple, r["head"])], "tail": [*map(tuple, r["tail"])]} for r in ends})
+    folder = shared_dir(spark, "edges")
+    # one row for each range: two hosts and the names of two files; the pages stay in the files
+    ends = materialise(ends.mapInArrow(lambda batches: _edge_pages(batches, folder), "part int, first string, last string, one boolean, files array<string>"), "edge-files").collect()
+    sent = spark.sparkContext.broadcast({r["part"]: r.asDict() for r in ends})
     near = rows.repartitionByRange("part").sortWithinPartitions("part", *order)
     return near.mapInArrow(lambda batches: _extract(batches, _Edges(sent.value)), "page_id long, url string, text string, n_chars long")
 

@@ -27,6 +27,14 @@ def test_one_word_of_a_name_drops_no_article_text():
         assert texts(f'<article>text<div class="{name}">x</div></article>') == ["text"], name
 
 
+def test_headlines_stay_and_articles_of_others_go():
+    assert texts("<header>Site</header><article><header><h1>Title of it</h1><p>By A</p></header><p>text</p><footer>tags</footer></article><footer>end</footer>") == ["Title of it", "By A", "text"]
+    assert texts("<article><blockquote>said<aside>aside</aside><footer>the author</footer></blockquote><aside>advert</aside></article>") == ["said", "aside", "the author"]
+    assert texts('<article>a</article><section class="discussion-thread"><article class="reply"><p>a reader says</p></article></section><article class="related-card">card</article>') == ["a"]
+    assert texts('<article class="post has-comments"><p>text</p><article id="div-comment-7" class="comment-body">said</article></article>') == ["text"]
+    assert texts('<article class="news-post"><header class="share-buttons">x</header>y</article><blockquote><footer>z</footer></blockquote>') == ["y"]
+
+
 def test_references_and_blanks():
     assert texts("<p>&eacute;&#00000000065;&#65;&#x42; &amp;amp; a&nbsp;\n\t b &#" + "9" * 6000 + ";</p>") == ["éAAB &amp; a b �"]
     assert texts("<p>1 < 2 <3 and <b>x</b> < y") == ["1 < 2 <3 and x < y"]
@@ -78,7 +86,7 @@ def plain_extract(rows):
     return out
 
 
-def test_differencing_against_plain_pairs(spark):
+def test_differencing_against_plain_pairs(spark, monkeypatch):
     rng = random.Random(5)
     rows = []
     for k in range(90):
@@ -92,7 +100,8 @@ def test_differencing_against_plain_pairs(spark):
     want = plain_extract(rows)
     assert sum("menu" not in t for t in want.values()) > 60 and any("passage" in t for t in want.values())
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
-    for ranges in (1, 2, 50):
+    for ranges, edge in ((1, 8), (2, 1), (50, 8), (50, 1)):
+        monkeypatch.setattr(htmltext, "EDGE", edge)
         assert {r["page_id"]: r["text"] for r in htmltext.extract(pages, ranges).collect()} == want
 
 
