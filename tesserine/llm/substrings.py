@@ -32,17 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.session import spread
 
-from .common import SMALL, clearing, materialise, table
-from .jaccard import Words
+from .common import clearing, materialise, table
 
 LENGTH, SEED = 13, 5
 REACH = LENGTH - SEED
+#: All windows around an anchor.
+WHOLE = (1 << (REACH + 1)) - 1
 #: Documents of one Arrow batch that leaves a task.
 ROWS = 200
 #: Two families of odd multipliers: one for anchors, one for extensions and windows.
@@ -50,12 +50,59 @@ _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 LAST = 2**63 - 1
 
 
-def split(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
+def split(text: bytes | None) -> list[bytes]:
+    return (text or b"").split()
 
 
-def hashed(found: list[bytes], words: Words) -> np.ndarray:
-    return np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
+class Powers:
+    """Powers of a multiplier and of its inverse modulo 2^64, as many as the longest piece of text has needed."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(0, np.uint64)
+
+    def grow(self, n: int) -> None:
+        if len(self.up) < n:
+            by = int(_ONE) | 1
+            self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(n, x % 2**64, np.uint64))) for x in (by, pow(by, -1, 2**64)))
+
+
+#: Bytes of text whose sums are held at once; a longer word is one piece.
+PIECE = 1 << 20
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+
+
+def hashed(texts: pa.Array, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of some texts, one after the other, and the number of its text.
+
+    A word's hash is the polynomial of its bytes, taken from running sums over the
+    text: no word is a Python object.
+    """
+    raw = texts.cast(pa.large_binary()).fill_null(b"")
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    _, at, data = raw.buffers()
+    edge = np.frombuffer(at, np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(data, np.uint8)[edge[0] : edge[-1]] if data is not None else np.zeros(0, np.uint8)
+    edge = edge - edge[0]
+    blank = _BLANK[data]
+    starts, stops = ~blank, ~blank
+    starts[1:] &= blank[:-1]
+    stops[:-1] &= blank[1:]
+    first, last = edge[:-1][edge[:-1] < len(data)], edge[1:][edge[1:] > 0] - 1
+    starts[first], stops[last] = ~blank[first], ~blank[last]
+    begin, end = np.flatnonzero(starts), np.flatnonzero(stops) + 1
+    out, k = np.empty(len(begin), np.uint64), 0
+    while k < len(begin):
+        stop = max(k + 1, int(np.searchsorted(end, begin[k] + PIECE)))
+        base, size = begin[k], int(end[stop - 1] - begin[k])
+        powers.grow(size)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum((data[base : base + size].astype(np.uint64) + np.uint64(1)) * powers.up[:size], out=sums[1:])
+        b, e = begin[k:stop] - base, end[k:stop] - base
+        h = (sums[e] - sums[b]) * powers.down[b]
+        out[k:stop] = (h ^ (h >> np.uint64(32))) * _TWO
+        k = stop
+    return out, np.searchsorted(edge, begin, "right") - 1
 
 
 def _runs(w: np.ndarray, size: int, by: np.uint64) -> np.ndarray:
@@ -69,54 +116,68 @@ def _runs(w: np.ndarray, size: int, by: np.uint64) -> np.ndarray:
 
 
 def anchors(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all seeds and the anchor of each window (where it begins), of a document's word hashes."""
+    """The hashes of all seeds, and where the anchor of each window begins: the first of its smallest seeds."""
     seeds = _runs(w, SEED, _ONE)
     if len(w) < LENGTH:
         return seeds, np.zeros(0, np.int64)
-    return seeds, np.arange(len(w) - LENGTH + 1) + sliding_window_view(seeds, REACH + 1).argmin(1)
+    low, where, wide = seeds, np.arange(len(seeds)), 1
+    while wide < REACH + 1:
+        by = min(wide, REACH + 1 - wide)
+        left = low[:-by] <= low[by:]
+        low, where, wide = np.where(left, low[:-by], low[by:]), np.where(left, where[:-by], where[by:]), wide + by
+    return seeds, where
 
 
-def _extensions(w: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hashes of the anchors with all words in reach; the ends of the document are words of their own."""
-    edge = np.zeros(REACH, np.uint64)
-    padded = np.concatenate([edge, w, edge])
+def _extensions(w: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the anchors with all words in reach; beyond the ends of a document stands a word of its own."""
     h = np.full(len(at), LENGTH, np.uint64)
-    for i in range(SEED + 2 * REACH):
-        h = (h ^ padded[at + i]) * _TWO
+    own = doc[at]
+    for i in range(-REACH, SEED + REACH):
+        near = np.clip(at + i, 0, len(w) - 1)
+        inside = (doc[near] == own) & (near == at + i)
+        h = (h ^ np.where(inside, w[near], np.uint64(0))) * _TWO
         h ^= h >> np.uint64(31)
     return h
 
 
+def _located(part: pa.RecordBatch, powers: Powers) -> tuple[np.ndarray, ...]:
+    """Word hashes, their documents, all seeds, and begin and anchor of each window that is one document's."""
+    w, doc = hashed(part.column("text"), powers)
+    seeds, chosen = anchors(w)
+    begin = np.flatnonzero(doc[: len(chosen)] == doc[LENGTH - 1 :][: len(chosen)])
+    return w, doc, seeds, begin, chosen[begin]
+
+
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every anchor of each document once, with its extension and place."""
-    words = Words()
+    powers = Powers()
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
-            found = []
-            for t in part.column("text").to_pylist():
-                w = hashed(split(t), words)
-                seeds, chosen = anchors(w)
-                place = np.unique(chosen)
-                found.append((seeds[place], _extensions(w, place), place))
-            size = [len(f[2]) for f in found]
-            who = np.repeat(np.arange(len(size)), size)
+            w, doc, seeds, _, chosen = _located(part, powers)
+            chosen = chosen[np.diff(chosen, prepend=-1) > 0]  # in order: neighbouring windows have the same anchor or a later one
+            who = doc[chosen]
+            first = np.searchsorted(doc, who)
             row = [part.column(c).take(pa.array(who)) for c in ("doc", "sig")]
-            anchor, ext, place = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(ext.view(np.int64)), *row, pa.array(place, pa.int32())], ["anchor", "ext", "doc", "sig", "pos"])
+            hashes = [pa.array(x.view(np.int64)) for x in (seeds[chosen], _extensions(w, doc, chosen))]
+            yield pa.RecordBatch.from_arrays([*hashes, *row, pa.array(chosen - first, pa.int32())], ["anchor", "ext", "doc", "sig", "pos"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of the anchors at the places ``pos`` of each document: how far each begins from its anchor (``shift``)."""
-    words = Words()
+    powers = Powers()
     for batch in batches:
-        for r in range(batch.num_rows):
-            w = hashed(split(batch.column("text")[r].as_py()), words)
-            seeds, chosen = anchors(w)
-            begin = np.flatnonzero(np.isin(chosen, batch.column("pos")[r].values.to_numpy()))
-            at = chosen[begin]
-            hashes = [x.view(np.int64) for x in (seeds[at], _extensions(w, at), _runs(w, LENGTH, _TWO)[begin])]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, hashes), pa.array(np.full(len(begin), batch.column("doc")[r].as_py(), np.int64)), pa.array(begin - at, pa.int32())], ["anchor", "ext", "window", "doc", "shift"])
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            w, doc, seeds, begin, chosen = _located(part, powers)
+            wanted = part.column("pos")
+            who = np.repeat(np.arange(len(wanted)), np.diff(wanted.offsets.to_numpy()))
+            asked = np.zeros(len(w) + 1, bool)
+            asked[np.searchsorted(doc, who) + wanted.flatten().to_numpy()] = True
+            keep = asked[chosen]
+            begin, chosen = begin[keep], chosen[keep]
+            hashes = [pa.array(x.view(np.int64)) for x in (seeds[chosen], _extensions(w, doc, chosen), _runs(w, LENGTH, _TWO)[begin])]
+            yield pa.RecordBatch.from_arrays([*hashes, part.column("doc").take(pa.array(doc[begin])), pa.array(begin - chosen, pa.int32())], ["anchor", "ext", "window", "doc", "shift"])
 
 
 def maximal(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,10 +196,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
             total, gone, kept, cut = [], [], [], []
-            for t, found in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
+            for t, found in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("spans").to_pylist(), strict=True):
                 w = split(t)
-                pairs = np.array([(s["begin"], s["end"]) for s in found or []], np.int64).reshape(-1, 2)
-                begin, end = maximal(np.maximum(pairs[:, 0], 0), np.minimum(pairs[:, 1], len(w)))
+                if not found:
+                    total.append(len(w))
+                    gone.append(0)
+                    kept.append(b" ".join(w))
+                    cut.append([])
+                    continue
+                pos, mask = np.array([(x["pos"], x["mask"]) for x in found], np.int64).T
+                begin = np.concatenate([pos[mask >> i & 1 == 1] - i for i in range(REACH + 1)])
+                begin = begin[(begin >= 0) & (begin <= len(w) - LENGTH)]
+                begin, end = maximal(begin, begin + LENGTH)
                 left, last = [], 0
                 for b, e in zip(begin.tolist(), end.tolist(), strict=True):
                     left += w[last:b]
@@ -146,19 +215,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 left += w[last:]
                 total.append(len(w))
                 gone.append(len(w) - len(left))
-                kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
+                kept.append(b" ".join(left))
                 cut.append([{"begin": b, "end": e} for b, e in zip(begin.tolist(), end.tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept), pa.array(cut, spans)], ["doc_id", "n_words", "n_removed", "kept", "repeats"])
-
-
-def _by_row(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """Join of texts with one row a text, which is broadcast only if it was counted to be small (see SMALL; its lists are counted too)."""
-    size = found.agg(F.sum(F.size(found.columns[-1]))).head()[0] or 0
-    return docs.join(F.broadcast(found) if size <= SMALL else found, ["doc", "sig"], how)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(cut, spans)], ["doc_id", "n_words", "n_removed", "kept", "repeats"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc (the id, LAST for none), sig (hash of the text), text -> doc, sig, spans: repeated words, not yet merged.
+    """doc (the id, LAST for none), sig (hash of the text), text -> doc, sig, spans: repeated windows around anchors, not yet merged.
+
+    A span is the place of an anchor and a mask: bit i stands for the window that begins i words before it.
 
     To be called inside ``clearing``.
     """
@@ -171,18 +236,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     # where a match ends within reach
     several = materialise(leads.groupBy("anchor").agg(F.max(F.col("doc") > F.col("first")).alias("more")).filter("more").select("anchor"), "several")
     ends = leads.join(several, "anchor", "left_semi").groupBy("doc", "sig").agg(F.collect_set("pos").alias("pos"))
-    windows = _by_row(docs, materialise(ends, "ends"), "inner").select("doc", "text", "pos")
+    windows = docs.join(materialise(ends, "ends"), ["doc", "sig"]).select("doc", "text", "pos")
     windows = materialise(windows.mapInArrow(_windows, "anchor long, ext long, window long, doc long, shift int"), "windows")
     lowest = materialise(windows.groupBy("anchor", "window").agg(F.min("doc").alias("lowest")), "lowest")
-    parts = windows.join(lowest, ["anchor", "window"]).filter("doc > lowest").groupBy("anchor", "ext").agg(F.collect_set("shift").alias("shifts"))
+    parts = windows.join(lowest, ["anchor", "window"]).filter("doc > lowest").groupBy("anchor", "ext").agg(F.bit_or(F.expr("shiftleft(1, -shift)")).alias("part"))
 
     # every place of a class behind its first document is a repeat as far as it reaches, the others by windows
     leads = materialise(leads.select("anchor", "ext", F.col("doc").alias("lead")).join(parts, ["anchor", "ext"], "left"), "extended")
-    found = met.join(leads, ["anchor", "ext"]).filter("doc > lead or shifts is not null")
-    one = lambda begin, end: F.struct(begin.cast("int").alias("begin"), end.cast("int").alias("end"))
-    pos = F.col("pos")
-    spans = F.when(F.col("doc") > F.col("lead"), F.array(one(pos - REACH, pos + LENGTH))).otherwise(F.transform("shifts", lambda x: one(pos + x, pos + x + LENGTH)))
-    return found.select("doc", "sig", F.explode(spans).alias("span")).groupBy("doc", "sig").agg(F.collect_set("span").alias("spans"))
+    found = met.join(leads, ["anchor", "ext"]).filter("doc > lead or part is not null")
+    mask = F.when(F.col("doc") > F.col("lead"), F.lit(WHOLE)).otherwise(F.col("part"))
+    return found.select("doc", "sig", "pos", mask.alias("mask")).groupBy("doc", "sig").agg(F.collect_list(F.struct("pos", "mask")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -191,7 +254,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     marked = marked.withColumns({"doc": F.coalesce("doc_id", F.lit(LAST)), "sig": F.xxhash64("text")})
     with clearing(docs.sparkSession):
         spans = materialise(repeats(marked.select("doc", "sig", "text")), "spans", keep=True)
-    return _by_row(marked, spans, "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string, repeats array<struct<begin:int,end:int>>")
+    return marked.join(spans, ["doc", "sig"], "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string, repeats array<struct<begin:int,end:int>>")
 
 
 def op11_seed_extend_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from tesserine.llm import fim, queries, spelling, substrings
@@ -73,6 +74,21 @@ def test_repeats_are_maximal_and_long_enough(spark):
     assert [tuple(s) for s in got[2]] == [(1, 21), (22, 35)] and got[1] == []
 
 
+def test_words_are_hashed_as_they_are_divided():
+    """Across texts of one batch, pieces of every size, empty and null texts, words next to the edges."""
+    texts = ["a b  a", None, "", "b", "ab a", " é\x0bé\x85 x", "y" * 5000, "\n", "b a"]
+    want = [w for t in texts for w in (t or "").encode().split()]
+    where = [i for i, t in enumerate(texts) for _ in (t or "").encode().split()]
+    for piece, cut in ((1, 0), (7, 0), (1 << 20, 0), (3, 1)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(substrings, "PIECE", piece)
+            skip = len((texts[0] or "").split()) if cut else 0
+            h, doc = substrings.hashed(pa.array(texts).slice(cut), substrings.Powers())
+        assert doc.tolist() == [i - cut for i in where[skip:]]
+        told = dict(zip(want[skip:], h.tolist(), strict=True))
+        assert len(set(told.values())) == len(told) and [told[w] for w in want[skip:]] == h.tolist()
+
+
 def test_every_equal_window_has_an_equal_anchor():
     import numpy as np
 
