@@ -13,14 +13,14 @@ WIDTH = 20_000
 
 
 def running(df: DataFrame, keys: Sequence[str], order: str, counts: dict[str, Column], width: int = WIDTH) -> DataFrame:
-    """``df`` with a column for each of ``counts``: how many rows of the key up to and with this one have the flag.
+    """``df`` with a column for each of ``counts``: how many rows of the key up to and with this one have the flag, or the sum of a number.
 
     ``order`` is a whole number that a key has once, so a part (``width`` numbers of
     it) holds at most ``width`` rows of a key.  A hot key is many parts in many
     tasks; what is put in one task are its parts' totals, one row for ``width`` rows.
     """
     part = F.floor(F.col(order) / width).alias("_part")
-    flags = {f"_is_{name}": F.coalesce(flag, F.lit(False)).cast("long") for name, flag in counts.items()}
+    flags = {f"_is_{name}": F.coalesce(flag.cast("long"), F.lit(0)) for name, flag in counts.items()}
     rows = df.withColumns(flags).withColumn("_part", part)
     totals = rows.groupBy(*keys, "_part").agg(*[F.sum(c).alias(c) for c in flags])
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
