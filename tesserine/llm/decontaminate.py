@@ -18,7 +18,7 @@ no evidence inside a longer text: they match a document that has their words and
 no others.  An item that gets too few keys from all repetitions gets keys of a walk
 that always moves on, so every item has one.
 
-The items are dealt by row number into blocks of a bounded number of words.  Tasks
+The items are dealt in the order of their rows into blocks of a bounded number of words.  Tasks
 build the index of each block and write it to the shared folder; each block is one
 pass over the documents, whose tasks read the index once a worker.
 
@@ -38,9 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserine.operators.scans import running
 from tesserine.session import spread
 
-from .common import materialise, shared_dir
+from .common import materialise, shared_dir, small_or_shuffled
 from .store import Source, new_file, write
 
 MIN_WORDS, RATE, LEAST_EDITED = 5, 5, 10
@@ -221,12 +222,15 @@ def index_files(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[st
     """Files with the indexes of all items, each of about ``block_words`` words."""
     spark = benchmark.sparkSession
     items = materialise(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn("row", F.monotonically_increasing_id()), "items")
-    words = items.agg(F.sum(F.coalesce(F.regexp_count("text", F.lit(r"[^\W_]+")), F.lit(0)) + 1)).first()[0] or 0
-    n = -(-words // block_words)
-    if not n:
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\W_]+")), F.lit(0)) + 1
+    # an item goes where the words before it end: a block has block_words words and the rest of one item at most
+    placed = running(items.withColumns({"words": words, "all": F.lit(0)}), ["all"], "row", {"upto": F.col("words")})
+    placed = placed.withColumn("block", F.floor((F.col("upto") - F.col("words")) / block_words))
+    n = placed.agg(F.max("block")).first()[0]
+    if n is None:
         return []
     folder = shared_dir(spark, "benchmark-index")
-    dealt = items.select((F.col("row") % n).alias("block"), "item_id", "text", "row").repartition(n, "block").sortWithinPartitions("block", "row")
+    dealt = placed.select("block", "item_id", "text", "row").repartition(n + 1, "block").sortWithinPartitions("block", "row")
     built = materialise(dealt.mapInArrow(lambda it: _build(it, folder), "block long, uri string"), "index-files")
     return [r["uri"] for r in built.orderBy("block").collect()]
 
@@ -267,20 +271,29 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` that match no item, with unchanged columns."""
-    schema = docs.schema
+    """The rows of ``docs`` that match no item, with unchanged columns.
+
+    Each block is a pass of its own, with one index in memory a worker; what is gathered
+    are the marks (md5) of the texts that match, which then leave ``docs`` by one anti join.
+    """
+    mark, found = "_mark" + "_" * max(map(len, docs.columns)), None
+    rows = docs.select(F.md5("text").alias(mark), "text")
     for uri in index_files(benchmark, block_words):
 
         def run(batches: Iterator[pa.RecordBatch], uri=uri) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, SLICE):
                     some = batch.slice(at, SLICE)
-                    clean = np.ones(some.num_rows, bool)
-                    clean[[m[0] for m in _load(uri).matches(some.column("text").to_pylist())]] = False
-                    yield some.filter(pa.array(clean))
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+                    hit = sorted({m[0] for m in _load(uri).matches(some.column("text").to_pylist())})
+                    if hit:
+                        yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(hit))], [mark])
+
+        part = rows.mapInArrow(run, f"{mark} string")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return docs
+    found = materialise(found.distinct(), "contaminated")
+    return small_or_shuffled(docs.withColumn(mark, F.md5("text")), found, mark, "left_anti").drop(mark)
 
 
 def op9_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
