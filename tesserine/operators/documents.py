@@ -159,22 +159,3 @@ def valid_tokens(tokens: DataFrame, as_of: str) -> DataFrame:
 def export_pages(documents: DataFrame) -> DataFrame:
     """Path and content of every live wiki and system page."""
     return documents.filter("not archived and kind in ('wiki', 'system')").select("path", "content_md")
-
-
-def apply_commands(documents: DataFrame, commands: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
-    """Documents after one append, replace or archive each, and a journal row per command.
-
-    commands: doc_id, surface, operation, old_text, new_text.  A refused command
-    changes nothing and tells why.
-    """
-    both = documents.join(commands.join(documents.select("doc_id", "policy", "path"), "doc_id"), ["doc_id", "policy", "path"], "left")
-    ruled = guarded(both)
-    text, old, new, op = F.col("content_md"), F.col("old_text"), F.col("new_text"), F.col("operation")
-    wrong = F.when((op == "replace") & (T.occurrences(text, old) != 1), "not exactly one match")
-    ruled = ruled.withColumn("error", F.when(op.isNotNull(), F.coalesce("error", wrong)))
-    runs = op.isNotNull() & F.col("error").isNull()
-    done = F.when(runs & (op == "append"), T.append_markdown(text, new)).when(runs & (op == "replace"), F.replace(text, old, new)).otherwise(text)
-    gone = F.col("archived") | (runs & op.isin("archive", "delete"))
-    journal = ruled.filter(op.isNotNull()).select("doc_id", "surface", "operation", "error", F.lit(as_of).cast("timestamp_ntz").alias("at"))
-    changed = ruled.select(*[c for c in documents.columns if c not in ("content_md", "archived")], done.alias("content_md"), gone.alias("archived"))
-    return changed, journal

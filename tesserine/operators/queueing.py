@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -90,6 +91,69 @@ def rates(df: DataFrame, at: str, keys: Sequence[str], seconds: int) -> DataFram
     return counted.withColumn("per_second", F.round(F.col("n") / float(seconds), 6))
 
 
+#: A quantile from sketches is off by no more than this share of it.
+ERROR = 0.01
+
+
+def sketches(df: DataFrame, at: str, keys: Sequence[str], value: str, seconds: int = 60, error: float = ERROR) -> DataFrame:
+    """keys, start, bucket, n: how many values of each piece of time lie in each bucket.
+
+    Buckets grow by the factor (1 + error) / (1 - error), so the middle of one is no further than
+    ``error`` from any of its values, whatever they are.  Counts of buckets add up: sketches of pieces, of
+    keys or of several runs are merged by a sum.  A bucket is a whole number whose sign is that of the values; that of
+    zero is null.  Null values and times are left out.
+    """
+    factor = math.log((1 + error) / (1 - error))
+    v = F.col(value)
+    # counted from far below so that positive numbers have positive buckets
+    nth = (F.ceil(F.log(F.abs(v)) / factor) + SHIFT).cast("long")
+    bucket = F.when(v > 0, nth).when(v < 0, -nth)
+    start = F.window(F.col(at), f"{seconds} seconds")["start"]
+    return df.filter(v.isNotNull() & F.col(at).isNotNull()).groupBy(*keys, start.alias("start"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+#: Larger than the number of any bucket: doubles reach to about e to the 745, down and up.
+SHIFT = 1_000_000_000
+
+
+def sliding_quantile(pieces: DataFrame, keys: Sequence[str], seconds: int, step: int, q: float, error: float = ERROR) -> DataFrame:
+    """keys, start, n, quantile of each window of ``seconds`` that begins every ``step`` seconds, from the sketches of its pieces.
+
+    The value at rank ceil(q n), to ``error`` of itself.  The pieces must not be longer
+    than ``step`` and divide it.  What is put in one task are the buckets of one window.
+    """
+    factor = math.log((1 + error) / (1 - error))
+    start = F.window(F.col("start"), f"{seconds} seconds", f"{step} seconds")["start"]
+    merged = pieces.groupBy(*keys, start.alias("start"), "bucket").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy(*keys, "start").orderBy(F.coalesce("bucket", F.lit(0)))
+    ranked = merged.withColumns({"_upto": F.sum("n").over(order), "_all": F.sum("n").over(Window.partitionBy(*keys, "start"))})
+    at = ranked.filter((F.col("_upto") >= F.ceil(F.lit(q) * F.col("_all"))) & (F.col("_upto") - F.col("n") < F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("_all")))))
+    low = F.exp((F.abs("bucket") - SHIFT - 1) * factor)
+    middle = low * (1 + error)
+    return at.select(*keys, "start", F.col("_all").alias("n"), F.coalesce(F.signum("bucket") * middle, F.lit(0.0)).alias("quantile"))
+
+
+def sliding_rates(df: DataFrame, at: str, keys: Sequence[str], seconds: int, step: int) -> DataFrame:
+    """keys, start, n, per_second for windows of ``seconds`` that begin every ``step`` seconds: counts of steps first, so each row is counted once."""
+    piece = F.window(F.col(at), f"{step} seconds")["start"]
+    counted = df.groupBy(*keys, piece.alias("start")).agg(F.count("*").alias("n"))
+    start = F.window(F.col("start"), f"{seconds} seconds", f"{step} seconds")["start"]
+    return counted.groupBy(*keys, start.alias("start")).agg(F.sum("n").alias("n")).withColumn("per_second", F.round(F.col("n") / float(seconds), 6))
+
+
+def increases(df: DataFrame, at: str, keys: Sequence[str], value: str, seconds: int, step: int) -> DataFrame:
+    """keys, start, increase: how much a counter has grown in each window; one that falls has begun again from zero.
+
+    Readings are in the order of ``at`` and value.  The first reading of a series adds nothing.
+    """
+    before = F.lag(value).over(Window.partitionBy(*keys).orderBy(at, value))
+    grown = df.withColumn("_by", F.when(F.col(value) >= before, F.col(value) - before).when(before.isNotNull(), F.col(value)).otherwise(F.lit(0)))
+    piece = F.window(F.col(at), f"{step} seconds")["start"]
+    counted = grown.groupBy(*keys, piece.alias("start")).agg(F.sum("_by").alias("increase"))
+    start = F.window(F.col("start"), f"{seconds} seconds", f"{step} seconds")["start"]
+    return counted.groupBy(*keys, start.alias("start")).agg(F.sum("increase").alias("increase"))
+
+
 def _last(runs: DataFrame) -> DataFrame:
     return runs.groupBy("run_id").agg(F.max_by("status", F.struct("ts", "seq")).alias("status"), F.max("ts").alias("ts"), F.count_if(F.col("status") == "failed").alias("failures"))
 

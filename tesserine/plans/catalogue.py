@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 from tesserine import tables as K
 from tesserine.functions import text as T
 from tesserine.functions import vectors as V
-from tesserine.operators import compiling, documents, fulltext, graph, neighbours, queueing, search, writing
+from tesserine.operators import compiling, documents, extracting, fulltext, graph, journal, neighbours, queueing, reading, search, writing
+from tesserine.session import spread
 from tesserine.sinks import folder, stored
 from tesserine.streaming import queue
 from tesserine.streaming import runs as lives
@@ -487,6 +488,23 @@ def event_rate(s, d):
     return queueing.rates(K.read(s, d, "events"), "ts", ["event_type"], 3600)
 
 
+def event_rate_sliding(s, d):
+    return queueing.sliding_rates(K.read(s, d, "events"), "ts", ["event_type"], 3600, 900)
+
+
+def quantile_sliding(s, d):
+    """The 95th percentile of every six hours, each hour, from sketches of each hour."""
+    pieces = queueing.sketches(K.read(s, d, "events"), "ts", ["event_type"], "value", 3600)
+    found = queueing.sliding_quantile(pieces, ["event_type"], 21600, 3600, 0.95)
+    return found.select("event_type", "start", "n", F.round("quantile", 6).alias("quantile"))
+
+
+def counter_increase(s, d):
+    """Growth of a counter of each user; the event's value as its reading."""
+    readings = K.read(s, d, "events").select("user_id", "ts", F.floor("value").alias("reading"))
+    return queueing.increases(readings, "ts", ["user_id"], "reading", 86400, 43200)
+
+
 def queue_depths(s, d):
     return queueing.depths(K.runs(s, d))
 
@@ -508,6 +526,85 @@ def search_limits(s, d):
     return K.read(s, d, "part").select("p_partkey", search.api_limit(size, F.lit(15)).alias("api"), search.agent_limit(size, F.lit(15)).alias("agent"))
 
 
+# --- extraction, reading, commands ------------------------------------------
+
+def extraction_entities(s, d):
+    """Every word of a document as a raw title; the first of each slug stays."""
+    words = K.read(s, d, "documents").select("doc_id", F.col("source").alias("source_title"), F.posexplode(F.split("text", "[ \n]")).alias("nth", "title"))
+    raw = words.withColumns({"entity_type": F.when(F.col("nth") % 3 == 0, "product"), "summary": F.when(F.col("nth") % 2 == 0, F.concat(F.lit("about "), "title"))})
+    return extracting.clean_entities(raw).select("doc_id", "slug", "nth", "title", "entity_type", "summary")
+
+
+def extraction_claims(s, d):
+    line = K.read(s, d, "lineitem")
+    conf = F.when(F.col("l_linenumber") % 3 > 0, F.col("l_discount") * 20 - 0.4)
+    raw = line.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("nth"), F.nullif("l_returnflag", F.lit("N")).alias("entity_title"), F.col("l_linestatus").alias("text"), conf.alias("confidence"), F.repeat("l_linestatus", F.lit(500)).alias("quote"))
+    return extracting.clean_claims(raw, 0.5).select("doc_id", "nth", "entity_title", "text", F.round("confidence", 6).alias("confidence"), F.length("quote").alias("quote_length"))
+
+
+def extraction_relations(s, d):
+    line = K.read(s, d, "lineitem")
+    raw = line.select((F.col("l_orderkey") % 1000).alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("nth"), F.replace("l_returnflag", F.lit("N"), F.lit("")).alias("source_title"), (F.col("l_suppkey") % 5).cast("string").alias("target_title"), F.when(F.col("l_linenumber") > 2, F.col("l_linestatus")).alias("relation_type"))
+    return extracting.clean_relations(raw).select("doc_id", "nth", "source_title", "target_title", "relation_type")
+
+
+def default_extraction(s, d):
+    """Claims that the extractor finds in all documents without a model."""
+    docs = spread(K.read(s, d, "documents").select("doc_id", "text", "source"))
+    return extracting.extract_clean(docs.select("doc_id", F.lit(0).alias("chunk_idx"), "text"), docs.select("doc_id", F.col("source").alias("title")))[1]
+
+
+def _globs(s, d):
+    """A pattern for each supplier and some for all."""
+    i = F.col("s_suppkey")
+    one = K.pick(i % 4, "wiki/source/doc-%d*", "/wiki/*/doc-%d.md", "/sources/source/doc-?%d.md", "*-%d?.md")
+    return K.read(s, d, "supplier").select(i.alias("pattern_id"), F.replace(one, F.lit("%d"), i.cast("string")).alias("pattern"))
+
+
+def pattern_list(s, d):
+    return reading.listed(K.documents(s, d).withColumn("status", F.lit("ready")), _globs(s, d)).select("pattern_id", "position", "line")
+
+
+def read_requests(s, d):
+    """A read of each conversation, by turn as page, by section, or whole, and of a pattern."""
+    docs = K.conversation_markdown(s, d).withColumns({"path": F.concat(F.lit("/wiki/c-"), F.col("doc_id").cast("string"), F.lit(".md")), "kind": F.lit("wiki"), "archived": F.lit(False)})
+    pages = _turns(s, d).select("doc_id", F.col("chunk_idx").alias("page_no"), "text")
+    n = F.col("doc_id")
+    asked = docs.select(n.alias("request_id"), F.when(n % 5 == 4, F.concat(F.lit("wiki/c-"), n.cast("string"), F.lit("?.md"))).otherwise(F.col("path")).alias("path"), F.when(n % 5 == 1, "1, 0-2").when(n % 5 == 2, "99").alias("pages"), F.when(n % 5 == 3, F.array(F.lit("Assistant"))).alias("sections"))
+    return reading.read(docs, pages, asked).select("request_id", F.sha2("text", 256).alias("hash"))
+
+
+def text_budget(s, d):
+    turns = _turns(s, d).select("doc_id", F.col("chunk_idx").alias("nth"), "text")
+    return reading.budgeted(turns, 700).select("doc_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("hash"))
+
+
+def _commands(s, d):
+    """Agents append to every wiki page and archive every third; a page is made for each nation, twice."""
+    pages, n = K.documents(s, d).filter("kind = 'wiki' and not archived"), F.col("doc_id")
+    no = F.lit(None).cast("string")
+    rest = lambda op, new: [F.lit("agent").alias("surface"), F.lit(op).alias("operation"), no.alias("title"), no.alias("kind"), no.alias("policy"), no.alias("old_text"), new.alias("new_text")]
+    adds = pages.select((n * 2).alias("seq"), "path", *rest("append", F.lit("a note")))
+    gone = pages.filter(n % 3 == 0).select((n * 2 + 1).alias("seq"), "path", *rest("delete", no))
+    made = K.read(s, d, "nation").select((-F.col("n_nationkey") * 2 - 2).alias("seq"), F.concat(F.lit("wiki/n/"), F.col("n_nationkey").cast("string"), F.lit(".md")).alias("path"), *rest("create", F.col("n_name")))
+    return adds.unionByName(gone).unionByName(made).unionByName(made.withColumn("seq", F.col("seq") + 1))
+
+
+def command_steps(s, d):
+    return journal.run_commands(K.documents(s, d), _commands(s, d), AS_OF)["steps"].select("seq", "path", "step_key", "status", "error")
+
+
+def command_documents(s, d):
+    return journal.run_commands(K.documents(s, d), _commands(s, d), AS_OF)["documents"].select("path", "kind", "policy", "archived", "status", "head", F.sha2("content_md", 256).alias("hash"))
+
+
+def head_pointers(s, d):
+    """Documents through the pointer to their head, after a commit of all tables."""
+    log = journal.Journal(s, folder(s, "journal"))
+    log.commit(journal.run_commands(K.documents(s, d), _commands(s, d), AS_OF))
+    return journal.with_heads(log.documents(), log.read("revisions")).select("path", "head", F.sha2("head_md", 256).alias("hash"))
+
+
 # --- writing ----------------------------------------------------------------
 
 def _turns(s, d):
@@ -646,6 +743,14 @@ n as (select concat('/wiki/new/', lower(replace(n_name, ' ', '-')), '.md') as pa
 _TOKENS = ", t as (select block_id as id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') as tk from kb_blocks)"
 _RANKED = " select query, cast(rnk as int) as rank, id, score from (select *, row_number() over (partition by query order by score desc, id) as rnk from u) x where rnk <= 20"
 
+_COMMANDS = """,
+p as (select *, policy in ('agent_editable', 'append_only') as may, concat(case when trim(coalesce(content_md, ''), ' ' || chr(10)) = '' then '' else concat(rtrim(content_md, ' ' || chr(10)), chr(10), chr(10)) end, 'a note') as noted from kb_documents where kind = 'wiki' and not archived),
+n as (select concat('/wiki/n/', n_nationkey, '.md') as path, -n_nationkey * 2 - 2 as seq, n_name from nation),
+e as (
+  select path, kind, policy, may and doc_id % 3 = 0 as archived, doc_id * 2 + case when doc_id % 3 = 0 then 1 else 0 end as head, noted as content_md from p where may
+  union all select path, 'wiki', 'agent_editable', false, seq, n_name from n)
+"""
+
 ENTRIES = [
     (lexical_blocks, K.with_views(CHANNELS + "\nselect * from lex")),
     (title_match, K.with_views(TITLES.format(**ONE) + "\nselect * from ttl")),
@@ -742,6 +847,42 @@ p as (select b.event_type, le, n, total, lag(le, 1, 0.0::double) over w as lo, l
 select t.event_type, coalesce(round(min(lo + (le - lo) * (0.95 * t.total - below) / (n - below)), 6), {float(BUCKETS[-1])}::double) as quantile, t.total as n
 from t left join p on p.event_type = t.event_type and n >= 0.95 * t.total and below < 0.95 * t.total group by t.event_type, t.total"""),
     (event_rate, "select event_type, date_trunc('hour', ts) as start, count(*) as n, round(count(*) / 3600.0::double, 6) as per_second from events group by 1, 2"),
+    (event_rate_sliding, "with p as (select event_type, time_bucket(interval 15 minutes, ts) as t, count(*) as n from events group by 1, 2), w as (select event_type, t - k * interval 15 minutes as start, n from p, range(4) r(k)) select event_type, start, cast(sum(n) as bigint) as n, round(sum(n) / 3600.0::double, 6) as per_second from w group by 1, 2"),
+    (quantile_sliding, """
+with v as (select event_type, date_trunc('hour', ts) as t, value, case when value > 0 then cast(ceil(ln(value) / ln(1.01::double / 0.99::double)) as bigint) when value < 0 then -cast(ceil(ln(-value) / ln(1.01::double / 0.99::double)) as bigint) end as b from events where value is not null),
+w as (select event_type, t - k * interval 1 hour as start, value, b from v, range(6) r(k)),
+r as (select *, row_number() over (partition by event_type, start order by value) as rnk, count(*) over (partition by event_type, start) as n from w)
+select event_type, start, n, case when value = 0 then 0 else round(sign(value) * exp((case when value < 0 then -b else b end - 1) * ln(1.01::double / 0.99::double)) * 1.01::double, 6) end as quantile from r where rnk = greatest(1, ceil(0.95::double * n))"""),
+    (counter_increase, """
+with l as (select user_id, ts, cast(floor(value) as bigint) as v, lag(cast(floor(value) as bigint)) over (partition by user_id order by ts, floor(value)) as p from events),
+g as (select user_id, time_bucket(interval 12 hours, ts) as t, case when p is null then 0 when v >= p then v - p else v end as grown from l),
+w as (select user_id, t - k * interval 12 hours as start, grown from g, range(2) r(k))
+select user_id, start, cast(sum(grown) as bigint) as increase from w group by 1, 2"""),
+    (extraction_entities, f"""
+with w as (select doc_id, source, unnest(string_split_regex(text, '[ \\n]')) as title, generate_subscripts(string_split_regex(text, '[ \\n]'), 1) - 1 as nth from documents),
+t as (select *, {_SLUG.format('title')} as slug, row_number() over (partition by doc_id, {_SLUG.format('title')} order by nth) as k from w where title <> '')
+select doc_id, slug, nth, title, case when nth % 3 = 0 then 'product' else 'concept' end as entity_type, case when nth % 2 = 0 then concat('about ', title) else concat(title, ' extracted from ', source, '.') end as summary from t where k = 1"""),
+    (extraction_claims, "with c as (select l_orderkey as doc_id, l_linenumber as nth, case when l_returnflag = 'N' then '' else l_returnflag end as entity_title, l_linestatus as text, round(greatest(0, least(1, case when l_linenumber % 3 > 0 then cast(l_discount as double) * 20 - 0.4::double else 0.7::double end)), 6) as confidence from lineitem) select *, 400 as quote_length from c where confidence >= 0.5"),
+    (extraction_relations, "with r as (select l_orderkey % 1000 as doc_id, l_orderkey * 10 + l_linenumber as nth, l_returnflag as source_title, cast(l_suppkey % 5 as varchar) as target_title, case when l_linenumber > 2 then l_linestatus else 'related_to' end as relation_type from lineitem where l_returnflag <> 'N') select doc_id, min(nth) as nth, source_title, target_title, relation_type from r group by all"),
+    (default_extraction, None),
+    (pattern_list, K.with_views(""",
+g as (select s_suppkey as pattern_id, replace(case s_suppkey % 4 when 0 then '/wiki/source/doc-%d*' when 1 then '/wiki/*/doc-%d.md' when 2 then '/sources/source/doc-?%d.md' else '/*-%d?.md' end, '%d', cast(s_suppkey as varchar)) as pattern from supplier),
+m as (select pattern_id, path, kind, row_number() over (partition by pattern_id order by path) as position from g join kb_documents d on not archived and path glob replace(pattern, '/*', '/**'))
+select pattern_id, cast(position as int) as position, concat('- `', path, '` [', kind, '] (ready)') as line from m where position <= 10""".replace("path glob replace(pattern, '/*', '/**')", "regexp_full_match(path, replace(replace(replace(pattern, '.', '\\.'), '*', '.*'), '?', '.'))"))),
+    (read_requests, K.with_views(_BLOCKS.replace("with ", "") + """,
+d as (select doc_id, concat('/wiki/c-', doc_id, '.md') as path, content_md from kb_markdown),
+ch as (select doc_id, nth, trim(string_agg(line, chr(10) order by pos), ' ' || chr(10)) as chunk from (select *, max(case when heading then trim(line, '# ') end) over (partition by doc_id, nth) as title from pt) x where lower(title) = 'assistant' group by all),
+se as (select doc_id, string_agg(chunk, chr(10) || chr(10) order by nth) as text from ch group by 1),
+pg as (select conv_id as doc_id, string_agg(concat('## Page ', turn, chr(10), chr(10), text), chr(10) || chr(10) order by turn) as text from conversations where turn <= 2 group by 1),
+ls as (select a.doc_id, string_agg(concat('- `', b.path, '` [wiki]'), chr(10) order by b.path) as text from d a join d b on b.doc_id // 10 = a.doc_id and b.doc_id >= 10 group by 1)
+select d.doc_id as request_id, sha256(case d.doc_id % 5 when 0 then content_md when 1 then pg.text when 2 then concat('No pages found for `', path, '` and range `99`.') when 3 then coalesce(se.text, '') else coalesce(ls.text, concat('No documents match `wiki/c-', d.doc_id, '?.md`.')) end) as hash
+from d left join se on se.doc_id = d.doc_id left join pg on pg.doc_id = d.doc_id left join ls on ls.doc_id = d.doc_id""")),
+    (text_budget, "with t as (select conv_id as doc_id, string_agg(text, chr(10) || chr(10) order by turn) as t from conversations group by 1), c as (select doc_id, case when length(t) > 700 then concat(left(t, 700), chr(10), chr(10), '[truncated]') else t end as t from t) select doc_id, length(t) as n_chars, sha256(t) as hash from c"),
+    (command_steps, K.with_views(_COMMANDS + """select doc_id * 2 as seq, path, 'append' as step_key, case when may then 'succeeded' else 'failed' end as status, case when not may then 'policy' end as error from p
+union all select doc_id * 2 + 1, path, 'delete', case when may then 'succeeded' else 'failed' end, case when not may then 'policy' end from p where doc_id % 3 = 0
+union all select seq, path, 'create', 'succeeded', null from n union all select seq + 1, path, 'create', 'failed', 'exists' from n""")),
+    (command_documents, K.with_views(_COMMANDS + "select path, kind, policy, archived, case when archived then 'archived' else 'ready' end as status, head, sha256(content_md) as hash from e")),
+    (head_pointers, K.with_views(_COMMANDS + "select path, head, sha256(content_md) as hash from e")),
     (queue_depths, K.with_views(", l as (select run_id, arg_max(status, row(ts, seq)) as status, count(*) filter (status = 'failed') as failures from kb_runs group by 1) select count(*) filter (status in ('queued', 'running')) as waiting, count(*) filter (failures >= 3) as dead from l")),
     (reclaim_idle, K.with_views(", l as (select run_id, arg_max(status, row(ts, seq)) as status, max(ts) as ts, count(*) filter (status = 'failed') as failures from kb_runs group by 1) select run_id, ts, failures + 1 as attempts, case when failures + 1 >= 3 then 'dead' else 'retry' end as route from l where status = 'running' and ts <= timestamp '2024-12-30 23:59:00' order by ts, run_id limit 10")),
     (props_filter, "select event_id from events where json_extract_string(props, '$.k') = '7'"),

@@ -55,14 +55,6 @@ def test_idempotent_enqueue_counts_from_the_last_accepted(spark):
     assert sorted((r["k"], r["s"]) for r in queueing.accepted(rows, ["k"], "ts").collect()) == [("a", 0), ("a", 3700), ("b", 10)]
 
 
-def test_commands_respect_policies(spark):
-    docs = spark.createDataFrame([(1, "/wiki/a.md", "locked", False, "x"), (2, "/wiki/b.md", "agent_editable", False, "one two"), (3, "/wiki/log.md", "append_only", False, "y")], "doc_id long, path string, policy string, archived boolean, content_md string")
-    commands = spark.createDataFrame([(1, "agent", "append", None, "z"), (2, "agent", "replace", "two", "2"), (3, "agent", "delete", None, None)], "doc_id long, surface string, operation string, old_text string, new_text string")
-    changed, journal = documents.apply_commands(docs, commands, "2024-01-01")
-    assert {r["doc_id"]: r["content_md"] for r in changed.collect()} == {1: "x", 2: "one 2", 3: "y"}
-    assert {r["doc_id"]: r["error"] for r in journal.collect()} == {1: "policy", 2: None, 3: "structural page"}
-
-
 def test_files_become_pages(spark, tmp_path):
     (tmp_path / "a.md").write_text("# T\n")
     (tmp_path / "b.csv").write_text("x,y\n1,2\n")
