@@ -170,6 +170,53 @@ def pages(entities: DataFrame, claims: DataFrame, relations: DataFrame, source:
     return out.select("entity_id", F.concat(F.lit("/wiki/"), folder, F.lit("/"), T.slugify(F.col("title")), F.lit(".md")).alias("path"), body.alias("content_md"))
 
 
+def change_plan(docs: DataFrame, entities: DataFrame, claims: DataFrame, relations: DataFrame, blocks: DataFrame, date: str) -> DataFrame:
+    """doc_id, nth, op, path, title, content, reason: what the compiler writes for each document; the log entry comes last.
+
+    docs: doc_id, title, workspace, pages (how many it has).  entities, claims and relations as the cleaning
+    leaves them, in the order of ``nth``; blocks: doc_id, chunk_idx, page_no, text.
+    Each claim is evidence with a footnote to the page of the block that its quote fits
+    best, or to the first page with text.
+    """
+    d = docs.select("doc_id", F.col("title").alias("source"), "workspace", "pages")
+    first = blocks.filter(T.trim(F.col("text")) != "").groupBy("doc_id").agg(F.min_by("page_no", "chunk_idx").alias("_first"))
+    d = d.join(first, "doc_id", "left").withColumn("latest", F.coalesce("_first", F.lit(1)).cast("int")).drop("_first")
+    node = lambda slug, label: F.concat(slug, F.lit('["'), T.escape_label(label), F.lit('"]'))
+    joined = lambda order, line: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))), lambda x: x["line"]), "\n")
+
+    quoted = claims.withColumn("claim_id", F.col("nth")).filter("quote <> ''").select("claim_id", "doc_id", "quote")
+    best = match_quotes(quoted, blocks).join(blocks.select("doc_id", "chunk_idx", F.col("page_no").alias("_page")), ["doc_id", "chunk_idx"]).select("doc_id", F.col("claim_id").alias("nth"), "_page")
+    cited = claims.join(best, ["doc_id", "nth"], "left").join(d.select("doc_id", "latest"), "doc_id").withColumn("page", F.coalesce("_page", "latest").cast("int"))
+    line = F.concat(F.lit("- "), "text", F.lit(" (confidence: "), T.percent(F.col("confidence")), F.lit(")[^"), F.col("page").cast("string"), F.lit("]"))
+    evidence = cited.groupBy("doc_id", F.col("entity_title").alias("title")).agg(joined(["nth"], line).alias("evidence"), F.array_sort(F.collect_set("page")).alias("noted"))
+
+    ends = relations.select("doc_id", "nth", F.lit(0).alias("end"), F.col("source_title").alias("title"), F.col("target_title").alias("other"), "relation_type").unionByName(relations.select("doc_id", "nth", F.lit(1).alias("end"), F.col("target_title").alias("title"), F.col("source_title").alias("other"), "relation_type"))
+    arrow = F.concat(F.lit(" -->|"), F.replace("relation_type", F.lit("|"), F.lit("/")), F.lit("| "), node(T.slugify(F.col("other")), F.col("other")))
+    mine = F.concat(F.lit("    "), node(F.col("slug"), F.col("title")))
+    drawn = ends.join(entities.select("doc_id", "title", "slug"), ["doc_id", "title"]).groupBy("doc_id", "title").agg(joined(["nth", "end"], F.concat(mine, arrow)).alias("arrows"))
+
+    rows = entities.join(d, "doc_id").join(evidence, ["doc_id", "title"], "left").join(drawn, ["doc_id", "title"], "left")
+    # The page's headings, its table and the diagram of a page without relations.
+    alone = F.concat(F.lit("    "), node(F.concat(F.lit("source-"), T.slugify(F.col("source"))), F.col("source")), F.lit(" --> "), node(F.col("slug"), F.col("title")), F.lit("\n"), mine, F.lit(" --> "), node(F.lit("compiled-wiki"), F.lit("Compiled Wiki")))
+    noted = F.coalesce("noted", F.array("latest"))
+    notes = F.array_join(F.transform(noted, lambda p: F.concat(F.lit("[^"), p.cast("string"), F.lit("]: "), F.col("source"), F.lit(", p."), p.cast("string"))), "\n")
+    content = F.concat(
+        "summary", F.lit("\n\n## Snapshot\n\n| Attribute | Value |\n| --- | --- |\n| Type | "), "entity_type", F.lit(" |\n| Source | "), "source", F.lit(" |\n| Workspace | "), "workspace", F.lit(" |\n\n```mermaid\ngraph TD\n"),
+        F.coalesce("arrows", alone), F.lit("\n```\n\n## Evidence\n\n"), F.coalesce("evidence", F.concat("summary", F.lit("[^"), F.col("latest").cast("string"), F.lit("]"))), F.lit("\n\n"), notes, F.lit("\n"),
+    )
+    folder = F.when(F.col("entity_type").isin(*ENTITY_KINDS), "entities").otherwise("concepts")
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("nth")).cast("long")
+    pages = rows.select("doc_id", order.alias("nth"), F.lit("create_doc").alias("op"), F.concat(F.lit("/wiki/"), folder, F.lit("/"), "slug", F.lit(".md")).alias("path"), "title", content.alias("content"), F.concat(F.lit("Compile "), "entity_type", F.lit(" from source "), "source").alias("reason"))
+
+    log = d
+    for name, table in (("entities", entities), ("claims", claims), ("relations", relations)):
+        log = log.join(table.groupBy("doc_id").agg(F.count("*").alias(name)), "doc_id", "left")
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    entry = F.concat(F.lit(f"## [{date}] ingest | "), "source", F.lit("\n- Parsed "), n("pages"), F.lit(" page(s)\n- Extracted "), n("entities"), F.lit(" entities, "), n("claims"), F.lit(" claims, "), n("relations"), F.lit(" relations\n- Updated overview and compiled wiki pages\n"))
+    logged = log.select("doc_id", (F.coalesce("entities", F.lit(0)) + 1).alias("nth"), F.lit("append_content").alias("op"), F.lit("/wiki/log.md").alias("path"), F.lit("Log").alias("title"), entry.alias("content"), F.concat(F.lit("Append ingest log for "), "source").alias("reason"))
+    return pages.unionByName(logged)
+
+
 def unique_slugs(names: DataFrame, name: str, order: str) -> DataFrame:
     """slug: the base slug, with -2, -3, ... for later rows of the same one."""
     base = T.slugify(F.col(name), "workspace")
@@ -186,17 +233,19 @@ def lines_to_paragraphs(lines: DataFrame, gap: float = 5.0) -> DataFrame:
     return rows.groupBy("doc_id", "page_no", "part").agg(text.alias("text"), F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"))
 
 
-def compile_documents(docs: DataFrame, extract: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]], header: Callable[[DataFrame], DataFrame] | None = None, least: float = 0.5) -> dict[str, DataFrame]:
-    """Blocks, entities, claims, relations and pages of markdown documents.
+def compile_documents(docs: DataFrame, date: str, extract: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame, DataFrame]] | None = None, header: Callable[[DataFrame], DataFrame] | None = None, least: float = 0.5) -> dict[str, DataFrame]:
+    """Blocks, entities, claims, relations and the change plan of markdown documents (doc_id, title, workspace, content_md).
 
-    ``extract`` maps blocks to entities (entity_id, title, entity_type, summary),
-    claims (claim_id, entity_id, canonical_text, confidence) and relations;
-    ``header`` may add a column context_header to the blocks.  Models live in
-    these two.
+    ``extract`` maps blocks and titles to raw entities, claims and relations (see ``extracting``; without
+    one the extractor that needs no model); ``header`` may add a column context_header to the
+    blocks.  Models live in these two.
     """
-    blocks = split_blocks(docs)
+    from tesserine.operators import extracting
+
+    blocks = split_blocks(docs).withColumn("page_no", F.lit(1))
     blocks = header(blocks) if header else blocks.withColumn("context_header", F.lit(None).cast("string"))
     blocks = blocks.withColumn("embed_text", F.concat_ws("\n\n", "context_header", "text"))
-    entities, claims, relations = extract(blocks)
-    claims = accept_claims(claims, least)
-    return {"blocks": blocks, "entities": upsert_entities(entities, "entity_id"), "claims": claims, "relations": provenance(relations), "pages": pages(entities, claims, relations, "documents")}
+    raw = (extract or extracting.extract)(blocks, docs.select("doc_id", "title"))
+    entities, claims, relations = extracting.clean_entities(raw[0]), extracting.clean_claims(raw[1], least), extracting.clean_relations(raw[2])
+    plan = change_plan(docs.select("doc_id", "title", "workspace", F.lit(1).alias("pages")), entities, claims, relations, blocks, date)
+    return {"blocks": blocks, "entities": entities, "claims": claims, "relations": relations, "plan": plan}
