@@ -29,3 +29,13 @@ def running(df: DataFrame, keys: Sequence[str], order: str, counts: dict[str, Co
     inside = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.join(before, on).withColumns({name: F.col(f"_sum_is_{name}") + F.sum(f"_is_{name}").over(inside) for name in counts})
     return out.select(*df.columns, *counts)
+
+
+def following(df: DataFrame, keys: Sequence[str], order: str, name: str, width: int = WIDTH) -> DataFrame:
+    """``df`` with the next larger ``order`` of the key as ``name``, null at the last; dealt as in ``running``."""
+    rows = df.withColumn("_part", F.floor(F.col(order) / width))
+    firsts = rows.groupBy(*keys, "_part").agg(F.min(order).alias("_first"))
+    later = firsts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_before"), F.lead("_first").over(Window.partitionBy(*keys).orderBy("_part")).alias("_next"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_part").eqNullSafe(F.col("_before"))]
+    inside = F.lead(order).over(Window.partitionBy(*keys, "_part").orderBy(order))
+    return rows.join(later, on).select(*df.columns, F.coalesce(inside, "_next").alias(name))

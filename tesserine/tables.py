@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tesserine.operators.quotes import contained
+from tesserine.operators.scans import following
 from tesserine.session import spread
 
 # What the columns of these names may hold.
@@ -72,8 +72,8 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document refers to the next one of its source."""
-    following = F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))
-    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_document_id"), following.alias("target_document_id"))
+    rows = following(read(spark, sf_dir, "documents").select("doc_id", "source"), ["source"], "doc_id", "target_document_id")
+    rows = rows.select(F.col("doc_id").alias("source_document_id"), "target_document_id")
     return rows.filter("target_document_id is not null").withColumn("ref_type", F.lit("related"))
 
 

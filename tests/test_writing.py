@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserine.operators import writing
-from tesserine.operators.scans import running
+from tesserine.operators.scans import following, running
 
 DOCS = "doc_id long, workspace_id string, path string, title string, kind string, policy string, archived boolean, content_md string"
 ACTIONS = "seq long, path string, title string, op string, content string, reason string"
@@ -33,6 +33,14 @@ def test_running_counts_do_not_depend_on_the_parts(spark):
         assert {(x["k"], x["i"], x["n"]) for x in running(df, ["k"], "i", {"n": F.col("f")}, width).collect()} == want
 
 
+def test_what_follows_does_not_depend_on_the_parts(spark):
+    rows = [(k, i) for i in range(0, 200, 3) for k in ("a", None) if i % 7 or k]
+    df = spark.createDataFrame(rows, "k string, i long")
+    want = {(k, i, min((j for q, j in rows if q == k and j > i), default=None)) for k, i in rows}
+    for width in (1, 10, 1000):
+        assert {(x["k"], x["i"], x["n"]) for x in following(df, ["k"], "i", "n", width).collect()} == want
+
+
 def fold(text, actions, created):
     """One text after the other, as a page is written."""
     out = []
