@@ -11,7 +11,12 @@ from tesserine.session import spread
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts, with unchanged columns.
+
+    A null text is scored like an empty one; equal texts (repeated rows) stay or go together; a score
+    of exactly the cut stays; without labels of both classes all stay; a row without an id
+    is scored like others, but teaches nothing.
+    """
     return quality.keep_good(spread(docs), table(spark, sf_dir, "labels"))
 
 
@@ -31,17 +36,29 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
+    """Documents without a passage of a benchmark item, with unchanged columns.
+
+    Null, empty and blank texts stay; equal texts stay or go together, whatever their
+    ids; null and empty items match nothing.
+    """
     return decontaminate.keep_clean(spread(docs), table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them: up to three equal rows, or none.
+
+    A null source is a source of its own, the last; null and blank texts have the size 0 and
+    take no words; repeated rows are documents of their own; reruns agree.
+    """
     return mixing.mix_documents(docs)
 
 
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every document."""
+    """Shard and slot of every document.
+
+    Rows of equal id and text, as the mix makes them, have places of their own; a null text has the
+    size 1 and the checksum of an empty one.
+    """
     return sharding.shard_documents(docs)
 
 
@@ -56,7 +73,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and read again before the next."""
+    """All stages over documents; each result is written and read again before the next.
+
+    Nulls, repeated rows, empty tables and further columns go through as the stages say; an empty table
+    gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
