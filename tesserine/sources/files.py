@@ -13,6 +13,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tesserine.functions import text as T
 
@@ -40,18 +41,58 @@ def media_type(name: Column) -> Column:
     return F.coalesce(F.try_element_at(table, T.extension(name)), F.lit("application/octet-stream"))
 
 
-def upload_error(name: Column, content: Column) -> Column:
-    """Why a file is refused, null if it is not: suffix, size, or first bytes that do not fit the suffix."""
+#: Bytes of a text that are looked at; fixed values: where the members of an office file stand, and what an HTML page has one of.
+SAMPLE = 4096
+MEMBERS = {"docx": "word/", "xlsx": "xl/", "pptx": "ppt/"}
+PAGE = ("<html", "<body", "<!doctype html")
+
+
+@F.pandas_udf(StringType())
+def _members(contents: pd.Series) -> pd.Series:
+    """The first folders of an office file's members, one after the other; null for what is no archive."""
+
+    def one(data: bytes | None) -> str | None:
+        if data is None:
+            return None
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as archive:
+                return " ".join(sorted({n.partition("/")[0] + "/" for n in archive.namelist() if "/" in n}))
+        except zipfile.BadZipFile:
+            return None
+
+    return contents.map(one)
+
+
+def upload_error(name: Column, content: Column, media: Column | None = None) -> Column:
+    """Why a file is refused, null if it is not: suffix, media type, size, or content that does not fit the suffix.
+
+    A media type counts without its parameters; none stands for any.  A text must be UTF-8
+    in its first SAMPLE bytes (of a longer one the last three may be part of a character), and a page of HTML
+    look like one.
+    """
     kind, head = T.extension(name), F.hex(F.substring(content, 1, 8))
-    zipped, ole = kind.isin("docx", "pptx", "xlsx"), kind.isin("doc", "ppt", "xls")
-    textual = kind.isin("csv", "md", "markdown", "txt", "html", "htm")
+    zipped, ole = kind.isin(*MEMBERS), kind.isin("doc", "ppt", "xls")
+    textual, page = kind.isin("csv", "md", "markdown", "txt", "html", "htm"), kind.isin("html", "htm")
+    given = F.lower(F.trim(F.element_at(F.split(F.coalesce(media if media is not None else F.lit(None), F.lit("application/octet-stream")), ";"), 1)))
+    sample = F.substring(content, 1, SAMPLE)
+    whole = F.octet_length(content) <= SAMPLE
+    valid = F.is_valid_utf8(sample.cast("string"))
+    for less in (1, 2, 3):
+        valid = valid | (~whole & F.is_valid_utf8(F.substring(content, 1, SAMPLE - less).cast("string")))
+    looks = F.lit(False)
+    for mark in PAGE:
+        looks = looks | F.contains(F.lower(sample.cast("string")), F.lit(mark))
+    folder = F.try_element_at(F.create_map(*[F.lit(x) for kv in MEMBERS.items() for x in kv]), kind)
+    inside = F.array_contains(F.split(F.coalesce(_members(F.when(zipped, content)), F.lit("")), " "), folder)
     return (
         F.when(~kind.isin(*MEDIA), "suffix")
+        .when(~given.isin(*MEDIA.values(), "application/octet-stream"), "media type")
         .when(F.octet_length(content) > MAX_BYTES, "size")
-        .when((kind == "pdf") & ~head.startswith("25504446"), "not a pdf")
-        .when(zipped & ~head.startswith("504B0304"), "not an office file")
+        .when((kind == "pdf") & ~head.startswith("255044462D"), "not a pdf")
+        .when(zipped & ~(head.startswith("504B0304") & inside), "not an office file")
         .when(ole & ~head.startswith("D0CF11E0A1B11AE1"), "not an office file")
-        .when(textual & F.hex(F.substring(content, 1, 4096)).rlike("^(..)*00"), "not text")
+        .when(textual & (F.hex(sample).rlike("^(..)*00") | ~valid), "not text")
+        .when(page & ~looks, "not html")
     )
 
 

@@ -68,9 +68,30 @@ def test_files_become_pages(spark, tmp_path):
 
 
 def test_uploads_are_checked(spark):
-    df = spark.createDataFrame([("a.exe", b"MZ"), ("a.pdf", b"%PDF-1"), ("b.pdf", b"no"), ("a.txt", b"a\x00b"), ("a.docx", b"PK\x03\x04")], "name string, content binary")
-    got = {r["name"]: r["e"] for r in df.select("name", files.upload_error(F.col("name"), F.col("content")).alias("e")).collect()}
-    assert got == {"a.exe": "suffix", "a.pdf": None, "b.pdf": "not a pdf", "a.txt": "not text", "a.docx": None}
+    def office(*names):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            for n in names:
+                z.writestr(n, "x")
+        return data.getvalue()
+
+    rows = [
+        ("a.exe", b"MZ", None, "suffix"), ("noname", b"x", None, "suffix"), ("a.pdf", b"%PDF-1", None, None), ("b.pdf", b"%PDF", None, "not a pdf"), ("c.pdf", b"%PDF-1", "image/png", "media type"), ("d.PDF", b"%PDF-1", " Application/PDF ; x=1", None),
+        ("a.txt", b"a\x00b", None, "not text"), ("b.txt", b"\xff\xfe", None, "not text"), ("c.txt", b"", "text/plain", None), ("d.md", "é".encode() * 3000, None, None), ("e.md", b"x" + "é".encode() * 3000, None, None), ("f.csv", b"x" * 4090 + b"\xff" * 10, None, "not text"), ("g.csv", b"x" * 4096 + b"\xff", None, None),
+        ("a.docx", b"PK\x03\x04", None, "not an office file"), ("b.docx", office("word/document.xml"), None, None), ("c.docx", office("xl/workbook.xml"), None, "not an office file"), ("d.xlsx", office("[Content_Types].xml", "xl/workbook.xml"), None, None), ("e.pptx", office("keyword/x"), None, "not an office file"),
+        ("a.doc", bytes.fromhex("D0CF11E0A1B11AE100"), None, None), ("b.xls", b"PK", None, "not an office file"), ("a.html", b"<!DOCTYPE HTML><p>x", None, None), ("b.htm", b"<p>x</p>", None, "not html"), ("c.html", b"<BODY>\xff", None, "not text"),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "name string, content binary, media string")
+    got = {r["name"]: r["e"] for r in df.select("name", files.upload_error(F.col("name"), F.col("content"), F.col("media")).alias("e")).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+
+
+def test_media_types_and_paths(spark):
+    names = spark.createDataFrame([("/x/a.PDF",), ("b.unknown",), ("c",)], "n string")
+    assert [r["m"] for r in names.select(files.media_type(F.col("n")).alias("m")).collect()] == ["application/pdf", "application/octet-stream", "application/octet-stream"]
+    paths = spark.createDataFrame([(" wiki/a.md ", "wiki"), ("/a/", "wiki"), ("", "wiki"), ("/a", "wiki"), ("/a", "source")], "p string, k string")
+    path, error = documents.normalised_path(F.col("p"), F.col("k"))
+    assert [tuple(r) for r in paths.select(path, error).collect()] == [("/wiki/a.md", None), ("/a/", "ends with a slash"), ("/", "empty"), ("/a", "not markdown"), ("/a", None)]
 
 
 def test_notes_source(spark, tmp_path):
