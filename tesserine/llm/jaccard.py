@@ -11,7 +11,7 @@ are probed by binary search in the partner's sorted set.
 1. Equal sets are folded into one representative.
 2. With the shingles ordered by hash, a set none of whose partners can reach k
    common short shingles is dropped: this leaves few sets, without shuffling
-   all shingles.
+   all shingles.  Each task first compares the short lists of its own sets.
 3. What is left is ordered by list length, rare shingles first, so that common
    passages stand in the long part.  Sets that differ only in shingles of their
    own are folded again.
@@ -39,9 +39,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tesserine.session import spread
 
@@ -51,6 +53,8 @@ from .components import components
 SHINGLE, PERCENT = 5, 80
 #: Words, and sets, that a task remembers.
 REMEMBER = 200_000
+#: Shingles of short lists that a task compares among themselves.
+PIECE = 2_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,6 +119,46 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "k1", "k2", "short"])
 
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The short lists of PIECE shingles at a time: those of one set in the piece, and what several sets share.
+
+    (shingle, k1, 1, False): only this set has it here.  (shingle, null, 0, True): several
+    have it.  (any, k1, n, True): so many of its shingles this set shares here.  Sets that come in
+    several pieces are counted in each; too many hits keep a set, they lose none.
+    """
+    keys, marks, held = [], [], 0
+
+    def told() -> Iterator[pa.RecordBatch]:
+        s, k = np.concatenate(keys), np.concatenate(marks)
+        order = np.lexsort((k, s))
+        s, k = s[order], k[order]
+        new = np.append(True, s[1:] != s[:-1])
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(s)) - 1
+        several = k[begin] != k[end]
+        one = begin[~several]
+        row = several[np.cumsum(new) - 1]
+        row[1:] &= new[1:] | (k[1:] != k[:-1])  # a set once for each shingle
+        own, n = np.unique(k[row], return_counts=True)
+        parts = [(s[one], k[one], np.ones(len(one)), False), (s[begin[several]], None, np.zeros(several.sum()), True), (_mix(own.view(np.uint64), 0xD6E8FEB86659FD93).view(np.int64), own, n, True)]
+        for shingle, k1, hits, many in parts:
+            for at in range(0, len(shingle), REMEMBER):
+                cut = slice(at, at + REMEMBER)
+                size = len(shingle[cut])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle[cut]), pa.nulls(size, pa.int64()) if k1 is None else pa.array(k1[cut]), pa.array(hits[cut].astype(np.int32)), pa.array(np.full(size, many))], ["shingle", "k1", "hits", "many"])
+
+    for batch in batches:
+        size = pc.fill_null(pc.list_value_length(batch.column("short")), 0).to_numpy(zero_copy_only=False)
+        keys.append(batch.column("short").flatten().to_numpy())
+        marks.append(np.repeat(batch.column("k1").to_numpy(), size))
+        held += int(size.sum())
+        if held >= PIECE:
+            yield from told()
+            keys, marks, held = [], [], 0
+    if held:
+        yield from told()
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = Words()
     for batch in batches:
@@ -193,11 +237,12 @@ def _by_set(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = ["k1", "k2", "n"]
     reps = rows.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
 
-    # sets that can have a partner, by the first shingles in the order of their hashes: lists are
-    # told by their ends, which combine before the shuffle, and a common shingle is one row of a join
-    short = described.select("k1", F.explode("short").alias("shingle"))
-    shared = short.groupBy("shingle").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi").select("shingle")
-    hits = short.join(shared, "shingle", "left_semi").distinct().groupBy("k1").agg(F.count("*").alias("hits"))
+    # sets that can have a partner, by the first shingles in the order of their hashes: what stands in
+    # several sets of a task is told there, so a list that is left has no more rows than there are pieces of tasks
+    met = described.select("k1", "short").mapInArrow(_meet, "shingle long, k1 long, hits int, many boolean")
+    same = Window.partitionBy("shingle")
+    shared = met.withColumn("shared", F.max("many").over(same) | (F.min("k1").over(same) != F.max("k1").over(same))).filter("shared and k1 is not null")
+    hits = shared.groupBy("k1").agg(F.sum("hits").alias("hits"))
     least = F.floor((F.floor((F.col("n") * PERCENT + 99) / 100) + 9) / 10)
     able = reps.filter("rep is not null").join(hits, "k1").filter(F.col("hits") >= least)
     named = materialise(able.select(F.monotonically_increasing_id().alias("set"), "rep", *key), "able")
