@@ -495,21 +495,3 @@ def test_entry_has_every_query():
     names = list(entry.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
     assert json.dumps(list(entry.oracle_sql()))
-
-
-def test_short_lists_that_meet_in_pieces(monkeypatch):
-    """Whatever the pieces: a shingle is single in one, or told to be shared, and shared ones are hits of their sets."""
-    import pyarrow as pa
-
-    short, k1 = [[1, 2, 3], None, [3, 4], [2, 3], [9], [], [1, 2, 3]], [10, 20, 30, 40, 50, 60, 10]
-    batches = [pa.RecordBatch.from_arrays([pa.array(k1[i : i + 2], pa.int64()), pa.array(short[i : i + 2], pa.list_(pa.int64()))], ["k1", "short"]) for i in range(0, 7, 2)]
-    for piece in (10**6, 1):
-        monkeypatch.setattr(jaccard, "PIECE", piece)
-        rows = [tuple(r.values()) for b in jaccard._meet(iter(batches)) for r in b.to_pylist()]
-        single = sorted((s, k) for s, k, n, many in rows if not many)
-        told = sorted(s for s, k, n, many in rows if many and k is None)
-        hits = sorted((k, n) for s, k, n, many in rows if many and k is not None)
-        if piece > 1:
-            assert (single, told, hits) == ([(1, 10), (4, 30), (9, 50)], [2, 3], [(10, 2), (30, 1), (40, 2)])
-        else:
-            assert single.count((1, 10)) == 2 and told == [3] and hits == [(30, 1), (40, 1)]
