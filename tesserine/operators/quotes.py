@@ -50,19 +50,26 @@ def _parts(word: str, kind: int, sizes: list[int]) -> Column:
 
 def _fitting(texts: DataFrame, pieces: DataFrame) -> DataFrame:
     """kind, piece, word, texts: the words of the corpus that fit each piece, and in how many texts they stand."""
-    vocabulary = texts.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("texts"))
+    words = texts.select(F.explode(F.array_distinct("w")).alias("word"))
+    vocabulary = words.groupBy("word").agg(F.count("*").alias("texts"))
     asked = pieces.select("kind", "piece").distinct()
     open_ends = asked.filter(F.col("kind") != WHOLE)
-    # lengths of open ends: a few numbers, whatever the number of quotes
-    sizes = {r["kind"]: sorted(r["s"]) for r in open_ends.groupBy("kind").agg(F.collect_set(F.length("piece")).alias("s")).collect()}
-    whole = vocabulary.join(asked.filter(F.col("kind") == WHOLE).select(F.col("piece").alias("word")), "word", "left_semi").select(F.lit(WHOLE).alias("kind"), F.col("word").alias("piece"), "word", "texts")
+    # how many pieces of each kind, and the lengths of open ends: a few numbers, whatever the number of quotes
+    lengths = F.collect_set(F.when(F.col("kind") != WHOLE, F.length("piece"))).alias("s")
+    told = {r["kind"]: (r["n"], sorted(r["s"])) for r in asked.groupBy("kind").agg(F.count("*").alias("n"), lengths).collect()}
+    sizes = {k: s for k, (_, s) in told.items() if k != WHOLE}
+    inner = asked.filter(F.col("kind") == WHOLE).select(F.col("piece").alias("word"))
+    # a few words asked for are picked out before the corpus is counted, many afterwards
+    few = told.get(WHOLE, (0,))[0] <= SMALL
+    counted = words.join(F.broadcast(inner), "word", "left_semi").groupBy("word").agg(F.count("*").alias("texts")) if few else vocabulary.join(inner, "word", "left_semi")
+    whole = counted.select(F.lit(WHOLE).alias("kind"), F.col("word").alias("piece"), "word", "texts")
     cut = [vocabulary.select(F.lit(k).alias("kind"), F.explode(_parts("word", k, s)).alias("piece"), "word", "texts") for k, s in sizes.items()]
     return reduce(DataFrame.unionByName, [c.join(open_ends, ["kind", "piece"], "left_semi") for c in cut], whole)
 
 
 def _keys(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     """claim_id, q, key: the hashes that a quote is looked for by; a quote with a word that no text has is left out."""
-    pieces = stored(_pieces(quotes), "pieces")
+    pieces = _pieces(quotes)
     fitting = stored(_fitting(texts, pieces), "fitting")
     weights = fitting.groupBy("kind", "piece").agg(F.sum("texts").alias("weight"))
     found = pieces.join(weights, ["kind", "piece"], "left")
@@ -102,5 +109,6 @@ def contained(documents: DataFrame, quotes: DataFrame) -> DataFrame:
     if size["alone"]:
         met = met.unionByName(texts.select("doc_id", F.explode(F.array_distinct("w")).alias("w0")).select("doc_id", F.xxhash64(F.lit(1), "w0").alias("key")))
     pairs = met.join(F.broadcast(keys) if size["n"] <= SMALL else keys, "key").select("doc_id", "claim_id", "q").distinct()
+    pairs = stored(pairs, "quote-pairs")  # their size tells whether texts have to be shuffled to them
     both = pairs.join(documents.select("doc_id", "text"), "doc_id").join(asked, ["claim_id", "q"])
     return both.filter(F.contains("text", "quote")).select("doc_id", "claim_id").distinct()
