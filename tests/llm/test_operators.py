@@ -25,7 +25,7 @@ DOCS = [
 ]
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns of every table that are called like those that the operators make.
-EXTRA = ", n int, rep long, cls long, stats string, score double, copies long, shard int, comp long, key string, k1 long, gid long, base double, host string, lines string, block long, row long"
+EXTRA = ", n int, rep long, cls long, stats string, score double, copies long, shard int, comp long, key string, k1 long, gid long, base double, host string, lines string, block long, row long, doc string, sig string, word string, pos int, form string, output string, spans string"
 
 
 def write(spark, folder, empty):
@@ -55,7 +55,7 @@ def empty(spark, tmp_path_factory):
     return write(spark, tmp_path_factory.mktemp("none") / "t", True)
 
 
-ROWS = {"op1": 5, "op2": 11, "op3": 5, "op9": 0}
+ROWS = {"op1": 5, "op2": 11, "op3": 5, "op9": 0, "op12": 3}
 
 
 @pytest.mark.parametrize("name", list(queries.queries()))
@@ -84,6 +84,9 @@ def test_defined_results_of_odd_rows(spark, odd):
     for r in run["op10"]():
         sets.setdefault(r["doc_id"], (r["n_shingles"], r["component_id"]))
     assert (sets[0], sets[1], sets[7]) == ((0, 0), (0, 1), (0, 7)) and sets[2] == (1, 2) and sets[9] == (1, 2) and sets[4][1] == 4
+    assert {(r["doc_id"], r["n_words"], r["n_removed"]) for r in run["op11"]() if r["doc_id"] != 8} == {(0, 0, 0), (1, 0, 0), (2, 2, 0), (3, 100_000, 0), (4, 12, 0), (None, 8, 0), (7, 0, 0), (9, 2, 0)}
+    assert {(r["word"], r["n"]) for r in run["op12"]()} == {("lorem", 20_000), ("ipsum", 20_000), ("dolor", 20_000)}
+    assert {(r["doc_id"], r["n"], r["form"]) for r in run["op13"]() if r["doc_id"] in (0, 1)} == {(0, 0, "plain"), (1, 0, "plain")}
 
 
 @pytest.mark.parametrize("name", list(queries.queries()))
