@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -113,31 +114,59 @@ def _candidates(index: Index, ids: list[int], queries: np.ndarray, probed: np.nd
     return rough.withColumn("nth", nth).filter(F.col("nth") <= keep).select("q", "id", "cell")
 
 
-def search(index: Index, queries: Sequence[tuple[int, Sequence[float]]], limit: int, probes: int, keep: int = KEEP) -> DataFrame:
-    """query, rank, id, score: the ``limit`` nearest of each query (id, vector) by cosine, ties by id.
+Queries = Sequence[tuple[int, Sequence[float]]] | DataFrame
 
-    Queries are answered QUERIES in one pass over the cells that any of them probes.
+
+def _in_blocks(queries: Queries) -> Iterator[list[tuple[int, list[float]]]]:
+    """Queries (id, vector) a block at a time; of a table (id, embedding) no more than a block of about QUERIES is on the driver at once."""
+    if not isinstance(queries, DataFrame):
+        rows = list(queries)
+        yield from (rows[at : at + QUERIES] for at in range(0, len(rows), QUERIES))
+        return
+    n = -(-queries.count() // QUERIES)
+    for k in range(n):
+        some = queries.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == k).select("id", "embedding").orderBy("id")
+        if rows := [(r["id"], r["embedding"]) for r in some.collect()]:
+            yield rows
+
+
+def _asked(spark: SparkSession, block: list[tuple[int, list[float]]]) -> DataFrame:
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in block], "q long, query array<double>")
+
+
+def _ranked(scored: DataFrame, limit: int) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("rank", nth).filter(F.col("rank") <= limit).select(F.col("q").alias("query"), "rank", "id", "score")
+
+
+def _all(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
+
+HITS = "query long, rank int, id long, score double"
+
+
+def search(index: Index, queries: Queries, limit: int, probes: int, keep: int = KEEP) -> DataFrame:
+    """query, rank, id, score: the ``limit`` nearest of each query by cosine, ties by id.
+
+    Queries are answered a block in one pass over the cells that any of them probes.
     """
-    spark, out = index.rows.sparkSession, None
-    for at in range(0, len(queries), QUERIES):
-        ids, asked = [i for i, _ in queries[at : at + QUERIES]], np.array([v for _, v in queries[at : at + QUERIES]], np.float64)
+    spark, parts = index.rows.sparkSession, []
+    for block in _in_blocks(queries):
+        asked = np.array([v for _, v in block], np.float64)
         probed = index.cells_of(asked, probes)
-        rough = _candidates(index, ids, asked, probed, keep * limit)
-        vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in queries[at : at + QUERIES]], "q long, query array<double>")
+        rough = _candidates(index, [i for i, _ in block], asked, probed, keep * limit)
         whole = index.rows.filter(F.col("cell").isin(sorted({int(c) for c in probed.ravel()}))).select("cell", "id", "embedding")
-        scored = whole.join(F.broadcast(rough), ["cell", "id"]).join(F.broadcast(vectors), "q").withColumn("score", V.cosine(F.col("embedding"), F.col("query")))  # QUERIES * keep * limit pairs at most
-        nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
-        part = scored.withColumn("rank", nth).filter(F.col("rank") <= limit).select(F.col("q").alias("query"), "rank", "id", "score")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "query long, rank int, id long, score double")
+        # a block's queries times keep times limit pairs at most
+        scored = whole.join(F.broadcast(rough), ["cell", "id"]).join(F.broadcast(_asked(spark, block)), "q").withColumn("score", V.cosine(F.col("embedding"), F.col("query")))
+        parts.append(_ranked(scored, limit))
+    return _all(parts, spark, HITS)
 
 
-def exact(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], limit: int) -> DataFrame:
-    """The same by a scan of all vectors (id, embedding) for a stated set of queries."""
-    asked = vectors.sparkSession.createDataFrame([(i, [float(x) for x in v]) for i, v in queries], "q long, query array<double>")
-    scored = vectors.join(F.broadcast(asked)).withColumn("score", V.cosine(F.col("embedding"), F.col("query")))
-    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", nth).filter(F.col("rank") <= limit).select(F.col("q").alias("query"), "rank", "id", "score")
+def exact(vectors: DataFrame, queries: Queries, limit: int) -> DataFrame:
+    """The same by a scan of all vectors (id, embedding) for a stated set of queries, a block at a time."""
+    spark = vectors.sparkSession
+    return _all([_ranked(vectors.join(F.broadcast(_asked(spark, block))).withColumn("score", V.cosine(F.col("embedding"), F.col("query"))), limit) for block in _in_blocks(queries)], spark, HITS)
 
 
 def recall(found: DataFrame, wanted: DataFrame) -> float:
@@ -161,16 +190,18 @@ def tune(index: Index, limit: int, target: float, tried: int = TRIED) -> int:
     return needed[min(len(needed) - 1, math.ceil(target * len(needed)) - 1)]
 
 
-def read_share(index: Index, queries: Sequence[tuple[int, Sequence[float]]], limit: int, probes: int, keep: int = KEEP) -> DataFrame:
+def read_share(index: Index, queries: Queries, limit: int, probes: int, keep: int = KEEP) -> DataFrame:
     """query, rows, scanned, bytes_share: what each query reads, against the bytes of all vectors.
 
     A scanned row is its bytes, id and scale; a candidate its whole vector besides.
     """
-    size = index.centroids.shape[1]
-    order = index.cells_of(np.array([v for _, v in queries], np.float64), probes)
-    probed = index.rows.sparkSession.createDataFrame([(i, int(c)) for (i, _), row in zip(queries, order, strict=True) for c in row], "query long, cell int")
+    spark, size, probed = index.rows.sparkSession, index.centroids.shape[1], []
+    for block in _in_blocks(queries):
+        order = index.cells_of(np.array([v for _, v in block], np.float64), probes)
+        probed.append(spark.createDataFrame([(i, [int(c) for c in row]) for (i, _), row in zip(block, order, strict=True)], "query long, cells array<int>"))
+    each = _all(probed, spark, "query long, cells array<int>").select("query", F.explode("cells").alias("cell"))
     cells = index.rows.groupBy("cell").agg(F.count("*").alias("n"))
     total = cells.agg(F.sum("n").alias("rows"))
-    scanned = probed.join(cells, "cell").groupBy("query").agg(F.sum("n").alias("scanned"))
+    scanned = each.join(cells, "cell").groupBy("query").agg(F.sum("n").alias("scanned"))
     read = F.col("scanned") * (size + 12) + F.least(F.lit(keep * limit), F.col("scanned")) * 4 * size
     return scanned.join(F.broadcast(total)).select("query", "rows", "scanned", F.round(read / (F.col("rows") * (4 * size + 8)), 4).alias("bytes_share"))

@@ -43,6 +43,8 @@ def test_all_cells_give_the_hits_of_a_scan(clustered, monkeypatch):
     queries = [rows[i] for i in range(0, 6000, 800)]
     hits = [tuple(x)[:3] for x in neighbours.search(index, queries, 5, len(index.centroids)).orderBy("query", "rank").collect()]
     assert hits == [tuple(x)[:3] for x in neighbours.exact(neighbours.usable(df, 24), queries, 5).orderBy("query", "rank").collect()]
+    table = neighbours.usable(df, 24).filter("id % 800 = 0")
+    assert hits == [tuple(x)[:3] for x in neighbours.search(index, table, 5, len(index.centroids)).orderBy("query", "rank").collect()]
 
 
 def test_a_probe_reads_its_cells_and_no_vectors(spark, clustered):
