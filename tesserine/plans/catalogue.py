@@ -27,8 +27,16 @@ PAIRS = [f"{a} {WORDS[(i + k) % len(WORDS)]}" for k in (3, 8) for i, a in enumer
 SYNTAX = ['"of the"', "that OR und -de", "whi* the", 'and -"to the"']
 
 
-def knowledge(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return {n: getattr(K, n)(spark, d) for n in ("documents", "blocks", "entities", "relations", "claims", "references", "citations")}
+class knowledge(dict):
+    """The knowledge tables by name, each made when it is asked for: citations are found by jobs of their own."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        super().__init__()
+        self._from = spark, d
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = getattr(K, name)(*self._from)
+        return self[name]
 
 
 def query_vector(spark: SparkSession, d: str) -> DataFrame:
