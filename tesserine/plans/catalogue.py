@@ -95,7 +95,7 @@ def knn_exact(s, d):
 
 
 def _vector_index(s, d):
-    v = K.read(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    v = spread(K.read(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
     return v, neighbours.build(v, folder(s, "vector-index"), 64)
 
 

@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tesserine.functions import vectors as V
 from tesserine.operators import neighbours
 from tesserine.plans import catalogue
 from tesserine.tables import read
@@ -62,3 +64,23 @@ def test_recall_on_the_table(spark):
 def test_no_vectors(spark, tmp_path):
     index = neighbours.build(spark.createDataFrame([], "id long, embedding array<float>"), str(tmp_path / "v"), 4)
     assert neighbours.search(index, [(1, [1.0, 0, 0, 0])], 3, 1).count() == 0 and neighbours.tune(index, 3, 0.9) == 1
+
+
+def test_a_scan_gives_the_cosines_of_the_expression(spark, monkeypatch):
+    """Equal vectors in many tasks and chunks, ties by id, scores to the last bit."""
+    monkeypatch.setattr(neighbours, "CHUNK", 7)
+    monkeypatch.setattr(neighbours, "PAIRS", 5)
+    r = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([r.normal(size=(90, 9)), np.repeat(r.normal(size=(2, 9)), 40, 0), 1e-20 * r.normal(size=(10, 9))]).astype(np.float32))]
+    df = neighbours.usable(spark.createDataFrame(rows, "id long, embedding array<float>").repartition(5), 9)
+    queries = rows[::12]
+    got = sorted(map(tuple, neighbours.exact(df, queries, 6).collect()))
+    pairs = df.crossJoin(neighbours._asked(spark, queries)).select("q", "id", V.cosine(F.col("embedding"), F.col("query")).alias("score")).collect()
+    want = [(q, n + 1, i, s) for q, _ in queries for n, (s, i) in enumerate(sorted(((-x["score"], x["id"]) for x in pairs if x["q"] == q))[:6])]
+    assert got == sorted((q, n, i, -s) for q, n, i, s in want)
+
+
+def test_a_scan_pairs_no_rows(spark):
+    df = neighbours.usable(spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<float>"), 2)
+    plan = neighbours.exact(df, [(1, [1.0, 0.0])], 1)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "NestedLoop" not in plan
