@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,19 +101,44 @@ def escape_label(text: Column) -> Column:
     return text
 
 
-def glob_regex(pattern: str) -> str:
-    """A shell pattern as an anchored regular expression; ``*`` also crosses slashes."""
-    out, i = "", 0
+def _glob_parts(pattern: str) -> list[tuple[str, str]]:
+    """The characters, wildcards and sets of a shell pattern, each with its regular expression."""
+    out, i = [], 0
     while i < len(pattern):
         c, end = pattern[i], pattern.find("]", i + 2)
         if c == "[" and end > 0:
             inner = pattern[i + 1 : end].replace("\\", "\\\\")
-            out += "[" + ("^" + inner[1:] if inner[0] == "!" else inner) + "]"
+            out.append(("[]", "[" + ("^" + inner[1:] if inner[0] == "!" else inner) + "]"))
             i = end
         else:
-            out += {"*": ".*", "?": "."}.get(c) or ("\\" + c if not c.isalnum() and ord(c) < 128 else c)
+            out.append((c, {"*": ".*", "?": "."}.get(c) or ("\\" + c if not c.isalnum() and ord(c) < 128 else c)))
         i += 1
-    return f"(?s)^{out}$"
+    return out
+
+
+def glob_regex(pattern: str) -> str:
+    """A shell pattern as an anchored regular expression; ``*`` also crosses slashes."""
+    return f"(?s)^{''.join(r for _, r in _glob_parts(pattern))}$"
+
+
+def glob_fixed(pattern: str) -> tuple[tuple, tuple]:
+    """What every text that fits a shell pattern has: lengths and places (least length, head, tails as (back, size), inner), and what stands there.
+
+    The head ends at the first wildcard; tails are the pieces without wildcards behind
+    the last star, each beginning ``back`` characters before the end.  If there are none, inner is the
+    longest piece between two stars, which stands anywhere; else its length is 0.
+    """
+    signs = [c for c, _ in _glob_parts(pattern)]
+    kinds = "".join("*" if c == "*" else "?" if c in ("?", "[]") else "x" for c in signs)
+    head = len(kinds) - len(kinds.lstrip("x"))
+    # without a star all places count from both ends
+    last = max(kinds.rfind("*"), head)
+    tails = [m.span() for m in re.finditer("x+", kinds) if m.start() >= last]
+    between = [m.span() for m in re.finditer("x+", kinds) if kinds.find("*") < m.start() < kinds.rfind("*")]
+    a, b = max(between, key=lambda s: s[1] - s[0], default=(0, 0)) if not tails else (0, 0)
+    text = lambda a, b: "".join(signs[a:b])
+    shape = len(kinds) - kinds.count("*"), head, [(len(kinds) - x, y - x) for x, y in tails], b - a
+    return shape, (text(0, head), [text(*t) for t in tails], text(a, b))
 
 
 def strip_html(html: Column) -> Column:

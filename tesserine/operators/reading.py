@@ -11,9 +11,6 @@ from pyspark.sql.window import Window
 from tesserine.functions import text as T
 from tesserine.operators.compiling import split_lines
 
-WILD = "[*?\\[]"
-
-
 def rooted(path: Column) -> Column:
     return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
 
@@ -24,23 +21,29 @@ def _regex(patterns: pd.Series) -> pd.Series:
     return patterns.map(T.glob_regex, na_action="ignore")
 
 
+FIXED = "shape struct<least:int,head:int,tails:array<struct<back:int,size:int>>,inner:int>, key struct<head:string,tails:array<string>,inner:string>"
+
+
 def matches(documents: DataFrame, patterns: DataFrame) -> DataFrame:
     """pattern_id and the columns of the live documents whose path fits the pattern (pattern_id, pattern).
 
-    Paths and patterns meet on what stands before a pattern's first wildcard: a path
-    comes with its beginnings of those lengths that patterns have, and a pattern is
-    tried on the documents of its beginning only.
+    Paths and patterns meet on what a pattern fixes (``text.glob_fixed``): what stands before
+    its first wildcard, and behind its last ``*`` what is no wildcard, counted from the end.  A path
+    comes once for each shape that patterns have (lengths and places of these pieces), and a
+    pattern is tried only on the paths that have its pieces.
     """
-    asked = patterns.select("pattern_id", rooted(F.col("pattern")).alias("_pattern")).dropna().withColumn("_regex", _regex("_pattern"))
-    asked = asked.withColumn("_start", F.regexp_extract("_pattern", f"^((?:(?!{WILD}).)*)", 1))
-    # a few numbers: a path has no more beginnings than characters
-    sizes = sorted(r["s"] for r in asked.select(F.length("_start").alias("s")).distinct().collect())
-    if not sizes:
-        return documents.limit(0).select(F.lit(0).cast(patterns.schema["pattern_id"].dataType).alias("pattern_id"), *documents.columns)
-    live = documents.filter(~F.col("archived"))
-    starts = F.filter(F.array(*[F.when(F.length("path") >= s, F.left("path", F.lit(s))) for s in sizes]), lambda x: x.isNotNull())
-    met = live.withColumn("_start", F.explode(starts)).join(asked, "_start").filter(F.regexp_like("path", F.col("_regex")))
-    return met.select("pattern_id", *documents.columns)
+    asked = patterns.select("pattern_id", rooted(F.col("pattern")).alias("_pattern")).dropna().withColumns({"_regex": _regex("_pattern"), "_fixed": F.udf(lambda p: T.glob_fixed(p), FIXED)("_pattern")})
+    asked = asked.select("pattern_id", "_regex", F.col("_fixed.shape").alias("_shape"), F.col("_fixed.key").alias("_key"))
+    live, n, shape = documents.filter(~F.col("archived")), F.length("path"), F.col("_shape")
+    # as many rows as patterns have shapes, which are lengths within a path
+    paths = live.select("path").distinct().join(F.broadcast(asked.select("_shape").distinct()), n >= shape["least"])
+    tails = F.transform(shape["tails"], lambda t: F.substr("path", n - t["back"] + 1, t["size"]))
+    pieces = F.transform(F.sequence(F.lit(1), n - shape["inner"] + 1), lambda i: F.substr("path", i, shape["inner"]))
+    pieces = F.when(shape["inner"] == 0, F.array(F.lit(""))).otherwise(F.array_distinct(pieces))
+    paths = paths.select("path", "_shape", F.left("path", shape["head"]).alias("_head"), tails.alias("_tails"), F.explode(pieces).alias("_inner"))
+    paths = paths.select("path", "_shape", F.struct(F.col("_head").alias("head"), F.col("_tails").alias("tails"), F.col("_inner").alias("inner")).alias("_key"))
+    met = paths.join(asked, ["_shape", "_key"]).filter(F.regexp_like("path", F.col("_regex")))
+    return live.join(met.select("path", "pattern_id"), "path").select("pattern_id", *documents.columns)
 
 
 def listed(documents: DataFrame, patterns: DataFrame, limit: int | None = 10, status: bool = True) -> DataFrame:

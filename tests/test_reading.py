@@ -45,3 +45,16 @@ def test_budget_at_every_limit(spark, limit):
     got = {x["doc_id"]: x["text"] for x in reading.budgeted(spark.createDataFrame(rows, "doc_id long, nth int, text string"), limit).collect()}
     whole = {d: "\n\n".join(t or "" for t in texts) for d, texts in docs.items()}
     assert got == {d: t if len(t) <= limit else t[:limit] + "\n\n[truncated]" for d, t in whole.items()}
+
+
+def test_a_pattern_is_tried_on_paths_with_its_pieces_only(spark, monkeypatch):
+    """Patterns that begin with a star are as few trials as others."""
+    n = 400
+    docs = spark.createDataFrame([(i, f"/wiki/src{i % 7}/doc-{i}.md", "wiki", "ready", False, "") for i in range(n)], SCHEMA)
+    asked = [(i, ["*-%d?.md", "/wiki/*/doc-%d.md", "*src*/doc-%d.m?", "*oc-%d.*"][i % 4] % i) for i in range(n)]
+    got = reading.matches(docs, spark.createDataFrame(asked, "pattern_id long, pattern string"))
+    want = {(i, p) for i, a in asked for k in range(n) if fnmatch.fnmatchcase(p := f"/wiki/src{k % 7}/doc-{k}.md", a if a.startswith("/") else f"/{a}")}
+    assert {(x["pattern_id"], x["path"]) for x in got.collect()} == want
+    tried = []
+    monkeypatch.setattr(reading.F, "regexp_like", lambda path, regex: tried.append(1) or F.lit(True))
+    assert reading.matches(docs, spark.createDataFrame(asked, "pattern_id long, pattern string")).count() < 3 * n and tried
