@@ -1,7 +1,7 @@
 """An inverted index as a table: posting blocks by term, and top-k search that leaves out blocks that cannot enter.
 
 A block is one row: a term, a range of WIDTH ids, and the ids of that range that hold
-the term, with how often and where; ``top`` is the most occurrences in one of them.  The table
+the term, with how often and where; ``top`` is the most occurrences in one of them.  Each file
 is laid out by term, so that a query reads the row groups of its terms; the bounds are
 read without the lists.  A frequent term is many blocks, none of which holds more than WIDTH ids.
 
@@ -14,8 +14,11 @@ be read as well.  The hits are those of a scan of all texts.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,25 +26,69 @@ from pyspark.sql.window import Window
 from tesserine.functions import text as T
 
 WIDTH, FIRST = 128, 8
+LAYOUT = "term string, range long, top int, ids array<long>, counts array<int>, places array<array<int>>"
+
+
+def _postings(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
+    """Posting blocks of some texts (id, words), by range and term, from sorted codes and offsets."""
+    lists = batch.column("words")
+    sizes = pc.list_value_length(lists).to_numpy()
+    words = lists.flatten().dictionary_encode()
+    names, code = words.dictionary, words.indices.to_numpy().astype(np.int64)
+    ids = np.repeat(batch.column("id").to_numpy(), sizes)
+    place = (np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+    order = np.lexsort((place, ids, code, ids // width))
+    ids, code, place, span = ids[order], code[order], place[order], ids[order] // width
+    # where a new block begins, and where a new id within one
+    block = np.append(True, (span[1:] != span[:-1]) | (code[1:] != code[:-1])) if len(ids) else np.zeros(0, bool)
+    first = np.flatnonzero(block | np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(ids))).astype(np.int32)
+    held = np.flatnonzero(block[first])
+    ends = pa.array(np.append(held, len(first)).astype(np.int32))
+    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)).astype(np.int32)), pa.array(place))
+    at = first[held]
+    top = np.maximum.reduceat(counts, held) if len(held) else counts
+    columns = [names.take(pa.array(code[at])), pa.array(span[at]), pa.array(top), pa.ListArray.from_arrays(ends, pa.array(ids[first])), pa.ListArray.from_arrays(ends, pa.array(counts)), pa.ListArray.from_arrays(ends, places)]
+    return pa.RecordBatch.from_arrays(columns, ["term", "range", "top", "ids", "counts", "places"])
 
 
 def build(texts: DataFrame, key: str, text: str, width: int = WIDTH) -> DataFrame:
     """term, range, top, ids, counts, places: posting blocks of ``text`` by the whole number ``key``; rows without either are left out.
 
-    ids and counts are in order; places are the words' numbers in the text, from 0.  One
-    shuffle, by term and range: what it brings together is bounded by WIDTH texts.
+    ids and counts are in order; places are the words' numbers in the text, from 0.  The
+    texts are shuffled once, by range, and no words: a task turns the texts of one range
+    after another into blocks, and holds no more than WIDTH texts and a batch.
     """
-    words = texts.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.posexplode(T.tokens(F.col(text))).alias("place", "term"))
-    dealt = words.withColumn("range", F.floor(F.col("id") / width)).repartition("term", "range")
-    each = dealt.groupBy("term", "range", "id").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    listed = each.groupBy("term", "range").agg(F.array_sort(F.collect_list(F.struct("id", "places"))).alias("b"))
-    counts = F.transform("b", lambda x: F.size(x["places"]))
-    return listed.select("term", "range", F.array_max(counts).alias("top"), F.transform("b", lambda x: x["id"]).alias("ids"), counts.alias("counts"), F.transform("b", lambda x: x["places"]).alias("places"))
+    kept = texts.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text"))
+    dealt = kept.withColumn("_range", F.floor(F.col("id") / width)).repartition("_range").sortWithinPartitions("_range")
+    rows = dealt.select("id", T.tokens(F.col("_text")).alias("words"))
+
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[pa.RecordBatch] = []  # of a range that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            span = batch.column("id").to_numpy() // width
+            if left and left[-1].column("id")[0].as_py() // width != span[0]:
+                yield _postings(pa.concat_batches(left), width)
+                left = []
+            last = int(np.searchsorted(span, span[-1]))
+            if last:
+                yield _postings(pa.concat_batches([*left, batch.slice(0, last)]), width)
+                left = []
+            left.append(batch.slice(last))
+        if left:
+            yield _postings(pa.concat_batches(left), width)
+
+    return rows.mapInArrow(invert, LAYOUT)
 
 
 def write(index: DataFrame, folder: str) -> DataFrame:
-    """The index in files by term, read again.  Small row groups let a query skip what is not about its terms."""
-    index.repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.option("parquet.block.size", 8 << 20).mode("overwrite").parquet(folder)
+    """The index in files, each by term, read again.  Small row groups let a query skip what is not about its terms.
+
+    Blocks stay where their range was dealt to, so each file has some blocks of every frequent term, and files are of like size.
+    """
+    index.sortWithinPartitions("term", "range").write.option("parquet.block.size", 8 << 20).mode("overwrite").parquet(folder)
     return index.sparkSession.read.schema(index.schema).parquet(folder)
 
 

@@ -79,3 +79,23 @@ def test_terms_reach_the_scan(spark, tmp_path):
     words, asked, terms, prefixes = fulltext._queries(spark, ["a"])
     plan = fulltext.bounds(index, words, asked, terms, prefixes)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "EqualTo(term,a)" in plan and "places" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_an_index_shuffles_texts_once_and_no_words(spark):
+    """Ranges over many batches, an id twice, negative ids, a text without words."""
+    texts = [(i % 50 - 20, f"w{i % 3} W{i % 7} x " * (i % 9)) for i in range(60)] + [(7, None), (8, "--")]
+    df = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        index = fulltext.build(df, "id", "text", width=16)
+        got = {(b["term"], b["range"]): (b["top"], list(zip(b["ids"], b["counts"], b["places"], strict=True))) for b in index.collect()}
+        assert index.count() == len(got)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for key, t in texts:
+        for place, w in enumerate(re.findall(r"\w+", (t or "").lower())):
+            want.setdefault((w, key // 16), {}).setdefault(key, []).append(place)
+    assert got == {k: (max(map(len, b.values())), [(i, len(b[i]), sorted(b[i])) for i in sorted(b)]) for k, b in want.items()}
+    plan = fulltext.build(df.select("*"), "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan
