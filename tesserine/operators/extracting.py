@@ -21,6 +21,8 @@ TYPE, CONFIDENCE, RELATION, QUOTE = "concept", 0.7, "related_to", 400
 ENTITIES, STEPS, DAMPING, NEAR = 20, 10, 0.85, 2
 #: A run of up to four words that begin with a capital.
 PHRASE = r"\p{Lu}[\p{L}\p{N}]+(?: \p{Lu}[\p{L}\p{N}]+){0,3}"
+#: Ids that a broadcast may hold.
+SMALL = 500_000
 #: Where a sentence ends.
 SENTENCE = r"(?<=[.!?])\s+|\n+"
 
@@ -31,6 +33,10 @@ def _first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
 
 
+def _summary(title: Column, summary: Column, source: Column) -> Column:
+    return F.coalesce(summary, F.concat(title, F.lit(" extracted from "), F.coalesce(source, F.lit("")), F.lit(".")))
+
+
 def clean_entities(raw: DataFrame) -> DataFrame:
     """doc_id, source_title, nth, title, entity_type, summary -> doc_id, slug, nth, title, entity_type, summary.
 
@@ -39,10 +45,33 @@ def clean_entities(raw: DataFrame) -> DataFrame:
     """
     title = T.trim(F.col("title"))
     rows = raw.withColumn("title", title).filter(F.coalesce(F.col("title") != "", F.lit(False)))
-    rows = rows.select("doc_id", T.slugify(F.col("title")).alias("slug"), "nth", "title", F.coalesce("entity_type", F.lit(TYPE)).alias("entity_type"), F.coalesce("summary", F.concat("title", F.lit(" extracted from "), F.coalesce("source_title", F.lit("")), F.lit("."))).alias("summary"))
+    rows = rows.select("doc_id", T.slugify(F.col("title")).alias("slug"), "nth", "title", F.coalesce("entity_type", F.lit(TYPE)).alias("entity_type"), _summary(F.col("title"), F.col("summary"), F.col("source_title")).alias("summary"))
     return _first(rows, ["doc_id", "slug"], "nth").select("doc_id", "slug", "nth", "title", "entity_type", "summary")
 
 
+def clean_entity_lists(lists: DataFrame) -> DataFrame:
+    """The same of doc_id, source_title, raw: a list of (nth, title, entity_type, summary), as an extraction returns it.
+
+    A list is cleaned where it stands: sorted by slug and place, the first of each slug
+    stays.  Only documents with several lists are shuffled, and what the
+    cleaning of their lists left.
+    """
+    ids = lists.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).filter("n > 1").select("_id")
+    ids = stored(ids, "repeated")
+    repeated = ids.count()
+    trimmed = F.filter(F.transform("raw", lambda x: F.struct(x["nth"].alias("nth"), T.trim(x["title"]).alias("title"), x["entity_type"].alias("entity_type"), x["summary"].alias("summary"))), lambda x: F.coalesce(x["title"] != "", F.lit(False)))
+    slugs = F.transform(trimmed, lambda x: F.struct(T.slugify(x["title"]).alias("slug"), x["nth"].alias("nth"), x["title"].alias("title"), x["entity_type"].alias("entity_type"), x["summary"].alias("summary")))
+    sorted_ = lists.select("doc_id", "source_title", F.array_sort(slugs).alias("_s"))
+    first = F.filter("_s", lambda x, i: (i == 0) | (F.get("_s", i - 1)["slug"] != x["slug"]))
+    rows = sorted_.select("doc_id", "source_title", F.inline(first))
+    rows = rows.select("doc_id", "slug", "nth", "title", F.coalesce("entity_type", F.lit(TYPE)).alias("entity_type"), _summary(F.col("title"), F.col("summary"), F.col("source_title")).alias("summary"))
+    if not repeated:
+        return rows
+    # counted: broadcast only if there are few
+    few, same = F.broadcast(ids) if repeated <= SMALL else ids, F.col("doc_id").eqNullSafe(F.col("_id"))
+    return rows.join(few, same, "left_anti").unionByName(_first(rows.join(few, same, "left_semi"), ["doc_id", "slug"], "nth").select(*rows.columns))
+
+
 def clean_claims(raw: DataFrame, least: float) -> DataFrame:
     """doc_id, nth, entity_title, text, confidence, quote -> the same: confidence in 0..1 and not below ``least``, quotes cut at QUOTE."""
     conf = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("confidence").cast("double"), F.lit(CONFIDENCE))))

@@ -538,9 +538,10 @@ def search_limits(s, d):
 
 def extraction_entities(s, d):
     """Every word of a document as a raw title; the first of each slug stays."""
-    words = K.read(s, d, "documents").select("doc_id", F.col("source").alias("source_title"), F.posexplode(F.split("text", "[ \n]")).alias("nth", "title"))
-    raw = words.withColumns({"entity_type": F.when(F.col("nth") % 3 == 0, "product"), "summary": F.when(F.col("nth") % 2 == 0, F.concat(F.lit("about "), "title"))})
-    return extracting.clean_entities(raw).select("doc_id", "slug", "nth", "title", "entity_type", "summary")
+    docs = spread(K.read(s, d, "documents").select("doc_id", F.col("source").alias("source_title"), "text"))
+    kind, about = lambda i: F.when(i % 3 == 0, "product"), lambda i, w: F.when(i % 2 == 0, F.concat(F.lit("about "), w))
+    raw = F.transform(F.split("text", "[ \n]"), lambda w, i: F.struct(i.alias("nth"), w.alias("title"), kind(i).alias("entity_type"), about(i, w).alias("summary")))
+    return extracting.clean_entity_lists(docs.select("doc_id", "source_title", raw.alias("raw"))).select("doc_id", "slug", "nth", "title", "entity_type", "summary")
 
 
 def extraction_claims(s, d):

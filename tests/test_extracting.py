@@ -75,3 +75,18 @@ def test_extractor_on_split_blocks_is_the_same_twice(spark):
     titles = docs.selectExpr("doc_id", "'T' as title")
     one, two = (sorted(map(tuple, E.extract_clean(split_blocks(docs), titles, 0.0)[1].collect())) for _ in range(2))
     assert one == two and one
+
+
+def test_lists_are_cleaned_like_rows_and_not_shuffled(spark):
+    rows = [(d, "S" if d else None, n, t, k, s) for d, n, t, k, s in [(1, 0, " A b ", None, None), (1, 1, "a-B", "person", "second"), (1, 2, "  ", "x", "y"), (1, 3, None, "x", "y"), (2, 4, "日本", "person", "kept"), (2, 1, "!", None, None), (None, 0, "Q", None, None), (None, 1, "q", "x", None), (3, 0, "z", None, None)]]
+    entry = "struct<nth:int,title:string,entity_type:string,summary:string>"
+    schema = f"doc_id long, source_title string, raw array<{entry}>"
+    flat = spark.createDataFrame(rows, "doc_id long, source_title string, nth int, title string, entity_type string, summary string")
+    want = sorted(map(tuple, E.clean_entities(flat).collect()), key=repr)
+    once = [(d, s, [r[2:] for r in rows if r[0] == d]) for d, s in [(1, "S"), (2, "S"), (None, None), (3, "S")]] + [(4, "S", None), (5, "S", [])]
+    got = E.clean_entity_lists(spark.createDataFrame(once, schema))
+    assert sorted(map(tuple, got.collect()), key=repr) == want
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    # the same documents in a list for each row
+    several = [(r[0], r[1], [r[2:]]) for r in reversed(rows)]
+    assert sorted(map(tuple, E.clean_entity_lists(spark.createDataFrame(several, schema)).collect()), key=repr) == want
