@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tesserine.functions import text as T
 from tesserine.operators.documents import ALLOWED, STRUCTURAL
+from tesserine.sinks import stored
 
 
 def _path_error(path: Column, kind: Column) -> Column:
@@ -47,7 +48,7 @@ def _step(acc: Column, x: Column) -> Column:
 STATE = "struct<live:boolean,doc_id:bigint,policy:string,kind:string,title:string,text:string,last:bigint,archived:boolean,log:array<struct<seq:bigint,surface:string,operation:string,error:string,content_md:string,doc_id:bigint>>>"
 
 
-def run_commands(documents: DataFrame, commands: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def run_commands(documents: DataFrame, commands: DataFrame, as_of: str, keep: bool = False) -> dict[str, DataFrame]:
     """The rows that a batch of commands makes: documents, revisions, steps and activity.
 
     documents: doc_id, path, title, kind, policy, archived, content_md (that of the head).
@@ -60,6 +61,7 @@ def run_commands(documents: DataFrame, commands: DataFrame, as_of: str) -> dict[
     documents: one row for each document that was made or changed, with ``head`` (its
     last revision) and status.  revisions: revision_id (the seq), doc_id, path, operation, content_md, at.
     steps: a row for each command, succeeded or failed with its error.  activity: what succeeded.
+    With ``keep`` the commands are run once and their outcome stored, for several of the tables.
     """
     path = F.trim("path")
     rooted = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
@@ -71,7 +73,8 @@ def run_commands(documents: DataFrame, commands: DataFrame, as_of: str) -> dict[
     both = listed.join(live, "path", "left")
     start = F.struct(F.col("doc_id").isNotNull().alias("live"), "doc_id", "policy", "kind", "title", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("long").alias("last"), F.lit(False).alias("archived"), F.expr("cast(array() as array<struct<seq:bigint,surface:string,operation:string,error:string,content_md:string,doc_id:bigint>>)").alias("log")).cast(STATE)
     done = both.select("path", F.aggregate("todo", start, lambda acc, x: _step(acc, x).cast(STATE)).alias("s"))
-    entries = done.select("path", F.explode("s.log").alias("e")).select("path", "e.*").withColumn("at", F.lit(as_of).cast("timestamp_ntz"))
+    entries = done.select("path", F.explode("s.log").alias("e")).select("path", "e.*")
+    entries = (stored(entries, "entries") if keep else entries).withColumn("at", F.lit(as_of).cast("timestamp_ntz"))
     fine = entries.filter("error is null")
     # a document that was archived and made again within the batch is two documents
     last = fine.groupBy("doc_id").agg(F.max_by(F.struct("path", "content_md"), "seq").alias("l"), F.max("seq").alias("head"), F.max(F.col("operation").isin("archive", "delete")).alias("archived"))

@@ -610,7 +610,7 @@ def command_documents(s, d):
 def head_pointers(s, d):
     """Documents through the pointer to their head, after a commit of all tables."""
     log = journal.Journal(s, folder(s, "journal"))
-    log.commit(journal.run_commands(K.documents(s, d), _commands(s, d), AS_OF))
+    log.commit(journal.run_commands(K.documents(s, d), _commands(s, d), AS_OF, keep=True))
     return journal.with_heads(log.documents(), log.read("revisions")).select("path", "head", F.sha2("head_md", 256).alias("hash"))
 
 

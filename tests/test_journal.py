@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserine.operators import journal
+from tesserine.plans import catalogue
 
 DOCS = "doc_id long, path string, title string, kind string, policy string, archived boolean, content_md string"
 COMMANDS = "seq long, path string, surface string, operation string, title string, kind string, policy string, old_text string, new_text string"
@@ -71,3 +72,11 @@ def test_commits_at_the_same_time_get_numbers_of_their_own(spark, tmp_path):
     for t in some:
         t.join()
     assert sorted(numbers) == [1, 2, 3, 4] and journal.Journal(spark, folder).read("rows").groupBy("_commit").count().count() == 4
+
+
+def test_commands_are_run_once_for_all_tables(spark):
+    docs, commands = catalogue.K.documents(spark, "/root/testdata/sf0.001"), catalogue._commands(spark, "/root/testdata/sf0.001")
+    kept, plain = (journal.run_commands(docs, commands, "2024-06-01 00:00:00", keep=k) for k in (True, False))
+    for name, rows in kept.items():
+        assert "aggregate(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(repr, rows.collect())) == sorted(map(repr, plain[name].collect()))
