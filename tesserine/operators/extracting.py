@@ -21,8 +21,8 @@ TYPE, CONFIDENCE, RELATION, QUOTE = "concept", 0.7, "related_to", 400
 ENTITIES, STEPS, DAMPING, NEAR = 20, 10, 0.85, 2
 #: A run of up to four words that begin with a capital.
 PHRASE = r"\p{Lu}[\p{L}\p{N}]+(?: \p{Lu}[\p{L}\p{N}]+){0,3}"
-#: Ids that a broadcast may hold.
-SMALL = 500_000
+#: Ids that a broadcast may hold, and links of a part of the graph.
+SMALL, LINKS = 500_000, 4_000_000
 #: Where a sentence ends.
 SENTENCE = r"(?<=[.!?])\s+|\n+"
 
@@ -100,8 +100,8 @@ def cooccurrences(blocks: DataFrame, near: int = NEAR) -> DataFrame:
 
     parts = [F.when(F.size("phrases") > k, shifted(k)).otherwise(F.array().cast("array<struct<a:string,b:string>>")) for k in range(1, near + 1)]
     one = pairs.select(F.inline(F.flatten(F.array(*parts)))).filter("a <> b")
-    counted = one.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
-    return counted.unionByName(counted.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    counted = stored(one.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n")), "pairs")
+    return counted.select(F.inline(F.array(F.struct("a", "b", "n"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "n"))))
 
 
 def ranks(edges: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
@@ -109,35 +109,64 @@ def ranks(edges: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> Dat
 
     What a phrase gives goes to its neighbours by weight; the sums combine before
     the shuffle, so a phrase with very many neighbours is no heavy group.  Ranks are
-    rounded in every step: the order of adding does not show.
+    rounded in every step: the order of adding does not show.  The links are shuffled
+    once and kept where they are by the phrase that gives, so a step moves ranks and sums of
+    a part only; large parts (LINKS) leave few sums.
     """
-    out = edges.groupBy("a").agg(F.sum("n").alias("total"))
-    links = stored(edges.join(out, "a").select("a", "b", (F.col("n") / F.col("total")).alias("share")), "links")
-    now = out.select(F.col("a").alias("phrase"), F.lit(1.0).alias("rank"))
+    parts = max(edges.sparkSession.sparkContext.defaultParallelism, -(-edges.count() // LINKS))
+    dealt = edges.select("a", "b", "n").repartition(parts, "a").sortWithinPartitions("a").persist()
+    dealt.count()  # what is cached lies in a known order for what is planned from here
+    links = dealt.join(dealt.groupBy("a").agg(F.sum("n").alias("total")), "a").select("a", "b", "n", "total").persist()
+    links.count()
+    dealt.unpersist()
+    share = F.col("n") / F.col("total")
+    now = links.select("a").distinct().withColumn("rank", F.lit(1.0))
     for _ in range(steps):
-        given = links.join(now.withColumnRenamed("phrase", "a"), "a").groupBy("b").agg(F.sum(F.round(F.col("share") * F.col("rank"), 12).cast("decimal(30,12)")).cast("double").alias("got"))
-        now = stored(given.select(F.col("b").alias("phrase"), F.round(1 - damping + damping * F.col("got"), 9).alias("rank")), "ranks")
-    return now
+        # the cast rounds
+        given = links.join(now.repartition(parts, "a"), "a").groupBy("b").agg(F.sum((share * F.col("rank")).cast("decimal(30,12)")).cast("double").alias("got"))
+        now = given.select(F.col("b").alias("a"), F.round(1 - damping + damping * F.col("got"), 9).alias("rank"))
+    ranked = stored(now.select(F.col("a").alias("phrase"), "rank"), "ranks")
+    links.unpersist()
+    return ranked
+
+
+def _firsts(blocks: DataFrame) -> DataFrame:
+    """doc_id, chunk_idx, phrase, pos: the phrases of each block, each with the first sentence it stands in."""
+    spots = F.flatten(F.transform(F.split("text", SENTENCE), lambda s, i: F.transform(F.array_distinct(F.regexp_extract_all(s, F.lit(PHRASE), F.lit(0))), lambda p: F.struct(p.alias("phrase"), i.alias("pos")))))
+    sorted_ = blocks.select("doc_id", "chunk_idx", F.array_sort(spots).alias("_s"))
+    return sorted_.select("doc_id", "chunk_idx", F.inline(F.filter("_s", lambda x, i: (i == 0) | (F.get("_s", i - 1)["phrase"] != x["phrase"]))))
 
 
 def extract(blocks: DataFrame, titles: DataFrame, most: int = ENTITIES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Raw entities, claims and relations of blocks (doc_id, chunk_idx, text) of documents (doc_id, title).
 
     The ``most`` phrases of highest rank of each document, ties by the phrase; phrases
-    without a neighbour have the rank that no neighbour gives.
+    without a neighbour have the rank that no neighbour gives.  Phrases travel with the
+    place of their sentence; the sentences themselves are looked up in the texts, which are
+    shuffled once, when claims are asked for.
     """
     ranked = ranks(cooccurrences(blocks))
-    sentences = blocks.select("doc_id", "chunk_idx", F.posexplode(F.split("text", SENTENCE)).alias("pos", "sentence"))
-    held = sentences.select("doc_id", "chunk_idx", "pos", "sentence", F.array_distinct(F.regexp_extract_all("sentence", F.lit(PHRASE), F.lit(0))).alias("phrases"))
-    each = held.select("doc_id", "chunk_idx", "pos", "sentence", F.explode("phrases").alias("phrase"))
-    found = each.groupBy("doc_id", "phrase").agg(F.min_by("sentence", F.struct("chunk_idx", "pos")).alias("sentence")).join(ranked, "phrase", "left")
-    found = found.withColumn("rank", F.coalesce("rank", F.lit(1 - DAMPING)))
+    rank = F.coalesce("rank", F.lit(1 - DAMPING))
+    # one shuffle by document, for the first place of each phrase as for the order
+    each = _firsts(blocks).join(ranked, "phrase", "left").select("doc_id", "phrase", "chunk_idx", "pos", rank.alias("rank")).repartition("doc_id")
+    found = each.groupBy("doc_id", "phrase", "rank").agg(F.min(F.struct("chunk_idx", "pos")).alias("at"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("rank"), "phrase")
-    best = stored(found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most).join(titles.select("doc_id", F.col("title").alias("source_title")), "doc_id", "left"), "entities")
-    entities = best.select("doc_id", "source_title", "nth", F.col("phrase").alias("title"), F.lit(None).cast("string").alias("entity_type"), F.lit(None).cast("string").alias("summary"))
+    top = found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most)
+    # ``most`` at most
+    best = stored(top.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("nth", "phrase", "rank", "at"))).alias("best")), "entities")
+    listed = best.join(titles.select("doc_id", F.col("title").alias("source_title")), "doc_id", "left").select("doc_id", "source_title", F.inline("best"))
+    entities = listed.select("doc_id", "source_title", "nth", F.col("phrase").alias("title"), F.lit(None).cast("string").alias("entity_type"), F.lit(None).cast("string").alias("summary"))
+    # a struct is equal to another also where the id is null
+    key = F.struct("doc_id").alias("_k")
+    texts = blocks.select(key, "chunk_idx", F.split("text", SENTENCE).alias("sentences"))
+    quoted = texts.join(best.select(key, "best"), "_k").select("_k", F.inline(F.transform(F.filter("best", lambda x: x["at"]["chunk_idx"].eqNullSafe(F.col("chunk_idx"))), lambda x: F.struct(x["nth"].alias("nth"), x["phrase"].alias("phrase"), x["rank"].alias("rank"), F.get("sentences", x["at"]["pos"]).alias("sentence")))))
+    # where blocks have the same id and place, a sentence that holds the phrase
+    quoted = quoted.filter(F.array_contains(F.regexp_extract_all("sentence", F.lit(PHRASE), F.lit(0)), F.col("phrase"))).groupBy("_k", "nth", "phrase", "rank").agg(F.min("sentence").alias("sentence"))
     # a rank of 1 is the mean
-    claims = best.select("doc_id", "nth", F.col("phrase").alias("entity_title"), F.col("sentence").alias("text"), F.round(F.col("rank") / (1 + F.col("rank")), 6).alias("confidence"), F.col("sentence").alias("quote"))
-    chosen = best.groupBy("doc_id").agg(F.collect_set("phrase").alias("chosen"))  # ``most`` at most
+    claims = quoted.select("_k.doc_id", "nth", F.col("phrase").alias("entity_title"), F.col("sentence").alias("text"), F.round(F.col("rank") / (1 + F.col("rank")), 6).alias("confidence"), F.col("sentence").alias("quote"))
+    sentences = blocks.select("doc_id", "chunk_idx", F.posexplode(F.split("text", SENTENCE)).alias("pos", "sentence"))
+    held = sentences.select("doc_id", "chunk_idx", "pos", F.array_distinct(F.regexp_extract_all("sentence", F.lit(PHRASE), F.lit(0))).alias("phrases"))
+    chosen = best.select("doc_id", F.col("best.phrase").alias("chosen"))
     lines = held.join(chosen, "doc_id").select("doc_id", "chunk_idx", "pos", F.array_intersect("phrases", "chosen").alias("p")).filter(F.size("p") > 1)
     steps = lines.select("doc_id", "chunk_idx", "pos", F.inline(F.arrays_zip(F.slice("p", F.lit(1), F.size("p") - 1).alias("source_title"), F.slice("p", F.lit(2), F.size("p") - 1).alias("target_title"))))
     relations = steps.groupBy("doc_id", "source_title", "target_title").agg(F.min(F.struct("chunk_idx", "pos")).alias("nth")).withColumn("relation_type", F.lit(None).cast("string"))

@@ -90,3 +90,47 @@ def test_lists_are_cleaned_like_rows_and_not_shuffled(spark):
     # the same documents in a list for each row
     several = [(r[0], r[1], [r[2:]]) for r in reversed(rows)]
     assert sorted(map(tuple, E.clean_entity_lists(spark.createDataFrame(several, schema)).collect()), key=repr) == want
+
+
+def records(spark, since=()):
+    """Records written to shuffles by stage, of stages that are not in ``since``."""
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+    jsc.listenerBus().waitUntilEmpty()
+    none = jvm.java.util.ArrayList()
+    status = jvm.scala.jdk.javaapi.CollectionConverters.asJava(jsc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none))
+    return {s.stageId(): s.shuffleWriteRecords() for s in status if s.stageId() not in since}
+
+
+def test_links_are_shuffled_once_and_not_in_every_step(spark):
+    nodes, steps = 60, 8
+    rows = [(f"P{a}", f"P{b}", 1 + (a * b) % 5) for a in range(nodes) for b in range(nodes) if a != b]
+    edges = spark.createDataFrame(rows, "a string, b string, n long").repartition(3).localCheckpoint()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before, held = records(spark), len(spark.sparkContext._jsc.getPersistentRDDs())
+        got = dict(map(tuple, E.ranks(edges, steps).collect()))
+        moved = sum(records(spark, before).values())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    parts = spark.sparkContext.defaultParallelism
+    assert moved < len(rows) + (steps + 1) * nodes * (parts + 2)
+    total, rank = {}, {f"P{a}": 1.0 for a in range(nodes)}
+    for a, _, n in rows:
+        total[a] = total.get(a, 0) + n
+    for _ in range(steps):
+        sums = dict.fromkeys(rank, 0.0)
+        for a, b, n in rows:
+            sums[b] += round(n / total[a] * rank[a], 12)
+        rank = {b: round(1 - E.DAMPING + E.DAMPING * g, 9) for b, g in sums.items()}
+    assert got == pytest.approx(rank, abs=1e-8)
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == held
+
+
+def test_claims_take_their_sentence_from_its_block(spark):
+    blocks = [(1, 0, "none. Alpha is here. more"), (1, 1, "Beta is first. Alpha again"), (1, 2, None), (None, None, "Gamma has no id. Alpha too"), (2, 0, "Solo one"), (2, 0, "no. Duo Two of the same place"), (3, 0, "")]
+    found = spark.createDataFrame(blocks, "doc_id long, chunk_idx int, text string").repartition(3)
+    titles = spark.createDataFrame([(d, "T") for d in (1, 2, 3)], "doc_id long, title string")
+    claims = E.extract(found, titles)[1]
+    got = sorted(map(tuple, claims.select("doc_id", "entity_title", "text").collect()), key=repr)
+    assert got == sorted([(1, "Alpha", "Alpha is here."), (1, "Beta", "Beta is first."), (None, "Gamma", "Gamma has no id."), (None, "Alpha", "Alpha too"), (2, "Solo", "Solo one"), (2, "Duo Two", "Duo Two of the same place")], key=repr)
